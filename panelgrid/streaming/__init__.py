@@ -1,0 +1 @@
+"""Reserved: the workload is batch only (no stream, watermark or state), so nothing lives here."""
