@@ -80,15 +80,23 @@ def student_two_sided(t, df):
     return beta_reg(df / 2, 0.5, df / (df + t * t))
 
 
-def student_critical(df: int, alpha: float = 0.05) -> float:
-    """Two-sided critical value of Student's t, by bisection."""
-    lo, hi = 0.0, 1e6
-    for _ in range(200):
+def normal_critical(alpha: float = 0.05) -> float:
+    """Two-sided critical value of the normal distribution, by bisection."""
+    lo, hi = 0.0, 40.0
+    for _ in range(100):
         mid = (lo + hi) / 2
-        if float(student_two_sided(mid, df)) > alpha:
-            lo = mid
-        else:
-            hi = mid
+        lo, hi = (mid, hi) if 2 * (1 - normal_cdf(mid)) > alpha else (lo, mid)
+    return (lo + hi) / 2
+
+
+def student_critical(dof, alpha: float = 0.05):
+    """Two-sided critical values of Student's t for an array of degrees of freedom, by bisection."""
+    dof = np.asarray(dof, dtype=float)
+    lo, hi = np.zeros_like(dof), np.full_like(dof, 1e6)
+    for _ in range(80):
+        mid = (lo + hi) / 2
+        above = student_two_sided(mid, dof) > alpha
+        lo, hi = np.where(above, mid, lo), np.where(above, hi, mid)
     return (lo + hi) / 2
 
 

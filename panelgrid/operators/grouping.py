@@ -8,6 +8,7 @@ and adaptive execution splits skewed partitions otherwise.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -61,23 +62,40 @@ def known_neighbours(df: DataFrame, values: Sequence[str], order: Sequence[str],
     )
 
 
-# Cut points per value axis. A cut holds about 1/512 of the distinct values.
+# At most CUTS cut points per value axis, one for every VALUES_PER_CUT distinct values.
 CUTS = 512
+VALUES_PER_CUT = 200_000
 
 
 def _value_cuts(counted: DataFrame, value: str) -> list[float]:
-    """At most CUTS approximate quantiles of the distinct values: one small array."""
-    probs = F.expr(f"transform(sequence(1, {CUTS - 1}), i -> i / {CUTS}.0D)")
-    row = counted.agg(F.percentile_approx(value, probs, F.lit(10 * CUTS)).alias("c")).first()
-    return sorted(set(row["c"] or []))
+    """Approximate quantiles of the distinct values: one array of at most CUTS numbers."""
+    probs = ", ".join(f"{i / CUTS!r}D" for i in range(1, CUTS))
+    row = counted.agg(
+        F.count(F.lit(1)).alias("n"),
+        F.expr(f"percentile_approx(`{value}`, array({probs}), {10 * CUTS})").alias("c")).first()
+    wanted = min(CUTS - 1, row["n"] // VALUES_PER_CUT)
+    known = sorted(set(row["c"] or []))
+    picks = sorted({(k + 1) * len(known) // (wanted + 1) for k in range(wanted)} - {0})
+    # midpoints: a recomputed average that differs in its last bit must not change range
+    return [(known[k - 1] + known[k]) / 2 for k in picks if k < len(known)]
 
 
 def _bucket_of(value: str, cuts: Sequence[float]) -> Column:
-    """Number of cuts below the value."""
+    """Number of cuts below the value, found in two steps of about sqrt(CUTS) comparisons."""
     if not cuts:
         return F.lit(0)
-    literal = F.expr("array(" + ", ".join(f"{float(c)!r}D" for c in cuts) + ")")
-    return F.size(F.filter(literal, lambda c: c < F.col(value)))
+
+    def literal(xs):
+        return F.expr("array(" + ", ".join(f"{x!r}D" for x in xs) + ")")
+
+    def below(xs):
+        return F.size(F.filter(xs, lambda c: c < F.col(value)))
+
+    step = math.isqrt(len(cuts)) + 1
+    if len(cuts) <= step:
+        return below(literal(cuts))
+    coarse = below(literal(cuts[step - 1::step])) * step
+    return coarse + below(F.slice(literal(cuts), coarse + 1, F.lit(step)))
 
 
 def value_positions(df: DataFrame, value: str, by: Sequence[str] = (),
