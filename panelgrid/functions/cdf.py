@@ -11,6 +11,7 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def normal_cdf(z):
@@ -114,18 +115,18 @@ def signed_rank_lower_tail(n: int, w: float) -> float:
     return float(counts[: upto + 1].sum() / counts.sum())
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def normal_cdf_udf(z: pd.Series) -> pd.Series:
     return z.map(lambda v: None if pd.isna(v) else normal_cdf(v)).astype(float)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def chi2_sf_udf(x: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series([None if pd.isna(a) or pd.isna(b) or b <= 0 else gamma_q(b / 2, a / 2)
                       for a, b in zip(x, df)], dtype=float)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def student_two_sided_udf(t: pd.Series, df: pd.Series) -> pd.Series:
     ok = t.notna() & (df > 0)
     safe_df = df.where(ok, 1).astype(float)
@@ -134,7 +135,7 @@ def student_two_sided_udf(t: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series(np.where(ok, p, np.nan))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def signed_rank_lower_udf(n: pd.Series, w: pd.Series) -> pd.Series:
     return pd.Series([None if pd.isna(a) or pd.isna(b) else signed_rank_lower_tail(int(a), b)
                       for a, b in zip(n, w)], dtype=float)

@@ -9,11 +9,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelgrid.functions.columns import round_coord, wrap_lon
-from panelgrid.operators.grouping import known_neighbours
+from panelgrid.session import pin
 
 CELL = ("lat", "lon")
-# Axis values are sorted in bands of this many degrees.
-AXIS_BAND = 5.0
 
 
 def rounded(df: DataFrame, decimals: int = 3, cell: Sequence[str] = CELL) -> DataFrame:
@@ -22,7 +20,8 @@ def rounded(df: DataFrame, decimals: int = 3, cell: Sequence[str] = CELL) -> Dat
 
 
 def wrapped(df: DataFrame, lon: str = "lon") -> DataFrame:
-    return df.withColumn(lon, wrap_lon(lon))
+    """Longitudes in [-180, 180), freed from the last-digit noise of the wrap."""
+    return df.withColumn(lon, F.round(wrap_lon(lon), 9))
 
 
 def grid_stride(df: DataFrame, step: int = 5, cell: Sequence[str] = CELL) -> DataFrame:
@@ -42,9 +41,10 @@ def snap_axis(targets: DataFrame, sources: DataFrame, axis: str, outside: str =
     """Nearest source coordinate of each target coordinate on one axis.
 
     Both axes are merged in order and each target looks at the source before and after it, so
-    no pairs are formed. Ties go to the larger coordinate. Outside the source range: ``clamp``
-    takes the edge, ``null`` gives NULL. ``period`` (360 for longitudes) repeats the source axis
-    on both sides.
+    no pairs are formed. Only distinct coordinates of one axis meet in the window: a grid axis of
+    three decimals has at most 360,000. Ties go to the larger coordinate. Outside the source
+    range ``clamp`` takes the edge and ``null`` gives NULL. ``period`` (360 for longitudes)
+    repeats the source axis on both sides.
     """
     t = targets.select(F.col(axis).alias("_p")).distinct()
     s = sources.select(F.col(axis).alias("_v")).distinct()
@@ -56,8 +56,11 @@ def snap_axis(targets: DataFrame, sources: DataFrame, axis: str, outside: str =
                            F.lit(0).alias("_t"))
               .unionByName(t.select("_p", F.lit(1).alias("_t")), allowMissingColumns=True)
               .groupBy("_p").agg(F.max("_s").alias("_s"), F.max("_t").alias("_t")))
-    n = known_neighbours(points, ["_s"], ["_p"], F.floor(F.col("_p") / AXIS_BAND))
-    lo, hi = F.col("prev__s"), F.col("next__s")
+    w = Window.orderBy("_p")
+    lo = F.last("_s", True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    hi = F.first("_s", True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    n = points.select("_p", "_t", lo.alias("_lo"), hi.alias("_hi"))
+    lo, hi = F.col("_lo"), F.col("_hi")
     nearer = F.when((F.col("_p") - lo["p"]) < (hi["p"] - F.col("_p")), lo["v"]).otherwise(hi["v"])
     one_sided = F.coalesce(lo["v"], hi["v"]) if outside == "clamp" else F.lit(None).cast("double")
     pick = F.when(lo.isNotNull() & hi.isNotNull(), nearer).otherwise(one_sided)
@@ -90,14 +93,17 @@ def masked(value: Column | str, cond: Column, fill: float | None = None) -> Colu
 def apply_mask(df: DataFrame, values: Sequence[str], land: DataFrame | None = None,
                vegetation: DataFrame | None = None, sea_value: float | None = 0.0,
                bare_value: float | None = 0.0, custom: DataFrame | None = None,
-               custom_value: float | None = None, invalid_to_zero: bool = False) -> DataFrame:
+               custom_value: float | None = None, invalid_to_zero: bool = False,
+               cells: DataFrame | None = None) -> DataFrame:
     """Replace cells outside the masks: vegetation, then land, then custom, then invalid.
 
     Mask tables are (lat, lon, m); a cell counts as inside where ``m`` > 0. Vegetation and land
     masks are taken at the nearest mask cell (none outside their range), the land mask with its
-    longitudes wrapped first; a custom mask must share the grid.
+    longitudes wrapped first; a custom mask must share the grid. ``cells`` is the table of grid
+    cells; without it the distinct cells of ``df`` are pinned, at the price of one more pass.
     """
-    cells = df.select(*CELL).distinct() if (land is not None or vegetation is not None) else None
+    if cells is None and (land is not None or vegetation is not None):
+        cells = pin(df.select(*CELL).distinct(), "cells")
     steps = []
     if vegetation is not None:
         steps.append((nearest_snap(cells, vegetation, ["m"], outside="null"), bare_value))
@@ -116,7 +122,7 @@ def apply_mask(df: DataFrame, values: Sequence[str], land: DataFrame | None = No
 
 def combine_masks(targets: DataFrame, land: DataFrame, vegetation: DataFrame) -> DataFrame:
     """Target cells with a flag: land and vegetated at the nearest mask cells."""
-    cells = targets.select(*CELL).distinct()
+    cells = pin(targets.select(*CELL).distinct(), "cells")
     v = nearest_snap(cells, vegetation, ["m"], outside="null").withColumnRenamed("m", "_v")
     s = nearest_snap(cells, wrapped(land), ["m"], outside="null").withColumnRenamed("m", "_s")
     inside = F.coalesce((F.col("_v") > 0) & (F.col("_s") > 0), F.lit(False))
@@ -127,13 +133,14 @@ def merge_grids(grids: Mapping[str, DataFrame], keys: Sequence[str] = ("lat", "l
                 value: str = "v") -> DataFrame:
     """Many one-variable grids side by side, cells of any grid kept.
 
-    One union and one shuffle, instead of a chain of outer joins.
+    One union and one shuffle, instead of a chain of outer joins. Several values of a cell, such
+    as repetitions, are averaged on the way.
     """
     long = reduce(DataFrame.unionByName, [
         g.select(*keys, F.lit(n).alias("_var"), F.col(value).alias("_x"))
         for n, g in grids.items()])
     return long.groupBy(*keys).agg(*[
-        F.max(F.when(F.col("_var") == n, F.col("_x"))).alias(n) for n in grids])
+        F.avg(F.when(F.col("_var") == n, F.col("_x"))).alias(n) for n in grids])
 
 
 def merge_exact(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:

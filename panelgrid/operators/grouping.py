@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelgrid.functions.columns import hash_key
+from panelgrid.session import pin
 
 
 def attach_stats(df: DataFrame, keys: Sequence[str], **aggs: Column) -> DataFrame:
@@ -76,8 +77,7 @@ def _value_cuts(counted: DataFrame, value: str) -> list[float]:
     wanted = min(CUTS - 1, row["n"] // VALUES_PER_CUT)
     known = sorted(set(row["c"] or []))
     picks = sorted({(k + 1) * len(known) // (wanted + 1) for k in range(wanted)} - {0})
-    # midpoints: a recomputed average that differs in its last bit must not change range
-    return [(known[k - 1] + known[k]) / 2 for k in picks if k < len(known)]
+    return [float(known[k - 1]) for k in picks]
 
 
 def _bucket_of(value: str, cuts: Sequence[float]) -> Column:
@@ -121,11 +121,13 @@ def value_positions(df: DataFrame, value: str, by: Sequence[str] = (),
 
 
 def _counted(df, value, by, counters):
+    """Distinct values with their counts, pinned: they are read for the cuts and for the ranks."""
     rows = df.where(F.col(value).isNotNull())
     for k in by:
         rows = rows.where(F.col(k).isNotNull())
-    return rows.groupBy(*by, value).agg(F.count(F.lit(1)).alias("cnt"),
-                                        *[c.alias(n) for n, c in counters.items()])
+    return pin(rows.groupBy(*by, value).agg(F.count(F.lit(1)).alias("cnt"),
+                                            *[c.alias(n) for n, c in counters.items()]),
+               "values")
 
 
 def _bucket_table(located, by):

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelgrid.functions.columns import uniform
 from panelgrid.operators.grid import merge_grids, snap_axis
 from panelgrid.operators.grouping import pick_by_draw, weighted_positions
+from panelgrid.session import pin
 
 
 def _weight(lat: str):
@@ -21,12 +22,15 @@ def area_sample(cells: DataFrame, n: int, seed: int = 0, lat: str = "lat",
     """``n`` different cells, likelier where a cell covers more area (cosine of latitude).
 
     Each cell gets the key -ln(u) / weight and the smallest keys win, which is one top-n.
+    Only the ``n`` winners are then numbered as ``loc``.
     """
     u = uniform(seed, F.round(F.col(lat) * 1000).cast("bigint"),
                 F.round(F.col(lon) * 1000).cast("bigint"))
     key = -F.log(u) / _weight(lat)
-    return (cells.where(_weight(lat) > 0).select(lat, lon).distinct()
-            .withColumn("key", key).orderBy("key", lat, lon).limit(n))
+    winners = (cells.where(_weight(lat) > 0).select(lat, lon).distinct()
+               .withColumn("key", key).orderBy("key", lat, lon).limit(n))
+    loc = F.row_number().over(Window.orderBy("key", lat, lon)) - 1
+    return winners.select(loc.cast("bigint").alias("loc"), lat, lon, "key")
 
 
 def area_sample_with_replacement(cells: DataFrame, n: int, seed: int = 0, lat: str = "lat",
@@ -34,7 +38,7 @@ def area_sample_with_replacement(cells: DataFrame, n: int, seed: int = 0, lat: s
     """``n`` draws with replacement, one row per draw: ``loc``, lat, lon."""
     items = (cells.where(_weight(lat) > 0).select(lat, lon).distinct()
              .withColumn("_w", _weight(lat)))
-    placed = weighted_positions(items, [lat, lon], "_w")
+    placed = pin(weighted_positions(items, [lat, lon], "_w"), "positions")
     total = placed.agg(F.max("total")).scalar()
     draws = (cells.sparkSession.range(n).withColumnRenamed("id", "loc")
              .withColumn("total", total))
@@ -44,7 +48,7 @@ def area_sample_with_replacement(cells: DataFrame, n: int, seed: int = 0, lat: s
 
 def at_locations(locations: DataFrame, product: DataFrame, value: str = "v",
                  wrap: bool = False) -> DataFrame:
-    """Series of the nearest product cell at each location: loc, time, value.
+    """Rows of the nearest product cell at each location: loc, time, value.
 
     The product is cut down to the wanted cells by an equi-join on its own coordinates; Spark
     broadcasts the located sample when its size allows.
@@ -59,6 +63,11 @@ def at_locations(locations: DataFrame, product: DataFrame, value: str = "v",
 
 def compare_at_locations(locations: DataFrame, products: Mapping[str, DataFrame],
                          value: str = "v", wrap: bool = False) -> DataFrame:
-    """All products side by side at the sampled locations, any of them possibly missing."""
+    """All products side by side at the sampled locations, any of them possibly missing.
+
+    Ensembles may be given with their repetitions; cells are selected first and averaged then,
+    in the one shuffle that lines the products up.
+    """
+    locations = pin(locations, "locations")
     series = {n: at_locations(locations, p, value, wrap) for n, p in products.items()}
     return merge_grids(series, ["loc", "time"], value)

@@ -38,14 +38,18 @@ def rmse(df: DataFrame, truth: str = "gt", pred: str = "pred", by: Sequence[str]
         F.sqrt(F.avg(F.pow(F.col(pred) - F.col(truth), F.lit(2)))).alias(name))
 
 
-def location_r2(df: DataFrame, truth: str, pred: str, by: Sequence[str] = ("loc",)) -> DataFrame:
-    """R2 per location: residuals over pairs, spread over every known truth.
+def location_r2(df: DataFrame, truths: Sequence[str], pred: str,
+                by: Sequence[str] = ("loc",)) -> DataFrame:
+    """R2 of one prediction against each truth per location, columns ``r2_<truth>``.
 
-    A location whose truth is known but whose prediction never is has no residual at all and
-    scores 1, as the product comparison defines it; one without spread in the truth is NULL.
+    Residuals are summed over pairs, spread over every known truth. A location whose truth is
+    known but whose prediction never is has no residual at all and scores 1, as the product
+    comparison defines it; one without spread in the truth is NULL.
     """
-    res = F.coalesce(F.sum(F.pow(F.col(truth) - F.col(pred), F.lit(2))), F.lit(0.0))
-    return df.groupBy(*by).agg((1 - ratio(res, sum_sq_dev(truth))).alias("r2"))
+    def score(truth):
+        res = F.coalesce(F.sum(F.pow(F.col(truth) - F.col(pred), F.lit(2))), F.lit(0.0))
+        return (1 - ratio(res, sum_sq_dev(truth))).alias(f"r2_{truth}")
+    return df.groupBy(*by).agg(*[score(t) for t in truths])
 
 
 def _sq(c: Column) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from panelgrid.functions.columns import hash_key, uniform
 from panelgrid.operators.grouping import pick_by_draw, weighted_positions
+from panelgrid.session import pin
 
 # The greedy assignment visits groups one after the other, so it is for site tables of this size.
 GREEDY_LIMIT = 50_000
@@ -38,10 +39,9 @@ def group_kfold(df: DataFrame, group: str, label: str, k: int = 5, seed: int = 2
     if mode != "snake":
         raise ValueError(f"unknown mode {mode!r}")
     # the most frequent label, the smallest one on ties
-    best = counts.groupBy(group).agg(
-        F.sum("n").alias("_rows"), F.max("n").alias("_top"))
-    top = (counts.join(best, group).where(F.col("n") == F.col("_top"))
-           .groupBy(group).agg(F.min(label).alias("_label"), F.max("_rows").alias("_rows")))
+    top = (counts.groupBy(group).agg(F.min(F.struct(-F.col("n"), label)).alias("_t"),
+                                     F.sum("n").alias("_rows"))
+           .select(group, F.col(f"_t.{label}").alias("_label"), "_rows"))
     g = top.select(
         group, "_label", F.length(F.bin("_rows")).alias("_size"),
         hash_key(seed, group).alias("_h")).withColumn("_hb", F.substring("_h", 1, 2))
@@ -123,13 +123,13 @@ def group_bootstrap(df: DataFrame, group: str = "site", size: float = 0.8, reps:
     """
     groups = df.where(F.col(group).isNotNull()).groupBy(group).agg(
         F.count(F.lit(1)).alias("_n"))
-    placed = weighted_positions(groups, [group], "_n")
+    placed = pin(weighted_positions(groups, [group], "_n"), "positions")
     draws = repetitions(
         placed.where(F.col("ordinal") < F.floor(F.lit(size) * F.col("n_items")))
         .select("ordinal", "total"), reps, base_seed)
     draws = draws.withColumn("u", uniform("seed", "ordinal") * F.col("total"))
     bag = pick_by_draw(placed, [group], draws.select("u", "total", "rep")).distinct()
-    everyone = repetitions(groups.select(group), reps, base_seed).drop("seed")
+    everyone = repetitions(placed.select(group), reps, base_seed).drop("seed")
     flagged = everyone.join(bag.withColumn("_in", F.lit(1)), ["rep", group], "left")
     return flagged.select("rep", group, F.when(F.col("_in") == 1, "train").otherwise("test")
                           .alias("role"))

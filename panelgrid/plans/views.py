@@ -11,6 +11,9 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panelgrid.functions.columns import recode
+from panelgrid.functions.constants import CODE_TO_CLASS, LAND_COVER
+
 # Land-cover code standing in for a part size or supplier key.
 CLASS_OF_KEY = "1 + {k} % 17"
 
@@ -64,15 +67,27 @@ class Views:
     def site_features(self) -> DataFrame:
         """Site-month features with gaps; ``lc`` is a land-cover code, some of it missing."""
         code = F.expr(CLASS_OF_KEY.format(k="(site + year(date))")).cast("int")
+        month = F.month("date")
         return self.lines.groupBy("site", "date").agg(
             (F.avg("l_quantity") / 7).alias("b1"), (F.avg("l_tax") / 7).alias("b2"),
-            (F.avg("l_discount") / 7).alias("b3"),
+            (F.avg("l_discount") / 7).alias("b3"), (F.max("l_extendedprice") / 997).alias("b4"),
+            (F.min("l_extendedprice") / 997).alias("b5"), (F.max("l_tax") / 7).alias("b6"),
+            (F.max("l_quantity") / 7).alias("b7"), (F.min("l_discount") / 7).alias("BESS-PAR"),
             (F.avg("l_extendedprice") / 997).alias("gt"),
         ).select(
-            "site", "date", F.when(F.month("date") != 3, F.col("b1")).alias("b1"),
-            F.when(F.month("date") != 4, F.col("b2")).alias("b2"),
-            F.when(~F.month("date").isin(3, 4), F.col("b3")).alias("b3"),
-            F.when(F.col("site") % 5 != 0, code).alias("lc"), "gt")
+            "site", "date", F.when(month != 3, F.col("b1")).alias("b1"),
+            F.when(month != 4, F.col("b2")).alias("b2"),
+            F.when(~month.isin(3, 4), F.col("b3")).alias("b3"), "b4", "b5", "b6", "b7",
+            "BESS-PAR", F.when(F.col("site") % 5 != 0, code).alias("lc"), "gt")
+
+    @cached_property
+    def quality(self) -> DataFrame:
+        """Raw records with missing fluxes, low quality and missing classes."""
+        return self.lines.select(
+            "site", "date", F.when(F.col("l_quantity") > 2, F.col("l_extendedprice") / 997)
+            .alias("flux"), (F.col("l_quantity") - 5).alias("value"),
+            (1 - F.col("l_discount") * 3).alias("qc"),
+            recode(F.expr("CAST(l_partkey % 18 AS INT)"), CODE_TO_CLASS).alias("class"))
 
     # ---- grid ----------------------------------------------------------------------------
     @staticmethod
@@ -199,14 +214,22 @@ CTES = {
         SELECT site, date, CASE WHEN month(date) IN (1, 2, 7)
                OR date = min(date) OVER (PARTITION BY site) THEN NULL ELSE gt END AS gt, pred
         FROM site_month"""),
+    "class_map": ((), "SELECT * FROM (VALUES " + ", ".join(
+        f"({c}, '{m}', '{k}')" for c, m, k in LAND_COVER) + ") t(code, merged, site_code)"),
     "site_features": (("lines",), """
         SELECT site, date,
                CASE WHEN month(date) <> 3 THEN avg(l_quantity) / 7 END AS b1,
                CASE WHEN month(date) <> 4 THEN avg(l_tax) / 7 END AS b2,
                CASE WHEN month(date) NOT IN (3, 4) THEN avg(l_discount) / 7 END AS b3,
+               max(l_extendedprice) / 997 AS b4, min(l_extendedprice) / 997 AS b5,
+               max(l_tax) / 7 AS b6, max(l_quantity) / 7 AS b7, min(l_discount) / 7 AS "BESS-PAR",
                CASE WHEN site % 5 <> 0 THEN 1 + (site + year(date)) % 17 END AS lc,
                avg(l_extendedprice) / 997 AS gt
         FROM lines GROUP BY site, date"""),
+    "quality": (("lines", "class_map"), """
+        SELECT site, date, CASE WHEN l_quantity > 2 THEN l_extendedprice / 997 END AS flux,
+               l_quantity - 5 AS value, 1 - l_discount * 3 AS qc, merged AS class
+        FROM lines LEFT JOIN class_map ON l_partkey % 18 = code"""),
     "ens": (("lines",), f"""
         SELECT {_LAT.format(k='site')} AS lat, {_LON.format(k='site')} AS lon, date AS time, rep,
                avg(l_quantity) / 7 AS v FROM lines GROUP BY ALL"""),

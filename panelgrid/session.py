@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "panelgrid", master: str | None = None,
@@ -48,3 +48,14 @@ def shared_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
     return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
+
+
+def pin(df: DataFrame, name: str) -> DataFrame:
+    """Write a derived table to the shared folder and go on from there.
+
+    Used where a result feeds several later steps: it is computed once, survives lost executors,
+    and its file size lets Spark choose joins. The scratch files stay until the folder is cleaned.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
