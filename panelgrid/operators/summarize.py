@@ -31,7 +31,7 @@ def class_share(df: DataFrame, by: str, measures: dict[str, Column]) -> DataFram
     table = df.groupBy(by).agg(*[c.alias(n) for n, c in measures.items()])
     total = table.agg(*[F.sum(n).alias(n) for n in measures])
     parts = [F.struct(F.lit(n).alias("type"),
-                      ratio(F.col(n) * 100, total.select(n).scalar()).alias("percent"))
+                      ratio(F.col(n) * 100.0, total.select(n).scalar()).alias("percent"))
              for n in measures]
     return (table.select(by, F.explode(F.array(*parts)).alias("p")).select(by, "p.*")
             .where(F.col("percent").isNotNull()))

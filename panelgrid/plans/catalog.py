@@ -1,6 +1,6 @@
 """Importing this module fills the registry."""
 
-from panelgrid.plans import clean_queries, grid_queries, panel_queries  # noqa: F401
+from panelgrid.plans import clean_queries, grid_queries, panel_queries, summary_queries  # noqa: F401
 from panelgrid.plans.registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]

@@ -157,7 +157,7 @@ class Views:
     def bench_wide(self) -> DataFrame:
         """Blocks with the metric of two treatments side by side."""
         return self.bench.groupBy("block").pivot("treatment", ["1-URGENT", "5-LOW"]).agg(
-            F.first("metric")).select("block", F.col("1-URGENT").alias("a"),
+            F.max("metric")).select("block", F.col("1-URGENT").alias("a"),
                                       F.col("5-LOW").alias("b"))
 
     @cached_property
