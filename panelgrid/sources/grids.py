@@ -7,7 +7,7 @@ from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql import types as T
 
 from panelgrid.functions.constants import REANALYSIS_RENAMES
 from panelgrid.operators.grid import rounded
@@ -38,15 +38,19 @@ def ensemble_scan(spark: SparkSession, path: str, pred_ids: Sequence[str] | None
     variables are never decoded. Predictions or years without files give no rows; files that
     vanish during the read are skipped when ``ignore_missing``.
     """
-    df = spark.read.option("ignoreMissingFiles", ignore_missing).parquet(path)
+    schema = T.StructType(
+        [T.StructField(c, t) for c, t in (("lat", T.DoubleType()), ("lon", T.DoubleType()),
+                                          ("time", T.DateType()), ("rep", T.IntegerType()))]
+        + [T.StructField(v, T.DoubleType()) for v in variables]
+        + [T.StructField("pred_id", T.StringType()), T.StructField("year", T.IntegerType())])
+    df = spark.read.schema(schema).option("ignoreMissingFiles", ignore_missing).parquet(path)
     if pred_ids is not None:
         df = df.where(F.col("pred_id").isin(list(pred_ids)))
     if start is not None:
         df = df.where((F.col("year") >= start.year) & (F.col("time") >= F.lit(start)))
     if end is not None:
         df = df.where((F.col("year") <= end.year) & (F.col("time") <= F.lit(end)))
-    keys = [c for c in ("lat", "lon", "time", "rep", "pred_id") if c in df.columns]
-    return df.select(*keys, *variables)
+    return df.select("lat", "lon", "time", "rep", "pred_id", *variables)
 
 
 def repetition_ids(pred_id: str, n: int = 30) -> list[str]:
@@ -89,7 +93,7 @@ def load_covariates(spark: SparkSession, path: str, wanted: Mapping[str, Sequenc
 
 
 def mask_scan(spark: SparkSession, path: str, value: str, renames: Mapping[str, str] = {},
-              drop: Sequence[str] = ("time",), schema: StructType | None = None) -> DataFrame:
+              drop: Sequence[str] = ("time",), schema: T.StructType | None = None) -> DataFrame:
     """A mask table as (lat, lon, m)."""
     reader = spark.read.schema(schema) if schema else spark.read
     df = reader.parquet(path).withColumnsRenamed(dict(renames)).drop(*drop)
