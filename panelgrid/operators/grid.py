@@ -111,10 +111,16 @@ def apply_mask(df: DataFrame, values: Sequence[str], land: DataFrame | None = No
         steps.append((nearest_snap(cells, wrapped(land), ["m"], outside="null"), sea_value))
     if custom is not None:
         steps.append((custom.select(*CELL, "m"), custom_value))
-    for k, (m, fill) in enumerate(steps):
-        df = df.join(m.withColumnRenamed("m", f"_m{k}"), list(CELL), "left")
-        df = df.withColumns({v: masked(v, F.col(f"_m{k}") > 0, fill) for v in values})
-        df = df.drop(f"_m{k}")
+    if steps:
+        flags = None
+        for k, (m, _) in enumerate(steps):
+            m = m.withColumnRenamed("m", f"_m{k}")
+            flags = m if flags is None else flags.join(m, list(CELL), "full_outer")
+        # all masks meet in one small table, so the big one is joined once
+        df = df.join(pin(flags, "masks"), list(CELL), "left")
+        for k, (_, fill) in enumerate(steps):
+            df = df.withColumns({v: masked(v, F.col(f"_m{k}") > 0, fill) for v in values})
+        df = df.drop(*[f"_m{k}" for k in range(len(steps))])
     if invalid_to_zero:
         df = df.withColumns({v: masked(v, F.col(v) > 0, 0.0) for v in values})
     return df

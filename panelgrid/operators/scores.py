@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from panelgrid.functions.columns import month_index, r2_from_sums, ratio
 from panelgrid.operators.grouping import exact_quantiles
+from panelgrid.session import pin
 
 REP = ("rep",)
 
@@ -124,7 +125,8 @@ def eval_metrics(df: DataFrame, keys: Sequence[str] = REP, site: Sequence[str] =
     results were computed; ``symmetric`` detrends both.
     """
     keys = list(keys)
-    s = site_moments(df, keys, site, date, truth, pred, min_months)
+    # one row per repetition and site, read twice: for the overall means and around them
+    s = pin(site_moments(df, keys, site, date, truth, pred, min_months), "moments")
     centre = s.groupBy(*keys).agg(
         ratio(F.sum(F.col("n") * F.col("site_y")), F.sum("n")).alias("_y0"),
         ratio(F.sum(F.col("season_n") * F.col("season_y")), F.sum("season_n")).alias("_s0"))

@@ -24,7 +24,7 @@ def write_ensemble(df: DataFrame, path: str, pred_id: str = "pred_id",
     even size and cell filters skip row groups.
     """
     out = df.withColumn("year", F.year(time)).withColumn("_band", F.floor(F.col("lat") / LAT_BAND))
-    (out.repartition(pred_id, "year", "_band").sortWithinPartitions(pred_id, "year", "lat", "lon")
+    (out.hint("rebalance", pred_id, "year", "_band").sortWithinPartitions(pred_id, "year", "lat", "lon")
      .drop("_band").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy(pred_id, "year").parquet(path))
 
@@ -60,8 +60,9 @@ def repetition_ids(pred_id: str, n: int = 30) -> list[str]:
 
 def write_covariates(df: DataFrame, path: str) -> None:
     """Long covariates (dataset, var, lat, lon, time, value) by dataset, variable and year."""
-    out = df.withColumn("year", F.year("time"))
-    (out.repartition("dataset", "var", "year", F.floor(F.col("lat") / LAT_BAND))
+    out = (df.withColumn("year", F.year("time"))
+           .withColumn("_band", F.floor(F.col("lat") / LAT_BAND)))
+    (out.hint("rebalance", "dataset", "var", "year", "_band").drop("_band")
      .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("dataset", "var", "year").parquet(path))
 

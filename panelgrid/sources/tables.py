@@ -48,10 +48,10 @@ def write_partitioned(df: DataFrame, path: str, keys: Sequence[str],
                       sort: Sequence[str] = ()) -> None:
     """Parquet by partition; only the partitions present in ``df`` are replaced.
 
-    Rows are clustered by partition first, so a partition is not scattered over small files. AQE
-    splits partitions that turn out too large.
+    Rows are clustered by partition first, so a partition is not scattered over small files. The
+    rebalance hint lets adaptive execution split a partition that holds most of the rows.
     """
-    out = df.repartition(*keys) if not sort else df.repartition(*keys, *sort)
+    out = df.hint("rebalance", *keys)
     if sort:
         out = out.sortWithinPartitions(*keys, *sort)
     (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
