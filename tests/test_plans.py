@@ -1,0 +1,31 @@
+"""Plans must not hide a Cartesian product or leave the JVM on the data path."""
+
+import re
+
+import pytest
+
+from panelgrid.plans.catalog import ORACLE, QUERIES
+
+SF = "/root/testdata/sf0.001"
+# a handful of quantile bins is joined by range, with the bins broadcast
+RANGE_JOINS = {"bias_by_quartile"}
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("name", list(ORACLE))
+def test_no_cross_join_and_no_python(spark, name):
+    text = plan_of(QUERIES[name](spark, SF))
+    assert "CartesianProduct" not in text
+    if name not in RANGE_JOINS:
+        assert "BroadcastNestedLoopJoin" not in text
+    assert not re.search(r"ArrowEvalPython|BatchEvalPython|MapInPandas|FlatMapGroups", text)
+
+
+def test_scan_reads_only_needed_columns(spark):
+    text = plan_of(QUERIES["rep_mean"](spark, SF))
+    schema = re.search(r"ReadSchema: struct<([^>]*)>", text).group(1)
+    assert {c.split(":")[0] for c in schema.split(",")} == {"l_suppkey", "l_linenumber", "l_quantity",
+                                                            "l_shipdate"}
