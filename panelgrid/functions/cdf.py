@@ -7,9 +7,11 @@ NumPy on the *result* of an aggregation, never on the data path.
 from __future__ import annotations
 
 import math
+import sys
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -139,3 +141,7 @@ def student_two_sided_udf(t: pd.Series, df: pd.Series) -> pd.Series:
 def signed_rank_lower_udf(n: pd.Series, w: pd.Series) -> pd.Series:
     return pd.Series([None if pd.isna(a) or pd.isna(b) else signed_rank_lower_tail(int(a), b)
                       for a, b in zip(n, w)], dtype=float)
+
+
+# The functions travel with the query, so workers need no installed copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -75,6 +75,16 @@ def exclude_classes(df: DataFrame, column: str, classes: Sequence[str]) -> DataF
     return df.where(F.coalesce(~F.col(column).isin(list(classes)), F.lit(True)))
 
 
+def drop_ids(df: DataFrame, key: str, ids: Sequence) -> DataFrame:
+    """Drop listed records, such as an outlier run; a missing id is kept."""
+    return exclude_classes(df, key, ids)
+
+
+def keep_labels(df: DataFrame, column: str, labels: Sequence) -> DataFrame:
+    """Only records with a listed label."""
+    return df.where(F.col(column).isin(list(labels)))
+
+
 def drop_all_null(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.dropna(how="all", subset=list(columns))
 

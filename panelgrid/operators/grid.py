@@ -24,14 +24,17 @@ def wrapped(df: DataFrame, lon: str = "lon") -> DataFrame:
     return df.withColumn(lon, F.round(wrap_lon(lon), 9))
 
 
-def grid_stride(df: DataFrame, step: int = 5, cell: Sequence[str] = CELL) -> DataFrame:
+def grid_stride(df: DataFrame, step: int = 5, cell: Sequence[str] = CELL,
+                cells: DataFrame | None = None) -> DataFrame:
     """Every ``step``-th value of each sorted axis.
 
-    Only the axis tables (distinct coordinates, thousands at most) are numbered.
+    Only the axis tables (distinct coordinates, at most 360,000 at three decimals) are numbered.
+    They are taken from ``cells``, the table of grid cells, or else from the data.
     """
+    axes = df if cells is None else cells
     for c in cell:
         nth = F.row_number().over(Window.orderBy(c)) - 1
-        keep = df.select(c).distinct().withColumn("_i", nth).where(F.col("_i") % step == 0)
+        keep = axes.select(c).distinct().withColumn("_i", nth).where(F.col("_i") % step == 0)
         df = df.join(keep.select(c), c, "left_semi")
     return df
 
@@ -69,15 +72,20 @@ def snap_axis(targets: DataFrame, sources: DataFrame, axis: str, outside: str =
 
 def nearest_snap(targets: DataFrame, source: DataFrame, values: Sequence[str],
                  on: Sequence[str] = (), outside: str = "clamp", wrap: bool = False,
-                 how: str = "left", cell: Sequence[str] = CELL) -> DataFrame:
+                 how: str = "left", cell: Sequence[str] = CELL,
+                 cells: DataFrame | None = None,
+                 source_cells: DataFrame | None = None) -> DataFrame:
     """Value of the nearest source cell for every target row.
 
     Nearest is taken per axis, so two small axis tables replace a cell-by-cell distance join.
-    ``on`` lists further equal keys such as time.
+    ``on`` lists further equal keys such as time. ``cells`` and ``source_cells`` name the cells
+    of the two grids where they are known; otherwise both axes are read from the data.
     """
     lat, lon = cell
-    lat_map = snap_axis(targets, source, lat, outside, "_slat")
-    lon_map = snap_axis(targets, source, lon, outside, "_slon", 360.0 if wrap else None)
+    t = targets if cells is None else cells
+    s = source if source_cells is None else source_cells
+    lat_map = snap_axis(t, s, lat, outside, "_slat")
+    lon_map = snap_axis(t, s, lon, outside, "_slon", 360.0 if wrap else None)
     located = targets.join(lat_map, lat, "left").join(lon_map, lon, "left")
     src = source.select(F.col(lat).alias("_slat"), F.col(lon).alias("_slon"), *on, *values)
     keep = [c for c in targets.columns]

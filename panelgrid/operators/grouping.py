@@ -82,8 +82,6 @@ def _value_cuts(counted: DataFrame, value: str) -> list[float]:
 
 def _bucket_of(value: str, cuts: Sequence[float]) -> Column:
     """Number of cuts below the value, found in two steps of about sqrt(CUTS) comparisons."""
-    if not cuts:
-        return F.lit(0)
 
     def literal(xs):
         return F.expr("array(" + ", ".join(f"{x!r}D" for x in xs) + ")")
@@ -110,14 +108,26 @@ def value_positions(df: DataFrame, value: str, by: Sequence[str] = (),
     by = list(by)
     counted = _counted(df, value, by, counters)
     cuts = _value_cuts(counted, value)
+    return _ranked(counted, value, by, cuts).select(
+        *by, value, "cnt", *counters, "bucket", "total", "start")
+
+
+def _ranked(counted, value, by, cuts, only=None):
+    """Add ``bucket``, ``total`` and ``start``; with ``only``, keep just the ranges it holds for."""
+    if not cuts:
+        # few distinct values: no ranges needed
+        w = Window.partitionBy(*by)
+        below = F.sum("cnt").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, -1))
+        return counted.select("*", F.lit(0).alias("bucket"), F.sum("cnt").over(w).alias("total"),
+                              F.coalesce(below, F.lit(0)).alias("start"))
     located = counted.withColumn("bucket", _bucket_of(value, cuts))
     table = _bucket_table(located, by)
-    inside = (Window.partitionBy(*by, "bucket").orderBy(value)
-              .rowsBetween(Window.unboundedPreceding, -1))
-    return located.join(table, by + ["bucket"]).select(
-        *by, value, "cnt", *counters, "bucket", "total",
-        (F.col("before") + F.coalesce(F.sum("cnt").over(inside), F.lit(0))).alias("start"),
-    )
+    if only is not None:
+        table = table.where(only)
+    w = Window.partitionBy(*by, "bucket").orderBy(value)
+    below = F.sum("cnt").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    return located.join(table, by + ["bucket"]).withColumn(
+        "start", F.col("before") + F.coalesce(below, F.lit(0)))
 
 
 def _counted(df, value, by, counters):
@@ -149,7 +159,6 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float],
     by = list(by)
     counted = _counted(df, value, by, {})
     cuts = _value_cuts(counted, value)
-    located = counted.withColumn("bucket", _bucket_of(value, cuts))
 
     def pos(p):
         return (F.col("total") - 1) * F.lit(float(p))
@@ -157,11 +166,7 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float],
     edges = [e for p in probs for e in (F.floor(pos(p)), F.ceil(pos(p)))]
     wanted = F.exists(F.array(*edges), lambda e: (e >= F.col("before"))
                       & (e < F.col("before") + F.col("in_bucket")))
-    table = _bucket_table(located, by).where(wanted)
-    inside = (Window.partitionBy(*by, "bucket").orderBy(value)
-              .rowsBetween(Window.unboundedPreceding, -1))
-    rows = located.join(table, by + ["bucket"]).withColumn(
-        "start", F.col("before") + F.coalesce(F.sum("cnt").over(inside), F.lit(0)))
+    rows = _ranked(counted, value, by, cuts, wanted)
 
     def at(e):
         hit = (e >= F.col("start")) & (e < F.col("start") + F.col("cnt"))

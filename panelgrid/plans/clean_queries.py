@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from panelgrid.functions import columns as C
@@ -300,3 +302,11 @@ def ensemble_mean(v):
 def scale_units(v):
     return v.site_month.select("site", "date", (F.col("gt") * C.days_in_month("date") * 12)
                                .alias("yearly"))
+
+
+@query("drop_outlier", sql("bench", f"""
+    SELECT {d('block', 'block')}, treatment, {r('metric', 'metric')} FROM bench
+    WHERE treatment IN ('1-URGENT', '2-HIGH', '5-LOW') AND block <> DATE '1996-05-31'"""))
+def drop_outlier(v):
+    kept = clean.keep_labels(v.bench, "treatment", ["1-URGENT", "2-HIGH", "5-LOW"])
+    return clean.drop_ids(kept, "block", [dt.date(1996, 5, 31)])
