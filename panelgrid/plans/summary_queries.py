@@ -206,15 +206,27 @@ def normality(v):
     return stats.normality(v.bench, "metric", ["treatment"], with_p=False)
 
 
-@query("normality_p")
+@query("normality_p", sql("bench", f"""
+    SELECT treatment, {r("exp(-n / 12.0 * ((m3 / m2 ** 1.5) ** 2 + (m4 / (m2 * m2) - 3) ** 2 / 4))",
+                         'p_value')}
+    FROM (SELECT treatment, count(*) AS n, avg((metric - m) ** 2) AS m2,
+                 avg((metric - m) ** 3) AS m3, avg((metric - m) ** 4) AS m4
+          FROM (SELECT *, avg(metric) OVER (PARTITION BY treatment) AS m FROM bench)
+          GROUP BY treatment)"""))
 def normality_p(v):
-    """With p-values, which SQL lacks."""
-    return stats.normality(v.bench, "metric", ["treatment"])
+    """p-values; with two degrees of freedom the chi-squared tail is an exponential."""
+    return stats.normality(v.bench, "metric", ["treatment"]).select("treatment", "p_value")
 
 
-@query("friedman_p")
+@query("friedman_p", sql("bench", f"""
+    SELECT {r('exp(-x / 2) * (1 + x / 2)', 'p_value')}
+    FROM (SELECT 12.0 * n / (k * (k + 1)) * (rr - k * (k + 1) ** 2 / 4.0) AS x
+          FROM (SELECT count(*) AS k, max(n) AS n, sum(mr ** 2) AS rr
+                FROM (SELECT treatment, avg(rank) AS mr, count(*) AS n FROM ranked
+                      GROUP BY treatment)))""", _RANKS))
 def friedman_p(v):
-    return stats.friedman(v.bench)
+    """p-value; five treatments give four degrees of freedom, which has a closed form."""
+    return stats.friedman(v.bench).select("p_value")
 
 
 # ---- summaries ---------------------------------------------------------------------------

@@ -74,3 +74,8 @@ def load_predictions(spark: SparkSession, root: str, prefix: str | None = None)
 
 def load_folds(spark: SparkSession, root: str, prefix: str | None = None) -> DataFrame:
     return _load(spark, root, "folds", FOLDS, prefix)
+
+
+def load_features(spark: SparkSession, root: str, exp_id: str) -> DataFrame:
+    """The feature table saved with an experiment."""
+    return spark.read.parquet(os.path.join(root, "features")).where(F.col("exp_id") == exp_id)
