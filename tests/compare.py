@@ -34,9 +34,11 @@ def canonical(rows, columns):
     return sorted(tuple(cell(row[k]) for k in order) for row in rows)
 
 
-def compare(spark, con, name, fn, sql, sf_dir):
+def compare(spark, con, name, fn, sql, sf_dir, inspect=None):
     """None when equal, else a short description of the difference."""
     df = fn(spark, sf_dir)
+    if inspect:
+        inspect(df)
     got = [tuple(x) for x in df.collect()]
     if sql is None:
         return None if got else "no rows"
