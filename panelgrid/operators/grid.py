@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelgrid.functions.columns import round_coord, wrap_lon
+from panelgrid.operators.grouping import join_reduced
 from panelgrid.session import pin
 
 CELL = ("lat", "lon")
@@ -35,7 +36,7 @@ def grid_stride(df: DataFrame, step: int = 5, cell: Sequence[str] = CELL,
     for c in cell:
         nth = F.row_number().over(Window.orderBy(c)) - 1
         keep = axes.select(c).distinct().withColumn("_i", nth).where(F.col("_i") % step == 0)
-        df = df.join(keep.select(c), c, "left_semi")
+        df = join_reduced(df, keep.select(c), [c], "left_semi")
     return df
 
 
@@ -86,7 +87,7 @@ def nearest_snap(targets: DataFrame, source: DataFrame, values: Sequence[str],
     s = source if source_cells is None else source_cells
     lat_map = snap_axis(t, s, lat, outside, "_slat")
     lon_map = snap_axis(t, s, lon, outside, "_slon", 360.0 if wrap else None)
-    located = targets.join(lat_map, lat, "left").join(lon_map, lon, "left")
+    located = join_reduced(join_reduced(targets, lat_map, [lat]), lon_map, [lon])
     src = source.select(F.col(lat).alias("_slat"), F.col(lon).alias("_slon"), *on, *values)
     keep = [c for c in targets.columns]
     return located.join(src, ["_slat", "_slon", *on], how).select(*keep, *values)

@@ -2,15 +2,16 @@
 
 Group statistics are map-side combined and joined back instead of computed in a window over
 the group: one site may hold a third of all rows, and a window would put it in one task. The
-joins carry no hint, so Spark broadcasts the statistics only when their measured size allows,
-and adaptive execution splits skewed partitions otherwise.
+joins carry no hint: reduced tables are pinned, so Spark knows their size, broadcasts them below
+its threshold (the big side is then not shuffled at all), and otherwise shuffles both sides while
+adaptive execution splits skewed partitions.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,10 +19,16 @@ from panelgrid.functions.columns import hash_key
 from panelgrid.session import pin
 
 
+def join_reduced(df: DataFrame, reduced: DataFrame, keys: Sequence[str],
+                 how: str = "left") -> DataFrame:
+    """Join a table that an aggregation or ``distinct`` has made small, by its measured size."""
+    return df.join(pin(reduced, "reduced"), list(keys), how)
+
+
 def attach_stats(df: DataFrame, keys: Sequence[str], **aggs: Column) -> DataFrame:
     """Every row with the aggregates of its group. Rows with a NULL key get NULL statistics."""
     stats = df.groupBy(*keys).agg(*[a.alias(n) for n, a in aggs.items()])
-    return df.join(stats, list(keys), "left")
+    return join_reduced(df, stats, keys)
 
 
 def known_neighbours(df: DataFrame, values: Sequence[str], order: Sequence[str], block: Column,
@@ -63,37 +70,46 @@ def known_neighbours(df: DataFrame, values: Sequence[str], order: Sequence[str],
     )
 
 
-# At most CUTS cut points per value axis, one for every VALUES_PER_CUT distinct values.
-CUTS = 512
+# One cut point per VALUES_PER_CUT rows of a value axis, at most MAX_CUTS.
 VALUES_PER_CUT = 200_000
+MAX_CUTS = 8192
 
 
-def _value_cuts(counted: DataFrame, value: str) -> list[float]:
-    """Approximate quantiles of the distinct values: one array of at most CUTS numbers."""
-    probs = ", ".join(f"{i / CUTS!r}D" for i in range(1, CUTS))
-    row = counted.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.expr(f"percentile_approx(`{value}`, array({probs}), {10 * CUTS})").alias("c")).first()
-    wanted = min(CUTS - 1, row["n"] // VALUES_PER_CUT)
-    known = sorted(set(row["c"] or []))
-    picks = sorted({(k + 1) * len(known) // (wanted + 1) for k in range(wanted)} - {0})
-    return [float(known[k - 1]) for k in picks]
+def _value_cuts(rows: DataFrame, value: str) -> list[float]:
+    """Approximate quantiles: one array of at most MAX_CUTS numbers, empty for small tables."""
+    wanted = min(MAX_CUTS, rows.count() // VALUES_PER_CUT)
+    if not wanted:
+        return []
+    probs = ", ".join(f"{(k + 1) / (wanted + 1)!r}D" for k in range(wanted))
+    row = rows.agg(F.expr(
+        f"percentile_approx(`{value}`, array({probs}), {10 * (wanted + 1)})").alias("c")).first()
+    return sorted({float(c) for c in row["c"] or []})
 
 
-def _bucket_of(value: str, cuts: Sequence[float]) -> Column:
-    """Number of cuts below the value, found in two steps of about sqrt(CUTS) comparisons."""
+def _with_bucket(df: DataFrame, value: str, cuts: Sequence[float]) -> DataFrame:
+    """Add ``bucket``, the number of cuts at or below the value."""
+    splits = [-float("inf"), *cuts, float("inf")]
+    binned = Bucketizer(splits=splits, inputCol=value, outputCol="_b", handleInvalid="keep")
+    return binned.transform(df).withColumn("bucket", F.col("_b").cast("int")).drop("_b")
 
-    def literal(xs):
-        return F.expr("array(" + ", ".join(f"{x!r}D" for x in xs) + ")")
 
-    def below(xs):
-        return F.size(F.filter(xs, lambda c: c < F.col(value)))
+def _known(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
+    rows = df.where(F.col(value).isNotNull())
+    for k in by:
+        rows = rows.where(F.col(k).isNotNull())
+    return rows
 
-    step = math.isqrt(len(cuts)) + 1
-    if len(cuts) <= step:
-        return below(literal(cuts))
-    coarse = below(literal(cuts[step - 1::step])) * step
-    return coarse + below(F.slice(literal(cuts), coarse + 1, F.lit(step)))
+
+def _below(over, count: str) -> Column:
+    return F.coalesce(F.sum(count).over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+
+def _bucket_table(located: DataFrame, by: Sequence[str], rows: Column) -> DataFrame:
+    """Rows in and below each value range; a window sees at most MAX_CUTS + 1 rows."""
+    w = Window.partitionBy(*by)
+    return (located.groupBy(*by, "bucket").agg(rows.alias("in_bucket"))
+            .select(*by, "bucket", "in_bucket", _below(w.orderBy("bucket"), "in_bucket")
+                    .alias("before"), F.sum("in_bucket").over(w).alias("total")))
 
 
 def value_positions(df: DataFrame, value: str, by: Sequence[str] = (),
@@ -102,77 +118,62 @@ def value_positions(df: DataFrame, value: str, by: Sequence[str] = (),
 
     Columns: ``by``, ``value``, ``cnt`` (rows with that value), ``start`` (rows of the group with
     a smaller value), ``total`` (rows of the group), ``bucket``, and the extra counters. NULL
-    values and NULL keys are left out. Values are counted first, so ties never pile up; the rest
-    is cut into value ranges whose sizes are summed in a table of at most CUTS rows per group.
+    values and NULL keys are left out. Values are counted first, so ties never pile up, and the
+    counts are pinned: they are read for the cuts, for the range sizes and for the ranks. Only
+    values of one range are sorted together.
     """
     by = list(by)
-    counted = _counted(df, value, by, counters)
+    counted = pin(_known(df, value, by).groupBy(*by, value).agg(
+        F.count(F.lit(1)).alias("cnt"), *[c.alias(n) for n, c in counters.items()]), "values")
     cuts = _value_cuts(counted, value)
-    return _ranked(counted, value, by, cuts).select(
-        *by, value, "cnt", *counters, "bucket", "total", "start")
-
-
-def _ranked(counted, value, by, cuts, only=None):
-    """Add ``bucket``, ``total`` and ``start``; with ``only``, keep just the ranges it holds for."""
     if not cuts:
-        # few distinct values: no ranges needed
         w = Window.partitionBy(*by)
-        below = F.sum("cnt").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, -1))
-        return counted.select("*", F.lit(0).alias("bucket"), F.sum("cnt").over(w).alias("total"),
-                              F.coalesce(below, F.lit(0)).alias("start"))
-    located = counted.withColumn("bucket", _bucket_of(value, cuts))
-    table = _bucket_table(located, by)
-    if only is not None:
-        table = table.where(only)
-    w = Window.partitionBy(*by, "bucket").orderBy(value)
-    below = F.sum("cnt").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    return located.join(table, by + ["bucket"]).withColumn(
-        "start", F.col("before") + F.coalesce(below, F.lit(0)))
-
-
-def _counted(df, value, by, counters):
-    """Distinct values with their counts, pinned: they are read for the cuts and for the ranks."""
-    rows = df.where(F.col(value).isNotNull())
-    for k in by:
-        rows = rows.where(F.col(k).isNotNull())
-    return pin(rows.groupBy(*by, value).agg(F.count(F.lit(1)).alias("cnt"),
-                                            *[c.alias(n) for n, c in counters.items()]),
-               "values")
-
-
-def _bucket_table(located, by):
-    """Rows below each value range; the window sees at most CUTS rows per group."""
-    upto = Window.partitionBy(*by).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    return (located.groupBy(*by, "bucket").agg(F.sum("cnt").alias("in_bucket"))
-            .select(*by, "bucket", "in_bucket",
-                    F.coalesce(F.sum("in_bucket").over(upto), F.lit(0)).alias("before"),
-                    F.sum("in_bucket").over(Window.partitionBy(*by)).alias("total")))
+        return counted.select(*by, value, "cnt", *counters, F.lit(0).alias("bucket"),
+                              F.sum("cnt").over(w).alias("total"),
+                              _below(w.orderBy(value), "cnt").alias("start"))
+    located = _with_bucket(counted, value, cuts)
+    table = _bucket_table(located, by, F.sum("cnt"))
+    inside = Window.partitionBy(*by, "bucket").orderBy(value)
+    return located.join(table, by + ["bucket"]).select(
+        *by, value, "cnt", *counters, "bucket", "total",
+        (F.col("before") + _below(inside, "cnt")).alias("start"))
 
 
 def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float],
                     by: Sequence[str] = ()) -> DataFrame:
     """Exact quantiles (linear interpolation) per group: ``by``, ``n``, ``q0``, ``q1``, ...
 
-    Spark's own ``percentile`` builds the whole group in one task. Here only the value ranges
-    that contain a wanted position are kept and sorted.
+    Spark's own ``percentile`` builds the whole group in one task. Here rows are counted per value
+    range on the map side, and only the ranges that hold a wanted position are shuffled and
+    sorted. The (key, value) columns are pinned, so the input is computed once.
     """
     by = list(by)
-    counted = _counted(df, value, by, {})
-    cuts = _value_cuts(counted, value)
+    rows = pin(_known(df, value, by).select(*by, value), "values")
+    cuts = _value_cuts(rows, value)
 
     def pos(p):
         return (F.col("total") - 1) * F.lit(float(p))
 
-    edges = [e for p in probs for e in (F.floor(pos(p)), F.ceil(pos(p)))]
-    wanted = F.exists(F.array(*edges), lambda e: (e >= F.col("before"))
-                      & (e < F.col("before") + F.col("in_bucket")))
-    rows = _ranked(counted, value, by, cuts, wanted)
+    if cuts:
+        located = _with_bucket(rows, value, cuts)
+        edges = F.array(*[e for p in probs for e in (F.floor(pos(p)), F.ceil(pos(p)))])
+        table = _bucket_table(located, by, F.count(F.lit(1))).where(F.exists(
+            edges, lambda e: (e >= F.col("before")) & (e < F.col("before") + F.col("in_bucket"))))
+        counted = join_reduced(located, table, by + ["bucket"], "inner").groupBy(
+            *by, "bucket", "before", "total", value).agg(F.count(F.lit(1)).alias("cnt"))
+        inside = Window.partitionBy(*by, "bucket").orderBy(value)
+        placed = counted.withColumn("start", F.col("before") + _below(inside, "cnt"))
+    else:
+        counted = rows.groupBy(*by, value).agg(F.count(F.lit(1)).alias("cnt"))
+        w = Window.partitionBy(*by)
+        placed = counted.withColumns({"start": _below(w.orderBy(value), "cnt"),
+                                      "total": F.sum("cnt").over(w)})
 
     def at(e):
         hit = (e >= F.col("start")) & (e < F.col("start") + F.col("cnt"))
         return F.max(F.when(hit, F.col(value)))
 
-    picked = rows.groupBy(*by, F.col("total").alias("n")).agg(
+    picked = placed.groupBy(*by, F.col("total").alias("n")).agg(
         *[at(F.floor(pos(p))).alias(f"_lo{i}") for i, p in enumerate(probs)],
         *[at(F.ceil(pos(p))).alias(f"_hi{i}") for i, p in enumerate(probs)],
     )

@@ -24,6 +24,7 @@ from panelgrid.functions.columns import recode, sanitize
 from panelgrid.functions.constants import PIXEL_CODE_TO_CLASS, UNSCORED_CLASSES
 from panelgrid.operators import split
 from panelgrid.operators.features import one_hot
+from panelgrid.operators.grouping import join_reduced
 from panelgrid.operators.scores import r2, rmse
 from panelgrid.session import pin
 
@@ -155,7 +156,8 @@ def bootstrap_predictions(df: DataFrame, estimator: Estimator, features: Sequenc
     """Fit on the sites in the bag, predict the others, for each repetition."""
     table = training_table(df, features, y, None)
     roles = split.group_bootstrap(table, "site", size, max(reps) + 1, base_seed)
-    rows = pin(table.join(roles.where(F.col("rep").isin(list(reps))), "site"), "bootstrap")
+    roles = roles.where(F.col("rep").isin(list(reps)))
+    rows = pin(join_reduced(table, roles, ["site"], "inner"), "bootstrap")
     parts = []
     for rep in reps:
         mine = rows.where(F.col("rep") == rep)

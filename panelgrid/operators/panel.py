@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelgrid.functions.columns import month_index, ratio
-from panelgrid.operators.grouping import attach_stats, known_neighbours
+from panelgrid.operators.grouping import attach_stats, join_reduced, known_neighbours
 
 SITE = ("site",)
 
@@ -64,7 +64,7 @@ def msc(df: DataFrame, value: str, keys: Sequence[str] = SITE, date: str = "date
     season = season.drop("_n")
     if not transform:
         return season
-    return (df.withColumn("month", F.month(date)).join(season, [*keys, "month"], "left")
+    return (join_reduced(df.withColumn("month", F.month(date)), season, [*keys, "month"])
             .drop("month"))
 
 
@@ -94,7 +94,7 @@ def iav(df: DataFrame, value: str, keys: Sequence[str] = SITE, date: str = "date
         detrend: bool = False, out: str = "iav") -> DataFrame:
     """Anomaly: value minus its season, optionally minus the line fitted to that difference."""
     stats = _season_and_slope(df, value, keys, date)
-    j = df.withColumn("month", F.month(date)).join(stats, [*keys, "month"], "left")
+    j = join_reduced(df.withColumn("month", F.month(date)), stats, [*keys, "month"])
     anomaly = F.col(value) - F.col("_season")
     if detrend:
         anomaly = anomaly - F.col("_slope") * (month_index(date) - F.col("_x0"))
@@ -134,13 +134,13 @@ def min_months(df: DataFrame, value: str, at_least: int, keys: Sequence[str] = S
     """Rows of sites with at least that many known values."""
     long_enough = (df.groupBy(*keys).agg(F.count(value).alias("_n"))
                    .where(F.col("_n") >= at_least).select(*keys))
-    return df.join(long_enough, list(keys), "left_semi")
+    return join_reduced(df, long_enough, keys, "left_semi")
 
 
 def drop_empty_dates(df: DataFrame, value: str, date: str = "date") -> DataFrame:
     """Drop dates at which no site has the value."""
     dates = df.where(F.col(value).isNotNull()).select(date).distinct()
-    return df.join(dates, date, "left_semi")
+    return join_reduced(df, dates, [date], "left_semi")
 
 
 def class_changed(df: DataFrame, value: str, keys: Sequence[str] = SITE) -> DataFrame:

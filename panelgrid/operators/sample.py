@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from panelgrid.functions.columns import uniform
 from panelgrid.operators.grid import merge_grids, snap_axis
-from panelgrid.operators.grouping import pick_by_draw, weighted_positions
+from panelgrid.operators.grouping import join_reduced, pick_by_draw, weighted_positions
 from panelgrid.session import pin
 
 
@@ -50,15 +50,15 @@ def at_locations(locations: DataFrame, product: DataFrame, value: str = "v",
                  wrap: bool = False) -> DataFrame:
     """Rows of the nearest product cell at each location: loc, time, value.
 
-    The product is cut down to the wanted cells by an equi-join on its own coordinates; Spark
-    broadcasts the located sample when its size allows.
+    The product is cut down to the wanted cells by an equi-join on its own coordinates.
     """
     lat_map = snap_axis(locations, product, "lat", "clamp", "_slat")
     lon_map = snap_axis(locations, product, "lon", "clamp", "_slon", 360.0 if wrap else None)
     located = (locations.join(lat_map, "lat").join(lon_map, "lon")
                .select("loc", F.col("_slat").alias("lat"), F.col("_slon").alias("lon")))
-    return product.select("lat", "lon", "time", value).join(located, ["lat", "lon"]).select(
-        "loc", "time", value)
+    cut = join_reduced(product.select("lat", "lon", "time", value), located, ["lat", "lon"],
+                       "inner")
+    return cut.select("loc", "time", value)
 
 
 def compare_at_locations(locations: DataFrame, products: Mapping[str, DataFrame],

@@ -57,7 +57,8 @@ def group_kfold(df: DataFrame, group: str, label: str, k: int = 5, seed: int = 2
     back = F.pmod(F.floor(pos / k), F.lit(2)) == 1
     start = F.conv(F.substring(hash_key(seed, "_label"), 1, 6), 16, 10).cast("bigint")
     fold = F.pmod(F.when(back, k - 1 - lane).otherwise(lane) + start, F.lit(k))
-    return g.join(blocks, ["_label", "_size", "_hb"]).select(group, fold.cast("int").alias("fold"))
+    dealt = g.join(blocks, ["_label", "_size", "_hb"])
+    return pin(dealt.select(group, fold.cast("int").alias("fold")), "folds")
 
 
 def _greedy(counts: DataFrame, group: str, label: str, k: int, seed: int) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelgrid.functions.columns import ratio
-from panelgrid.operators.grouping import attach_stats, exact_quantiles
+from panelgrid.operators.grouping import attach_stats, exact_quantiles, join_reduced
 
 
 def class_counts(df: DataFrame, by: Sequence[str], distinct: str | None = None) -> DataFrame:
@@ -83,12 +83,16 @@ def _bin(value: str, lo: float, hi: float, n_bins: int, right_closed: bool) -> C
 
 
 def histogram(df: DataFrame, value: str, lo: float, hi: float, n_bins: int,
-              by: Sequence[str] = ()) -> DataFrame:
+              by: Sequence[str] = (), decimals: int | None = None) -> DataFrame:
     """Counts, density and Poisson errors per bin: every bin of every group, empty ones too.
 
-    The last bin includes ``hi``; density is over the values inside the range.
+    The last bin includes ``hi``; density is over the values inside the range. ``decimals`` rounds
+    first: a computed value that lies exactly on a bin edge has a last digit that depends on the
+    order of summation, and would otherwise change bin with the partitioning.
     """
     by = list(by)
+    if decimals is not None:
+        df = df.withColumn(value, F.round(value, decimals))
     width = (hi - lo) / n_bins
     counts = (df.select(*by, _bin(value, lo, hi, n_bins, True).alias("bin"))
               .where(F.col("bin").isNotNull()).groupBy(*by, "bin")
@@ -144,7 +148,7 @@ def box_stats(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
     reach = (F.col("q3") - F.col("q1")) * 1.5
     v = F.col(value)
     inside = (v >= F.col("q1") - reach) & (v <= F.col("q3") + reach)
-    return (df.where(v.isNotNull()).select(*by, value).join(q, by)
+    return (join_reduced(df.where(v.isNotNull()).select(*by, value), q, by, "inner")
             .groupBy(*by, "n", "q1", "median", "q3").agg(
                 F.least(F.min(F.when(inside, v)), F.col("q1")).alias("whisker_low"),
                 F.greatest(F.max(F.when(inside, v)), F.col("q3")).alias("whisker_high"),

@@ -66,23 +66,19 @@ def ensemble_scan(v):
 
 
 def _covariates(v):
-    lat, lon = v.lat_lon("site")
-    cell = v.lines.select(lat.alias("lat"), lon.alias("lon"), F.col("date").alias("time"), "site",
-                          "l_quantity", "l_tax", "l_discount")
-    keys = ["lat", "lon", "time"]
-
-    def layer(dataset, var, value):
-        return cell.groupBy(*keys).agg(value.alias("value")).select(
-            F.lit(dataset).alias("dataset"), F.lit(var).alias("var"), *keys, "value")
-
-    yearly = cell.groupBy("lat", "lon", F.make_date(F.year("time"), F.lit(12), F.lit(31))
-                          .alias("time")).agg(F.max(1 + F.col("site") % 17).cast("double")
-                                              .alias("value"))
-    return (layer("MCD43C4v006", "b1", F.avg("l_quantity") / 7)
-            .unionByName(layer("MCD43C4v006", "b2", F.avg("l_tax") / 7))
-            .unionByName(layer("MODIS_LST", "LST_Day", F.avg("l_discount") / 7))
-            .unionByName(yearly.select(F.lit("MCD12Q1").alias("dataset"), F.lit("IGBP").alias("var"),
-                                       *keys, "value")))
+    monthly = v.lines.groupBy("site", "date").agg(
+        (F.avg("l_quantity") / 7).alias("b1"), (F.avg("l_tax") / 7).alias("b2"),
+        (F.avg("l_discount") / 7).alias("LST_Day"))
+    yearly = v.lines.select("site", F.make_date(F.year("date"), F.lit(12), F.lit(31))
+                            .alias("date")).distinct().withColumn(
+        "IGBP", (1 + F.col("site") % 17).cast("double"))
+    key = ["lat", "lon", "time"]
+    layers = v.cells(monthly, "b1", "b2", "LST_Day").unpivot(
+        key, ["b1", "b2", "LST_Day"], "var", "value")
+    classes = v.cells(yearly, "IGBP").unpivot(key, ["IGBP"], "var", "value")
+    dataset = (F.when(F.col("var") == "IGBP", "MCD12Q1").when(F.col("var") == "LST_Day", "MODIS_LST")
+               .otherwise("MCD43C4v006"))
+    return layers.unionByName(classes).withColumn("dataset", dataset)
 
 
 @query("covariate_scan", sql("lines", f"""

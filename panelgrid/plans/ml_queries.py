@@ -67,10 +67,9 @@ _GRID = """SELECT lat, lon, time, avg(l_quantity) / 7 AS x, avg(l_extendedprice)
 
 
 def _grid(v):
-    lat, lon = v.lat_lon("site")
-    g = v.lines.groupBy(lat.alias("lat"), lon.alias("lon"), F.col("date").alias("time")).agg(
+    g = v.lines.groupBy("site", "date").agg(
         (F.avg("l_quantity") / 7).alias("x"), (F.avg("l_extendedprice") / 997).alias("y"))
-    return g.join(v.land_cover, ["lat", "lon", "time"], "left")
+    return v.cells(g, "x", "y").join(v.land_cover, ["lat", "lon", "time"], "left")
 
 
 @query("score_grid", sql("lines land_cover", f"""

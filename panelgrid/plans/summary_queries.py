@@ -305,7 +305,8 @@ def histogram(v):
            {r('sqrt(coalesce(n, 0))', 'err')}, {r('sqrt(coalesce(n, 0) / total)', 'density_err')}
     FROM (SELECT key, sum(n) AS total FROM c GROUP BY ALL) b
     CROSS JOIN (SELECT range AS bin, 0.4 / 80 AS w FROM range(80)) LEFT JOIN c USING (key, bin)""", {
-    "s": """SELECT lat, lon, time, stddev_pop(v) / nullif(sqrt(count(v)) * abs(avg(v)), 0) AS e
+    "s": """SELECT lat, lon, time,
+            round(stddev_pop(v) / nullif(sqrt(count(v)) * abs(avg(v)), 0), 12) AS e
             FROM ens GROUP BY ALL""",
     "c": """SELECT merged AS key, least(floor(e / (0.4 / 80)), 79) AS bin, count(*) AS n
             FROM s JOIN land_cover USING (lat, lon, time) JOIN class_map USING (code)
@@ -313,7 +314,7 @@ def histogram(v):
             AND e >= 0 AND e <= 0.4 GROUP BY ALL"""}))
 def histogram_rel_sem(v):
     return summarize.histogram(maps.rel_sem_by_class(v.ens, v.land_cover), "value", 0, 0.4, 80,
-                               ["key"])
+                               ["key"], decimals=12)
 
 
 @query("quantiles", sql("lines", f"""

@@ -96,29 +96,31 @@ class Views:
         lon = -180.0 + 7.2 * F.floor(F.col(site) / 20)
         return F.round(lat.cast("double"), 3), F.round(lon.cast("double"), 3)
 
+    def cells(self, df: DataFrame, *columns) -> DataFrame:
+        """Site and date as lat, lon and time. Sites and cells correspond one to one, so tables are
+        aggregated by site and placed on the grid afterwards."""
+        lat, lon = self.lat_lon("site")
+        return df.select(lat.alias("lat"), lon.alias("lon"), F.col("date").alias("time"), *columns)
+
     @cached_property
     def ens(self) -> DataFrame:
-        lat, lon = self.lat_lon("site")
-        return self.lines.groupBy(lat.alias("lat"), lon.alias("lon"), F.col("date").alias("time"),
-                                  "rep").agg((F.avg("l_quantity") / 7).alias("v"))
+        v = self.lines.groupBy("site", "date", "rep").agg((F.avg("l_quantity") / 7).alias("v"))
+        return self.cells(v, "rep", "v")
 
     @cached_property
     def prod_b(self) -> DataFrame:
         """A second product on a shifted grid."""
-        lat, lon = self.lat_lon("site")
         net = F.col("l_quantity") * (1 - F.col("l_discount"))
-        return self.lines.groupBy(
-            F.round(lat + 0.9, 3).alias("lat"), F.round(lon - 1.1, 3).alias("lon"),
-            F.col("date").alias("time")).agg((F.avg(net) / 7).alias("v"))
+        v = self.cells(self.lines.groupBy("site", "date").agg((F.avg(net) / 7).alias("v")), "v")
+        return v.withColumns({"lat": F.round(F.col("lat") + 0.9, 3),
+                              "lon": F.round(F.col("lon") - 1.1, 3)})
 
     @cached_property
     def prod_c(self) -> DataFrame:
         """A third product with longitudes from 0 to 360."""
-        lat, lon = self.lat_lon("site")
         taxed = F.col("l_quantity") * (1 + F.col("l_tax"))
-        return self.lines.groupBy(
-            lat.alias("lat"), F.round(F.pmod(lon + 360, F.lit(360.0)), 3).alias("lon"),
-            F.col("date").alias("time")).agg((F.avg(taxed) / 7).alias("v"))
+        v = self.cells(self.lines.groupBy("site", "date").agg((F.avg(taxed) / 7).alias("v")), "v")
+        return v.withColumn("lon", F.round(F.pmod(F.col("lon") + 360, F.lit(360.0)), 3))
 
     @cached_property
     def veg_mask(self) -> DataFrame:
@@ -139,10 +141,9 @@ class Views:
     @cached_property
     def land_cover(self) -> DataFrame:
         """Land-cover code per cell and month, missing for some cells."""
-        lat, lon = self.lat_lon("site")
-        return self.lines.where("site % 7 > 0").select(
-            lat.alias("lat"), lon.alias("lon"), F.col("date").alias("time"),
-            F.expr("CAST(" + CLASS_OF_KEY.format(k="site") + " AS INT)").alias("code")).distinct()
+        known = self.lines.where("site % 7 > 0").select("site", "date").distinct()
+        return self.cells(known, F.expr("CAST(" + CLASS_OF_KEY.format(k="site") + " AS INT)")
+                          .alias("code"))
 
     # ---- metric tables -------------------------------------------------------------------
     @cached_property
