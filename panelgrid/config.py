@@ -49,6 +49,9 @@ MATRIX_SETS = {
 def experiment_matrix() -> list[ExperimentConfig]:
     params = {"random_forest": FOREST_PARAMS,
               "leaderboard": {"candidates": 12, "scoring": "rmse"},
-              "stacked": {"candidates": 12, "stack": True, "scoring": "rmse"}}
-    return [ExperimentConfig(f"{model}-{s}", model, s, params[model])
+              "stacked": {"candidates": 12, "scoring": "rmse"}}
+    runs = [ExperimentConfig(f"{model}-{s}", model, s, params[model])
             for model, sets in MATRIX_SETS.items() for s in sets]
+    # the one run with twice the budget
+    return runs + [ExperimentConfig("leaderboard-rs-long", "leaderboard", "rs",
+                                    {"candidates": 24, "scoring": "rmse"})]

@@ -20,7 +20,7 @@ from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelgrid.functions.columns import recode, sanitize
+from panelgrid.functions.columns import ratio, recode, sanitize
 from panelgrid.functions.constants import PIXEL_CODE_TO_CLASS, UNSCORED_CLASSES
 from panelgrid.operators import split
 from panelgrid.operators.features import one_hot
@@ -28,6 +28,11 @@ from panelgrid.operators.grouping import join_reduced
 from panelgrid.operators.scores import r2, rmse
 from panelgrid.session import pin
 
+# Ridge on the predictions of the candidates; built on use, as Spark needs a session first.
+def _meta() -> LinearRegression:
+    return LinearRegression(regParam=0.01, elasticNetParam=0.0)
+
+
 # Spark's trees stop at this depth; an unlimited depth means this one.
 DEEPEST = 30
 
@@ -71,16 +76,24 @@ def forest_candidates(n_features: int, n_estimators: Sequence[int] = (200,),
              "maxBins": max_bins, "seed": seed} for t, d, leaf in picked]
 
 
-def default_candidates(seed: int = 26, trees: int = 20, rounds: int = 10) -> dict[str, Estimator]:
-    """Model families of the leaderboard; its budget is their number."""
-    return {
-        "linear": LinearRegression(),
-        "ridge": LinearRegression(regParam=0.1, elasticNetParam=0.0),
-        "lasso": LinearRegression(regParam=0.01, elasticNetParam=1.0),
-        "glm": GeneralizedLinearRegression(family="gaussian", link="identity"),
-        "forest": RandomForestRegressor(numTrees=trees, maxDepth=8, seed=seed),
-        "boosting": GBTRegressor(maxIter=rounds, maxDepth=4, seed=seed),
+def candidate_pool(budget: int = 12, seed: int = 26) -> dict[str, Estimator]:
+    """The first ``budget`` settings of the leaderboard, families taking turns.
+
+    Names are ``<family>_<number>``; every family starts with its plainest setting.
+    """
+    families = {
+        "linear": [LinearRegression(regParam=p, elasticNetParam=e)
+                   for p, e in ((0.0, 0.0), (0.01, 0.0), (0.1, 0.0), (0.01, 1.0), (0.1, 1.0))],
+        "forest": [RandomForestRegressor(numTrees=t, maxDepth=d, seed=seed)
+                   for t in (20, 50, 100, 200) for d in (5, 10, 15)],
+        "boosting": [GBTRegressor(maxIter=n, maxDepth=d, seed=seed)
+                     for n in (20, 50, 100) for d in (3, 5)],
+        "glm": [GeneralizedLinearRegression(family="gaussian", link=link, regParam=p)
+                for link in ("identity",) for p in (0.0, 0.01, 0.1)],
     }
+    turns = itertools.zip_longest(*[[(f"{f}_{n}", e) for n, e in enumerate(es, 1)]
+                                    for f, es in families.items()])
+    return dict([c for turn in turns for c in turn if c is not None][:budget])
 
 
 # ---- cross-validation --------------------------------------------------------------------
@@ -175,7 +188,7 @@ def leaderboard(df: DataFrame, features: Sequence[str], y: str = "gt", strat: st
     Returns the ranking and all out-of-fold predictions. The stack is itself cross-fitted on the
     folds, so it is scored on sites it has not seen.
     """
-    candidates = candidates or default_candidates(seed)
+    candidates = candidates or candidate_pool(seed=seed)
     table = training_table(df, features, y, strat)
     folds = split.group_kfold(table, "site", "strat", k, seed)
     rows = pin(table.join(folds, "site"), "folds")
@@ -183,18 +196,33 @@ def leaderboard(df: DataFrame, features: Sequence[str], y: str = "gt", strat: st
              for name, est in candidates.items() for f in range(k)]
     oof = pin(reduce(DataFrame.unionByName, parts), "oof")
     if stack:
-        wide = oof.groupBy("site", "date", "fold").pivot("model", list(candidates)).agg(
-            F.max("y_pred")).join(oof.groupBy("site", "date").agg(F.max("y").alias("y")),
-                                  ["site", "date"])
-        wide = pin(wide, "stack")
-        meta = LinearRegression(regParam=0.01, elasticNetParam=0.0)
-        parts = [_predict_fold(pipeline(meta, list(candidates)), wide, f, "stack")
+        wide = pin(_side_by_side(oof, list(candidates)), "stack")
+        parts = [_predict_fold(pipeline(_meta(), list(candidates)), wide, f, "stack")
                  for f in range(k)]
         oof = reduce(DataFrame.unionByName, [oof, *parts])
     board = r2(oof, "y", "y_pred", ["model"]).join(rmse(oof, "y", "y_pred", ["model"]), "model")
     return board, oof
 
 
+def _side_by_side(oof: DataFrame, names: Sequence[str]) -> DataFrame:
+    return oof.groupBy("site", "date", "fold").agg(
+        F.max("y").alias("y"),
+        *[F.max(F.when(F.col("model") == n, F.col("y_pred"))).alias(n) for n in names])
+
+
+def stack_importance(oof: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Share of each candidate in the stack: |weight| times the spread of its predictions."""
+    wide = pin(_side_by_side(oof, names), "stack")
+    weights = pipeline(_meta(), names).fit(wide).stages[-1].coefficients
+    spread = wide.agg(*[F.stddev_pop(n).alias(n) for n in names])
+    parts = [F.struct(F.lit(n).alias("base_model"), (F.col(n) * abs(float(w))).alias("raw"))
+             for n, w in zip(names, weights)]
+    total = reduce(lambda a, b: a + b, [F.col(n) * abs(float(w)) for n, w in zip(names, weights)])
+    return spread.select(total.alias("total"), F.explode(F.array(*parts)).alias("p")).select(
+        "p.base_model", F.element_at(F.split("p.base_model", "_"), 1).alias("family"),
+        ratio("p.raw", "total").alias("importance"))
+
+
 # ---- grid scoring ------------------------------------------------------------------------
 
 def score_grid(df: DataFrame, model: PipelineModel, code: str | None = None,

@@ -130,8 +130,10 @@ def eval_metrics(df: DataFrame, keys: Sequence[str] = REP, site: Sequence[str] =
     centre = s.groupBy(*keys).agg(
         ratio(F.sum(F.col("n") * F.col("site_y")), F.sum("n")).alias("_y0"),
         ratio(F.sum(F.col("season_n") * F.col("season_y")), F.sum("season_n")).alias("_s0"))
-    s = s.join(centre, keys) if keys else s.withColumn("_k", F.lit(1)).join(
-        centre.withColumn("_k", F.lit(1)), "_k")
+    if keys:
+        s = s.join(centre, keys)
+    else:
+        s = s.withColumns({c: centre.select(c).scalar() for c in ("_y0", "_s0")})
     a = s.groupBy(*keys).agg(
         F.sum("n").alias("n"), F.count(F.lit(1)).alias("sites"),
         F.sum("season_n").alias("months"),
@@ -191,15 +193,14 @@ def bias_by_quantile(df: DataFrame, truth: str, pred: str,
 
     Bins are closed at both ends, so a truth exactly on an inner edge counts in both bins.
     """
-    edges = exact_quantiles(df, truth, probs)
-    bins = edges.select(F.explode(F.array(*[
+    edges = pin(exact_quantiles(df, truth, probs), "edges").select(F.array(*[
         F.struct(F.lit(i + 1).alias("bin"), F.col(f"q{i}").alias("lo"),
-                 F.col(f"q{i + 1}").alias("hi")) for i in range(len(probs) - 1)])).alias("b"),
-    ).select("b.*")
-    # a handful of bins (their number is len(probs) - 1), so a broadcast range join is safe
-    inside = df.select(truth, pred).join(
-        F.broadcast(bins), F.col(truth).between(F.col("lo"), F.col("hi")))
-    diff = inside.select("bin", "lo", "hi", (F.col(pred) - F.col(truth)).alias("diff"))
+                 F.col(f"q{i + 1}").alias("hi")) for i in range(len(probs) - 1)]).alias("b"))
+    bins = edges.select(F.explode("b").alias("b")).select("b.*")
+    # the few bins come as one scalar array, so no range join is needed
+    inside = F.col(truth).between(F.col("b.lo"), F.col("b.hi"))
+    diff = df.select(truth, pred, F.explode(edges.scalar()).alias("b")).where(inside).select(
+        "b.bin", (F.col(pred) - F.col(truth)).alias("diff"))
     q = exact_quantiles(diff, "diff", [0.5], ["bin"])
     size = bins.join(diff.groupBy("bin").agg(F.count("diff").alias("n")), "bin", "left")
     return size.join(q.select("bin", F.col("q0").alias("median_bias")), "bin", "left").select(

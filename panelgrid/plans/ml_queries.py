@@ -3,7 +3,7 @@ the bootstrap and the grid scorer; tree models are checked for rows only."""
 
 from __future__ import annotations
 
-from pyspark.ml.regression import LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import functions as F
 
 from panelgrid.functions.columns import recode
@@ -109,7 +109,18 @@ def forest_search(v):
 
 @query("leaderboard")
 def leaderboard(v):
-    board, _ = ml.leaderboard(v.site_features, TREES, k=3,
-                              candidates={k: e for k, e in ml.default_candidates(trees=5, rounds=3)
-                                          .items() if k in ("linear", "forest", "boosting")})
+    board, _ = ml.leaderboard(v.site_features, TREES, k=3, candidates=_small_pool())
     return board
+
+
+def _small_pool():
+    return {"linear_1": LinearRegression(), "boosting_1": GBTRegressor(maxIter=3, seed=1),
+            "forest_1": RandomForestRegressor(numTrees=5, maxDepth=5, seed=1)}
+
+
+@query("stack_importance")
+def stack_importance(v):
+    """Share of each candidate, with its family, in the stack."""
+    pool = _small_pool()
+    _, oof = ml.leaderboard(v.site_features, TREES, k=3, candidates=pool, stack=False)
+    return ml.stack_importance(oof, list(pool))

@@ -91,6 +91,7 @@ def run_cv(spark: SparkSession, df: DataFrame, config: ExperimentConfig, root: s
                               config.n_folds_cv, seed)
     else:
         board, oof = ml.leaderboard(table, cols, target, "strat_class", config.n_folds_cv, seed,
+                                    ml.candidate_pool(config.model_params.get("candidates", 12), seed),
                                     stack=config.model == "stacked")
         best = board.orderBy("rmse", "model").first()["model"]
         p = oof.where(F.col("model") == best)

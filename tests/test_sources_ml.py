@@ -63,7 +63,7 @@ def test_experiment_tables(spark, tmp_path):
 
 def test_matrix():
     m = config.experiment_matrix()
-    assert len({c.name for c in m}) == len(m) == 16
+    assert len({c.name for c in m}) == len(m) == 17
     assert all(c.variable_set in VARIABLE_SETS and c.random_state == 26 for c in m)
 
 
@@ -86,6 +86,12 @@ def test_random_grid(spark):
     assert a[0] == 20000 and 0 <= a[1] and a[2] <= 12 and a[3] == a[4] == 100
 
 
+def test_candidate_pool(spark):
+    pool = ml.candidate_pool(6)
+    assert list(pool) == ["linear_1", "forest_1", "boosting_1", "glm_1", "linear_2", "forest_2"]
+    assert len(ml.candidate_pool(24)) == 24
+
+
 def test_forest_space():
     full = ml.forest_candidates(18, **{k: v for k, v in config.FOREST_PARAMS.items()
                                        if k not in ("min_samples_split", "scoring")})
@@ -105,10 +111,13 @@ def test_out_of_fold_predictions_cover_every_row_once(spark):
 
 def test_leaderboard_with_a_stack(spark):
     v = Views(spark, SF)
-    cand = {k: e for k, e in ml.default_candidates().items() if k in ("linear", "ridge")}
+    cand = {k: e for k, e in ml.candidate_pool(24).items() if k in ("linear_1", "linear_2")}
     board, oof = ml.leaderboard(v.site_features, ["b4", "b5"], k=3, candidates=cand)
     names = {r["model"] for r in board.collect()}
-    assert names == {"linear", "ridge", "stack"}
+    assert names == {"linear_1", "linear_2", "stack"}
+    imp = ml.stack_importance(oof.where("model <> 'stack'"), list(cand)).collect()
+    assert sum(r["importance"] for r in imp) == pytest.approx(1.0)
+    assert {r["family"] for r in imp} == {"linear"}
     assert {r["count"] for r in oof.groupBy("model").count().collect()} == {v.site_features.count()}
 
 
