@@ -85,9 +85,17 @@ def nearest_snap(targets: DataFrame, source: DataFrame, values: Sequence[str],
     lat, lon = cell
     t = targets if cells is None else cells
     s = source if source_cells is None else source_cells
-    lat_map = snap_axis(t, s, lat, outside, "_slat")
-    lon_map = snap_axis(t, s, lon, outside, "_slon", 360.0 if wrap else None)
-    located = join_reduced(join_reduced(targets, lat_map, [lat]), lon_map, [lon])
+    lat_map = snap_axis(t, s, lat, outside)
+    lon_map = snap_axis(t, s, lon, outside, period=360.0 if wrap else None)
+    # both small maps in one pinned table
+    axes = pin(lat_map.select(F.lit("lat").alias("_axis"), F.col(lat).alias("_at"), "snapped")
+               .unionByName(lon_map.select(F.lit("lon").alias("_axis"), F.col(lon).alias("_at"),
+                                           "snapped")), "axes")
+    located = targets
+    for name, c in (("lat", lat), ("lon", lon)):
+        part = axes.where(F.col("_axis") == name).select(
+            F.col("_at").alias(c), F.col("snapped").alias(f"_s{name}"))
+        located = located.join(part, c, "left")
     src = source.select(F.col(lat).alias("_slat"), F.col(lon).alias("_slon"), *on, *values)
     keep = [c for c in targets.columns]
     return located.join(src, ["_slat", "_slon", *on], how).select(*keep, *values)
