@@ -197,11 +197,14 @@ def reindex_to(v):
     SELECT {i('site', 'site')}, {r('l_quantity', 'q')}, 'first' AS rep FROM lines
     WHERE l_returnflag = 'R'
     UNION ALL SELECT {i('site', 'site')}, {r('l_quantity', 'q')}, 'second' FROM lines
-    WHERE l_returnflag = 'A'"""))
+    WHERE l_returnflag = 'A'
+    UNION ALL SELECT {i('site', 'site')}, {r('l_quantity', 'q')}, 'third' FROM lines
+    WHERE l_returnflag = 'N'"""))
 def union_reps(v):
     q = v.lines.select("site", F.col("l_quantity").alias("q"), "l_returnflag")
-    return clean.union_tagged({"first": q.where("l_returnflag = 'R'").drop("l_returnflag"),
-                               "second": q.where("l_returnflag = 'A'").drop("l_returnflag")})
+    names = {"first": "R", "second": "A", "third": "N"}
+    return clean.union_tagged({n: q.where(F.col("l_returnflag") == f).drop("l_returnflag")
+                               for n, f in names.items()})
 
 
 @query("zscore", sql("bench", f"""

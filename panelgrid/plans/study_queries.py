@@ -61,15 +61,17 @@ def class_box(v):
     return summarize.box_stats(mean, "x", ["class", "metric"])
 
 
-# Two resolutions: the full prediction, and the mean of the first repetitions, which covers less.
+# Two resolutions: the full prediction, and the mean of three repetitions, missing in some months.
 _TWO = {
-    "fine": "SELECT site, date, avg(pred) AS fine FROM site_month_rep WHERE rep <= 3 GROUP BY ALL",
+    "fine": """SELECT site, date, avg(CASE WHEN rep <= 3 THEN pred END) AS fine
+               FROM site_month_rep GROUP BY ALL""",
     "y": "SELECT site, date, gt, pred AS coarse, fine FROM site_month LEFT JOIN fine USING (site, date)",
 }
 
 
 def _two(v):
-    fine = features.ensemble_mean(v.site_month_rep.where("rep <= 3")).withColumnRenamed("pred", "fine")
+    three = v.site_month_rep.withColumn("pred", F.when(F.col("rep") <= 3, F.col("pred")))
+    fine = features.ensemble_mean(three).withColumnRenamed("pred", "fine")
     return clean.align_outer(v.site_month.withColumnRenamed("pred", "coarse"), fine,
                              ["site", "date"])
 

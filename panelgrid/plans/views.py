@@ -124,11 +124,11 @@ class Views:
 
     @cached_property
     def veg_mask(self) -> DataFrame:
-        """Vegetation mask on the grid, one cell in eleven absent."""
+        """Vegetation mask on the grid, unknown for one cell in eleven."""
         lat, lon = self.lat_lon("s_suppkey")
-        return self.table("supplier").where("s_suppkey % 11 > 0").select(
+        return self.table("supplier").select(
             lat.alias("lat"), lon.alias("lon"),
-            F.expr("CAST(s_suppkey % 4 > 0 AS DOUBLE)").alias("m"))
+            F.expr("IF(s_suppkey % 11 > 0, CAST(s_suppkey % 4 > 0 AS DOUBLE), NULL)").alias("m"))
 
     @cached_property
     def sea_mask(self) -> DataFrame:
@@ -140,10 +140,10 @@ class Views:
 
     @cached_property
     def land_cover(self) -> DataFrame:
-        """Land-cover code per cell and month, missing for some cells."""
-        known = self.lines.where("site % 7 > 0").select("site", "date").distinct()
-        return self.cells(known, F.expr("CAST(" + CLASS_OF_KEY.format(k="site") + " AS INT)")
-                          .alias("code"))
+        """Land-cover code per cell and month, unknown for one cell in seven."""
+        every = self.lines.select("site", "date").distinct()
+        code = f"IF(site % 7 > 0, CAST({CLASS_OF_KEY.format(k='site')} AS INT), NULL)"
+        return self.cells(every, F.expr(code).alias("code"))
 
     # ---- metric tables -------------------------------------------------------------------
     @cached_property
@@ -245,7 +245,8 @@ CTES = {
                avg(l_quantity * (1 + l_tax)) / 7 AS v FROM lines GROUP BY ALL"""),
     "veg_mask": ((), f"""
         SELECT {_LAT.format(k='s_suppkey')} AS lat, {_LON.format(k='s_suppkey')} AS lon,
-               CAST(s_suppkey % 4 > 0 AS DOUBLE) AS m FROM supplier WHERE s_suppkey % 11 > 0"""),
+               CASE WHEN s_suppkey % 11 > 0 THEN CAST(s_suppkey % 4 > 0 AS DOUBLE) END AS m
+        FROM supplier"""),
     "sea_mask": ((), f"""
         SELECT {_LAT.format(k='s_suppkey')} AS lat,
                round(CASE WHEN {_LON.format(k='s_suppkey')} < 0
@@ -254,7 +255,7 @@ CTES = {
                CAST(s_suppkey % 3 > 0 AS DOUBLE) AS m FROM supplier"""),
     "land_cover": (("lines",), f"""
         SELECT DISTINCT {_LAT.format(k='site')} AS lat, {_LON.format(k='site')} AS lon,
-               date AS time, 1 + site % 17 AS code FROM lines WHERE site % 7 > 0"""),
+               date AS time, CASE WHEN site % 7 > 0 THEN 1 + site % 17 END AS code FROM lines"""),
     "bench": ((), """
         SELECT last_day(CAST(o_orderdate AS DATE)) AS block, o_orderpriority AS treatment,
                avg(o_totalprice) / 997 AS metric FROM orders GROUP BY ALL"""),
