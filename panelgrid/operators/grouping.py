@@ -70,16 +70,19 @@ def known_neighbours(df: DataFrame, values: Sequence[str], order: Sequence[str],
     )
 
 
-# One cut point per VALUES_PER_CUT rows of a value axis, at most MAX_CUTS.
-VALUES_PER_CUT = 200_000
+# Up to FEW_VALUES rows are ranked as they are; beyond, a value axis gets one cut point per
+# VALUES_PER_CUT rows, at most MAX_CUTS.
+FEW_VALUES = 200_000
+VALUES_PER_CUT = 20_000
 MAX_CUTS = 8192
 
 
 def _value_cuts(rows: DataFrame, value: str) -> list[float]:
     """Approximate quantiles: one array of at most MAX_CUTS numbers, empty for small tables."""
-    wanted = min(MAX_CUTS, rows.count() // VALUES_PER_CUT)
-    if not wanted:
+    n = rows.count()
+    if n <= FEW_VALUES:
         return []
+    wanted = min(MAX_CUTS, max(n // VALUES_PER_CUT, 1))
     probs = ", ".join(f"{(k + 1) / (wanted + 1)!r}D" for k in range(wanted))
     row = rows.agg(F.expr(
         f"percentile_approx(`{value}`, array({probs}), {10 * (wanted + 1)})").alias("c")).first()

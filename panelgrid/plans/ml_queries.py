@@ -12,7 +12,7 @@ from panelgrid.operators import ml
 from panelgrid.plans.registry import d, i, query, r
 from panelgrid.plans.summary_queries import _fold_ctes
 from panelgrid.plans.views import sql
-from panelgrid.session import scratch_path
+from panelgrid.session import pin, scratch_path
 
 TREES = ["b4", "b5", "b6", "b7", "BESS-PAR"]
 
@@ -79,7 +79,7 @@ def _grid(v):
          (SELECT regr_slope(y, x) AS b, regr_intercept(y, x) AS a FROM g)""", {"g": _GRID}))
 def score_grid(v):
     """Cells of excluded classes stay in the result as NULL; the model is saved and loaded first."""
-    cells = _grid(v)
+    cells = pin(_grid(v), "cells")
     path = scratch_path(v.spark, "model")
     ml.save_model(ml.pipeline(LinearRegression(), ["x"]).fit(cells), path)
     return ml.score_grid(cells, ml.load_model(path), code="code")
@@ -88,7 +88,7 @@ def score_grid(v):
 @query("score_grid_forest")
 def score_grid_forest(v):
     """A forest with one-hot classes, trained on classes and applied to codes."""
-    cells = _grid(v)
+    cells = pin(_grid(v), "cells")
     names = [f"MODIS_LC_{c}" for c in SCORED_CLASS_COLUMNS]
     from panelgrid.operators.features import one_hot
     train = one_hot(cells.withColumn("MODIS_LC", recode("code", CODE_TO_CLASS)), "MODIS_LC",

@@ -20,4 +20,5 @@ def spark():
 def small_cuts(monkeypatch):
     """Cut values into many ranges even on tiny data."""
     from panelgrid.operators import grouping
+    monkeypatch.setattr(grouping, "FEW_VALUES", 0)
     monkeypatch.setattr(grouping, "VALUES_PER_CUT", 7)
