@@ -146,12 +146,12 @@ def exclude_classes(v):
 
 @query("sanitize", sql("", f"""
     SELECT {i('l_orderkey', 'l_orderkey')}, {i('l_partkey', 'l_partkey')},
-           {r('CASE WHEN l_discount > 0 AND l_tax > 0 THEN l_extendedprice / 997 END', 'v')}
+           {r('CASE WHEN l_discount > 0 AND l_tax > 0 THEN l_extendedprice / 999.91 END', 'v')}
     FROM lineitem"""))
 def sanitize(v):
     bad = (F.when(F.col("l_discount") == 0, F.lit(float("inf")))
            .when(F.col("l_tax") == 0, F.lit(float("nan")))
-           .otherwise(F.col("l_extendedprice") / 997))
+           .otherwise(F.col("l_extendedprice") / 999.91))
     return C.sanitize(v.table("lineitem").select("l_orderkey", "l_partkey", bad.alias("v")))
 
 
@@ -174,12 +174,12 @@ def drop_any_null(v):
            {r('a.gt', 'gt')}, {r('b.v', 'v')}, {r('coalesce(a.gt, b.v)', 'filled')}
     FROM site_month a FULL OUTER JOIN (
         SELECT o_custkey AS site, last_day(CAST(o_orderdate AS DATE)) AS date,
-               avg(o_totalprice) / 997 AS v FROM orders GROUP BY ALL) b
+               avg(o_totalprice) / 999.91 AS v FROM orders GROUP BY ALL) b
     ON a.site = b.site AND a.date = b.date"""))
 def align_outer(v):
     other = v.table("orders").groupBy(
         F.col("o_custkey").alias("site"), F.last_day(F.to_date("o_orderdate")).alias("date")).agg(
-        (F.avg("o_totalprice") / 997).alias("v"))
+        (F.avg("o_totalprice") / 999.91).alias("v"))
     j = clean.align_outer(v.site_month.select("site", "date", "gt"), other, ["site", "date"])
     return j.withColumn("filled", F.coalesce("gt", "v"))
 

@@ -69,12 +69,12 @@ def resample_monthly(v):
                  date_trunc('month', max(date)), INTERVAL 1 MONTH)) AS DATE)) AS date FROM o) m
     LEFT JOIN (SELECT k, last_day(date) AS date, avg(v) AS v FROM o GROUP BY ALL) a
     ON a.k = c.k AND a.date = m.date""", {
-    "o": """SELECT o_custkey AS k, CAST(o_orderdate AS DATE) AS date, o_totalprice / 997 AS v
+    "o": """SELECT o_custkey AS k, CAST(o_orderdate AS DATE) AS date, o_totalprice / 999.91 AS v
             FROM orders"""}))
 def resample_monthly_filled(v):
     o = v.table("orders").select(F.col("o_custkey").alias("k"),
                                  F.to_date("o_orderdate").alias("date"),
-                                 (F.col("o_totalprice") / 997).alias("v"))
+                                 (F.col("o_totalprice") / 999.91).alias("v"))
     return grid.resample_monthly(o, ["k"], ["v"], "date", fill_gaps=True)
 
 

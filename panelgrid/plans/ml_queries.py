@@ -60,7 +60,7 @@ def bootstrap_predictions(v):
     return ml.bootstrap_predictions(v.site_features, LinearRegression(), ["b4"], reps=(0, 1, 2))
 
 
-_GRID = """SELECT lat, lon, time, avg(l_quantity) / 7 AS x, avg(l_extendedprice) / 997 AS y FROM (
+_GRID = """SELECT lat, lon, time, avg(l_quantity) / 7 AS x, avg(l_extendedprice) / 999.91 AS y FROM (
     SELECT round(CAST(-47.5 + 5.0 * (site % 20) AS DOUBLE), 3) AS lat,
            round(CAST(-180.0 + 7.2 * floor(site / 20.0) AS DOUBLE), 3) AS lon, date AS time,
            l_quantity, l_extendedprice FROM lines) GROUP BY ALL"""
@@ -68,7 +68,7 @@ _GRID = """SELECT lat, lon, time, avg(l_quantity) / 7 AS x, avg(l_extendedprice)
 
 def _grid(v):
     g = v.lines.groupBy("site", "date").agg(
-        (F.avg("l_quantity") / 7).alias("x"), (F.avg("l_extendedprice") / 997).alias("y"))
+        (F.avg("l_quantity") / 7).alias("x"), (F.avg("l_extendedprice") / 999.91).alias("y"))
     return v.cells(g, "x", "y").join(v.land_cover, ["lat", "lon", "time"], "left")
 
 

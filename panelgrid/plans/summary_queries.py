@@ -292,10 +292,10 @@ def confusion_matrix_sparse(v):
     CROSS JOIN (SELECT range AS bin, 10.0 AS lo, 40.0 / 13 AS w FROM range(13))
     LEFT JOIN c USING (l_returnflag, bin)""", {
     "c": """SELECT l_returnflag, least(floor((x - 10) / (40.0 / 13)), 12) AS bin, count(*) AS n
-            FROM (SELECT l_returnflag, l_extendedprice / 997 AS x FROM lines)
+            FROM (SELECT l_returnflag, l_extendedprice / 999.91 AS x FROM lines)
             WHERE x >= 10 AND x <= 50 GROUP BY ALL"""}))
 def histogram(v):
-    x = v.lines.select("l_returnflag", (F.col("l_extendedprice") / 997).alias("x"))
+    x = v.lines.select("l_returnflag", (F.col("l_extendedprice") / 999.91).alias("x"))
     return summarize.histogram(x, "x", 10, 50, 13, ["l_returnflag"])
 
 
@@ -319,25 +319,25 @@ def histogram_rel_sem(v):
 
 @query("quantiles", sql("lines", f"""
     SELECT l_returnflag, l_linestatus, {i('count(*)', 'n')},
-           {', '.join(r(f'quantile_cont(l_extendedprice / 997, {p})', f'q{k}')
+           {', '.join(r(f'quantile_cont(l_extendedprice / 999.91, {p})', f'q{k}')
                       for k, p in enumerate((0, .25, .5, .75, 1)))}
     FROM lines GROUP BY l_returnflag, l_linestatus"""))
 def quantiles(v):
-    x = v.lines.withColumn("x", F.col("l_extendedprice") / 997)
+    x = v.lines.withColumn("x", F.col("l_extendedprice") / 999.91)
     return summarize.quantiles(x, "x", by=["l_returnflag", "l_linestatus"])
 
 
 @query("quantiles_all", sql("", f"""
-    SELECT {i('count(*)', 'n')}, {', '.join(r(f'quantile_cont(o_totalprice / 997, {p})', f'q{k}')
+    SELECT {i('count(*)', 'n')}, {', '.join(r(f'quantile_cont(o_totalprice / 999.91, {p})', f'q{k}')
                       for k, p in enumerate((0, .25, .5, .75, 1)))} FROM orders"""))
 def quantiles_all(v):
-    x = v.table("orders").select((F.col("o_totalprice") / 997).alias("x"))
+    x = v.table("orders").select((F.col("o_totalprice") / 999.91).alias("x"))
     return summarize.quantiles(x, "x")
 
 
 @query("quantiles_approx")
 def quantiles_approx(v):
-    x = v.lines.withColumn("x", F.col("l_extendedprice") / 997)
+    x = v.lines.withColumn("x", F.col("l_extendedprice") / 999.91)
     return summarize.quantiles(x, "x", by=["l_returnflag"], approximate=True)
 
 
@@ -349,11 +349,11 @@ def quantiles_approx(v):
            {i('count(*) FILTER (x < lo OR x > hi)', 'outliers')}
     FROM (SELECT *, q1 - 1.5 * (q3 - q1) AS lo, q3 + 1.5 * (q3 - q1) AS hi
           FROM v JOIN q USING (l_returnflag)) GROUP BY l_returnflag""", {
-    "v": "SELECT l_returnflag, l_extendedprice * l_extendedprice / 997 AS x FROM lines",
+    "v": "SELECT l_returnflag, l_extendedprice * l_extendedprice / 999.91 AS x FROM lines",
     "q": """SELECT l_returnflag, quantile_cont(x, 0.25) AS q1, quantile_cont(x, 0.5) AS q2,
             quantile_cont(x, 0.75) AS q3 FROM v GROUP BY ALL"""}))
 def box_stats(v):
-    x = v.lines.withColumn("x", F.col("l_extendedprice") * F.col("l_extendedprice") / 997)
+    x = v.lines.withColumn("x", F.col("l_extendedprice") * F.col("l_extendedprice") / 999.91)
     return summarize.box_stats(x, "x", ["l_returnflag"])
 
 
@@ -459,13 +459,13 @@ def model_family(v):
 
 @query("importance_by_family", sql("", f"""
     SELECT {i('l_linenumber', 'rep')}, split_part(p_name, ' ', 1) AS family,
-           {r('sum(l_extendedprice / 997)', 'importance')}
+           {r('sum(l_extendedprice / 999.91)', 'importance')}
     FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL"""))
 def importance_by_family(v):
     li, p = v.table("lineitem"), v.table("part")
     rows = li.join(p, li.l_partkey == p.p_partkey).select(
         F.col("l_linenumber").alias("rep"), summarize.model_family("p_name", 1, " ").alias("family"),
-        (F.col("l_extendedprice") / 997).alias("importance"))
+        (F.col("l_extendedprice") / 999.91).alias("importance"))
     return summarize.importance_by_family(rows)
 
 

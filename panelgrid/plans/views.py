@@ -1,7 +1,8 @@
 """Bench tables seen as panels, grids and metric tables, in Spark and in SQL.
 
-Prime divisors keep averages of two-decimal prices off exact decimal rounding edges, where two
-engines may round the same number differently.
+Divisors with a large prime factor (99,991 hundredths for prices, 7 for quantities) keep averages of
+two-decimal prices off exact decimal rounding edges, where two engines may round the same number
+differently.
 """
 
 from __future__ import annotations
@@ -38,13 +39,13 @@ class Views:
     def site_month(self) -> DataFrame:
         net = F.col("l_extendedprice") * (1 - F.col("l_discount"))
         return self.lines.groupBy("site", "date").agg(
-            (F.avg("l_extendedprice") / 997).alias("gt"), (F.avg(net) / 997).alias("pred"))
+            (F.avg("l_extendedprice") / 999.91).alias("gt"), (F.avg(net) / 999.91).alias("pred"))
 
     @cached_property
     def site_month_rep(self) -> DataFrame:
         net = F.col("l_extendedprice") * (1 - F.col("l_discount"))
         per_rep = self.lines.groupBy("rep", "site", "date").agg(
-            (F.avg(net) / 997).alias("pred"))
+            (F.avg(net) / 999.91).alias("pred"))
         return per_rep.join(self.site_month.select("site", "date", "gt"), ["site", "date"])
 
     @cached_property
@@ -70,10 +71,10 @@ class Views:
         month = F.month("date")
         return self.lines.groupBy("site", "date").agg(
             (F.avg("l_quantity") / 7).alias("b1"), (F.avg("l_tax") / 7).alias("b2"),
-            (F.avg("l_discount") / 7).alias("b3"), (F.max("l_extendedprice") / 997).alias("b4"),
-            (F.min("l_extendedprice") / 997).alias("b5"), (F.max("l_tax") / 7).alias("b6"),
+            (F.avg("l_discount") / 7).alias("b3"), (F.max("l_extendedprice") / 999.91).alias("b4"),
+            (F.min("l_extendedprice") / 999.91).alias("b5"), (F.max("l_tax") / 7).alias("b6"),
             (F.max("l_quantity") / 7).alias("b7"), (F.min("l_discount") / 7).alias("BESS-PAR"),
-            (F.avg("l_extendedprice") / 997).alias("gt"),
+            (F.avg("l_extendedprice") / 999.91).alias("gt"),
         ).select(
             "site", "date", F.when(month != 3, F.col("b1")).alias("b1"),
             F.when(month != 4, F.col("b2")).alias("b2"),
@@ -84,7 +85,7 @@ class Views:
     def quality(self) -> DataFrame:
         """Raw records with missing fluxes, low quality and missing classes."""
         return self.lines.select(
-            "site", "date", F.when(F.col("l_quantity") > 2, F.col("l_extendedprice") / 997)
+            "site", "date", F.when(F.col("l_quantity") > 2, F.col("l_extendedprice") / 999.91)
             .alias("flux"), (F.col("l_quantity") - 5).alias("value"),
             (1 - F.col("l_discount") * 3).alias("qc"),
             recode(F.expr("CAST(l_partkey % 18 AS INT)"), CODE_TO_CLASS).alias("class"))
@@ -152,7 +153,7 @@ class Views:
         o = self.table("orders")
         return o.groupBy(F.last_day(F.to_date("o_orderdate")).alias("block"),
                          F.col("o_orderpriority").alias("treatment")).agg(
-            (F.avg("o_totalprice") / 997).alias("metric"))
+            (F.avg("o_totalprice") / 999.91).alias("metric"))
 
     @cached_property
     def bench_wide(self) -> DataFrame:
@@ -166,7 +167,7 @@ class Views:
         o = self.table("orders")
         return o.select((F.col("o_custkey") % 50).alias("site"),
                         F.to_date("o_orderdate").alias("date"),
-                        (F.col("o_totalprice") / 997).alias("v"))
+                        (F.col("o_totalprice") / 999.91).alias("v"))
 
     @cached_property
     def two_labels(self) -> DataFrame:
@@ -183,7 +184,7 @@ class Views:
             F.col("l_linenumber").alias("rep"), (F.col("l_suppkey") % 5).alias("fold"),
             F.col("p_brand").alias("algorithm"),
             F.when(F.col("l_returnflag") == "N", "none").otherwise("prep").alias("preprocessor"),
-            (F.col("l_extendedprice") / 997).alias("score"),
+            (F.col("l_extendedprice") / 999.91).alias("score"),
             F.when(F.col("l_linestatus") == "F", "Success").otherwise("Timeout").alias("status"),
             "l_orderkey", "l_suppkey", "l_quantity")
 
@@ -199,12 +200,12 @@ CTES = {
                l_partkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag,
                l_linestatus FROM lineitem"""),
     "site_month": (("lines",), """
-        SELECT site, date, avg(l_extendedprice) / 997 AS gt,
-               avg(l_extendedprice * (1 - l_discount)) / 997 AS pred
+        SELECT site, date, avg(l_extendedprice) / 999.91 AS gt,
+               avg(l_extendedprice * (1 - l_discount)) / 999.91 AS pred
         FROM lines GROUP BY site, date"""),
     "site_month_rep": (("site_month",), """
         SELECT l.rep, l.site, l.date, any_value(m.gt) AS gt,
-               avg(l.l_extendedprice * (1 - l.l_discount)) / 997 AS pred
+               avg(l.l_extendedprice * (1 - l.l_discount)) / 999.91 AS pred
         FROM lines l JOIN site_month m ON l.site = m.site AND l.date = m.date
         GROUP BY l.rep, l.site, l.date"""),
     "site_meta": ((), """
@@ -222,13 +223,13 @@ CTES = {
                CASE WHEN month(date) <> 3 THEN avg(l_quantity) / 7 END AS b1,
                CASE WHEN month(date) <> 4 THEN avg(l_tax) / 7 END AS b2,
                CASE WHEN month(date) NOT IN (3, 4) THEN avg(l_discount) / 7 END AS b3,
-               max(l_extendedprice) / 997 AS b4, min(l_extendedprice) / 997 AS b5,
+               max(l_extendedprice) / 999.91 AS b4, min(l_extendedprice) / 999.91 AS b5,
                max(l_tax) / 7 AS b6, max(l_quantity) / 7 AS b7, min(l_discount) / 7 AS "BESS-PAR",
                CASE WHEN site % 5 <> 0 THEN 1 + (site + year(date)) % 17 END AS lc,
-               avg(l_extendedprice) / 997 AS gt
+               avg(l_extendedprice) / 999.91 AS gt
         FROM lines GROUP BY site, date"""),
     "quality": (("lines", "class_map"), """
-        SELECT site, date, CASE WHEN l_quantity > 2 THEN l_extendedprice / 997 END AS flux,
+        SELECT site, date, CASE WHEN l_quantity > 2 THEN l_extendedprice / 999.91 END AS flux,
                l_quantity - 5 AS value, 1 - l_discount * 3 AS qc, merged AS class
         FROM lines LEFT JOIN class_map ON l_partkey % 18 = code"""),
     "ens": (("lines",), f"""
@@ -258,20 +259,20 @@ CTES = {
                date AS time, CASE WHEN site % 7 > 0 THEN 1 + site % 17 END AS code FROM lines"""),
     "bench": ((), """
         SELECT last_day(CAST(o_orderdate AS DATE)) AS block, o_orderpriority AS treatment,
-               avg(o_totalprice) / 997 AS metric FROM orders GROUP BY ALL"""),
+               avg(o_totalprice) / 999.91 AS metric FROM orders GROUP BY ALL"""),
     "bench_wide": (("bench",), """
         SELECT block, max(metric) FILTER (treatment = '1-URGENT') AS a,
                max(metric) FILTER (treatment = '5-LOW') AS b FROM bench GROUP BY block"""),
     "daily": ((), """
         SELECT o_custkey % 50 AS site, CAST(o_orderdate AS DATE) AS date,
-               o_totalprice / 997 AS v FROM orders"""),
+               o_totalprice / 999.91 AS v FROM orders"""),
     "two_labels": ((), """
         SELECT p.p_partkey, p.p_type AS truth, o.p_type AS pred FROM part p
         JOIN part o ON p.p_partkey + CAST(p.p_partkey % 7 = 0 AS INT) = o.p_partkey"""),
     "search": ((), """
         SELECT l_linenumber AS rep, l_suppkey % 5 AS fold, p_brand AS algorithm,
                CASE WHEN l_returnflag = 'N' THEN 'none' ELSE 'prep' END AS preprocessor,
-               l_extendedprice / 997 AS score,
+               l_extendedprice / 999.91 AS score,
                CASE WHEN l_linestatus = 'F' THEN 'Success' ELSE 'Timeout' END AS status,
                l_orderkey, l_suppkey, l_quantity
         FROM lineitem JOIN part ON l_partkey = p_partkey"""),
