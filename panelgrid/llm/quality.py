@@ -49,9 +49,9 @@ def log_ratios(docs: DataFrame, good_ids: DataFrame, buckets: int, smoothing: fl
 
     Counts are summed on the map side; ``buckets`` bounds the rows that are shuffled. ``docs`` may
     hold an id more than once, each row counts. A bucket that neither side has gets ratio 0 up to
-    smoothing. Without good documents every ratio is 0.
+    smoothing. Without good documents every ratio is 0. ``good_ids`` must be bounded: it is broadcast.
     """
-    marked = docs.join(good_ids.withColumn("good", F.lit(1)), "doc_id", "left") \
+    marked = docs.join(F.broadcast(good_ids.withColumn("good", F.lit(1))), "doc_id", "left") \
         if good_ids is not None else docs.withColumn("good", F.lit(None).cast("int"))
     counts = (hashed(marked).select(F.coalesce("good", F.lit(0)).cast("long").alias("good"),
                                     F.explode(ngram_buckets(buckets)).alias("bucket"))
@@ -107,17 +107,19 @@ def base_counts(docs: DataFrame) -> DataFrame:
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame | None, buckets: int = 1 << 14,
-                  threshold: float = -0.2, smoothing: float = 1.0, id_col: str = "doc_id",
-                  text_col: str = "text") -> DataFrame:
+                  threshold: float = -0.2, smoothing: float = 1.0, max_trusted: int = 1 << 16,
+                  id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, score, kept).
 
-    labels: (doc_id, quality); documents labelled 1 anywhere are the trusted target. Nulls and empty
+    labels: (doc_id, quality); documents labelled 1 anywhere are the trusted target, ``max_trusted``
+    of them at most, those of smallest hashed id; the other side counts every document. Nulls and empty
     texts have no words, fail the base rules and score 0; rows that repeat are counted and judged
     each; without a trusted document every score is 0; an empty table gives no rows.
     """
     own = narrow(docs, id_col, text_col)
     good = None if labels is None else \
-        labels.filter("quality = 1 and doc_id is not null").select("doc_id").distinct()
+        (labels.filter("quality = 1 and doc_id is not null").select("doc_id").distinct()
+         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_trusted))
     model = pin(log_ratios(own, good, buckets, smoothing), "quality-ratios")
     # a scalar subquery: the array, of fixed size, becomes a constant of the plan
     ratios = model.select("ratios").scalar()
