@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window
 
 from panelgrid.session import pin
@@ -57,4 +61,25 @@ def _prefix_sums(df, group, key, weight, out, digits):
             .withColumn(out, F.col("_own") + F.col(start)).drop("_own", start, block))
 
 
-__all__ = ["documents", "narrow", "pin", "prefix_sums", "row_key"]
+def compute(df: DataFrame, column: str, fields: str, make: Callable) -> DataFrame:
+    """Replaces ``column`` by columns computed from it; all others pass through as they are.
+
+    ``make()`` runs once per task and gives the function from a value to a tuple of the ``fields``.
+    """
+    added = T._parse_datatype_string(fields)
+    kept = [f for f in df.schema.fields if f.name != column]
+    types = list(to_arrow_schema(added).types)
+    names = [f.name for f in kept] + added.fieldNames()
+
+    def run(batches):
+        f = make()
+        for b in batches:
+            found = [f(x) for x in b.column(column).to_pylist()]
+            arrays = [b.column(x.name) for x in kept]
+            arrays += [pa.array([x[i] for x in found], t) for i, t in enumerate(types)]
+            yield pa.RecordBatch.from_arrays(arrays, names)
+
+    return df.mapInArrow(run, T.StructType(kept + added.fields))
+
+
+__all__ = ["compute", "documents", "narrow", "pin", "prefix_sums", "row_key"]

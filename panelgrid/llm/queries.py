@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from panelgrid.llm.common import documents
 from panelgrid.llm.packing import pack
 from panelgrid.llm.quality import load_labels, quality_rules
 from panelgrid.llm.sharding import shard_by_bytes
+from panelgrid.llm.tokens import encode_digests
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -37,3 +39,10 @@ def op5(spark, sf_dir):
 @register("op7_ngram_ratio")
 def op7(spark, sf_dir):
     return quality_rules(documents(spark, sf_dir), load_labels(spark, sf_dir))
+
+
+@register("op8_byte_bpe")
+def op8(spark, sf_dir):
+    return encode_digests(documents(spark, sf_dir),
+                          public_tokenizers.path("byte_bpe_multi_50k.tiktoken"),
+                          public_tokenizers.PATTERN)
