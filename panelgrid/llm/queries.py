@@ -8,8 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from panelgrid.llm.common import documents
+from panelgrid.llm.language import identify
 from panelgrid.llm.packing import pack
 from panelgrid.llm.quality import load_labels, quality_rules
+from panelgrid.llm.secret_scan import scan_digests
 from panelgrid.llm.sharding import shard_by_bytes
 from panelgrid.llm.tokens import encode_digests
 
@@ -46,3 +48,13 @@ def op8(spark, sf_dir):
     return encode_digests(documents(spark, sf_dir),
                           public_tokenizers.path("byte_bpe_multi_50k.tiktoken"),
                           public_tokenizers.PATTERN)
+
+
+@register("op6_ppm_language")
+def op6(spark, sf_dir):
+    return identify(documents(spark, sf_dir))
+
+
+@register("op9_layered_secrets")
+def op9(spark, sf_dir):
+    return scan_digests(documents(spark, sf_dir))
