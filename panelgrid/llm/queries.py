@@ -8,11 +8,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from panelgrid.llm.common import documents
+from panelgrid.llm.fingerprints import compare_with_next
 from panelgrid.llm.language import identify
 from panelgrid.llm.packing import pack
 from panelgrid.llm.quality import load_labels, quality_rules
 from panelgrid.llm.secret_scan import scan_digests
 from panelgrid.llm.sharding import shard_by_bytes
+from panelgrid.llm.substring_dedup import dedup_substrings
 from panelgrid.llm.tokens import encode_digests
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,6 +30,17 @@ def register(name: str, sql: str | None = None):
     return add
 
 
+@register("op2_sentence_spans")
+def op2(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    return dedup_substrings(docs.select("doc_id", "text"))
+
+
+@register("op4_closed_syncmers")
+def op4(spark, sf_dir):
+    return compare_with_next(documents(spark, sf_dir))
+
+
 @register("op3_minimax_shards")
 def op3(spark, sf_dir):
     return shard_by_bytes(documents(spark, sf_dir))
