@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from panelgrid.llm.common import documents
 from panelgrid.llm.fingerprints import compare_with_next
+from panelgrid.llm.jaccard_join import near_groups
 from panelgrid.llm.language import identify
 from panelgrid.llm.packing import pack
 from panelgrid.llm.quality import load_labels, quality_rules
@@ -30,6 +31,11 @@ def register(name: str, sql: str | None = None):
     return add
 
 
+@register("op1_ngram_jaccard")
+def op1(spark, sf_dir):
+    return near_groups(documents(spark, sf_dir))
+
+
 @register("op2_sentence_spans")
 def op2(spark, sf_dir):
     docs = documents(spark, sf_dir)
