@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from panelgrid.llm.common import compute, narrow
+from panelgrid.llm.hashing import mixed, sliding_least
 
 K, S = 24, 8
 SIZE = 64
@@ -27,12 +28,6 @@ RANGE_BYTES = 4 << 20  # text a range of neighbouring documents holds
 MAX_RANGES = 1 << 16  # bounds kept on the driver; ranges get longer beyond, they are streamed
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def anchors(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """(byte offsets, 64-bit hashes) of the closed syncmers; a text under K bytes is one anchor."""
     raw = np.frombuffer((text or "").encode(), np.uint8)
@@ -44,17 +39,13 @@ def anchors(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     parts = raw[:len(raw) - S + 1].astype(np.uint64)
     for i in range(1, S):
         parts = (parts << np.uint64(8)) | raw[i:len(raw) - S + 1 + i]
-    parts = _mix(parts)
+    parts = mixed(parts)
     width = K - S + 1
-    least, span = parts, 1
-    while span < width:  # least of ``span`` neighbours, doubled as long as it fits
-        step = min(span, width - span)
-        least = np.minimum(least[:-step], least[step:])
-        span += step
+    least = sliding_least(parts, width)
     at = np.flatnonzero((least == parts[:len(least)]) | (least == parts[width - 1:]))
     whole = parts[at]
     for i in range(S, K - S + 1, S):
-        whole = _mix(whole * np.uint64(3) + parts[at + i])
+        whole = mixed(whole * np.uint64(3) + parts[at + i])
     return at, whole
 
 

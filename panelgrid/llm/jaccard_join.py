@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from panelgrid.llm.common import compute, narrow, pin
 from panelgrid.llm.graph import components
+from panelgrid.llm.hashing import BASE, Hasher, mixed
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -29,8 +30,6 @@ BLOCK_BYTES = 4 << 20  # text of a block
 _rng = np.random.default_rng(5)
 FACTORS = (_rng.integers(0, 1 << 32, HASHES, np.uint64) | np.uint64(1)).astype(np.uint32)
 ADDENDS = _rng.integers(0, 1 << 32, HASHES, np.uint64).astype(np.uint32)
-BASE = 0x9E3779B97F4A7C15
-INVERSE = pow(BASE, -1, 1 << 64)
 
 
 def normal(text: Column) -> Column:
@@ -39,42 +38,19 @@ def normal(text: Column) -> Column:
     return F.lower(F.trim(spaced))
 
 
-def powers(base: int, n: int) -> np.ndarray:
-    return np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, base, np.uint64)]))
-
-
-def mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-class Hasher:
-    """Hashes of stretches of bytes, from sums of bytes times powers of an odd base."""
-
-    def __init__(self):
-        self.up = self.down = np.ones(1, np.uint64)
-
-    def stretches(self, raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        if len(self.up) <= len(raw):
-            self.up, self.down = powers(BASE, 2 * len(raw)), powers(INVERSE, 2 * len(raw))
-        total = np.zeros(len(raw) + 1, np.uint64)
-        np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * self.up[:len(raw)], out=total[1:])
-        return mixed((total[end] - total[start]) * self.down[start])
-
-    def shingles(self, words: str, n: int = WORDS) -> np.ndarray:
-        """Distinct hashes of all runs of n words; fewer words are one run."""
-        raw = np.frombuffer(words.encode(), np.uint8)
-        if not len(raw):
-            return np.zeros(0, np.uint64)
-        gaps = np.flatnonzero(raw == 32)
-        start = np.concatenate([[0], gaps + 1])
-        end = np.concatenate([gaps, [len(raw)]])
-        if len(start) < n:
-            start, end = start[:1], end[-1:]
-        else:
-            start, end = start[:len(start) - n + 1], end[n - 1:]
-        return np.unique(self.stretches(raw, start, end))
+def shingles(h: Hasher, words: str, n: int = WORDS) -> np.ndarray:
+    """Distinct hashes of all runs of n words; fewer words are one run."""
+    raw = np.frombuffer(words.encode(), np.uint8)
+    if not len(raw):
+        return np.zeros(0, np.uint64)
+    gaps = np.flatnonzero(raw == 32)
+    start = np.concatenate([[0], gaps + 1])
+    end = np.concatenate([gaps, [len(raw)]])
+    if len(start) < n:
+        start, end = start[:1], end[-1:]
+    else:
+        start, end = start[:len(start) - n + 1], end[n - 1:]
+    return np.unique(h.stretches(raw, start, end))
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
@@ -188,7 +164,7 @@ def compare_cell(batch: pd.DataFrame, threshold: float = THRESHOLD,
     """Links of one pair of blocks: (id, n_links, root), a row per text; links count copies."""
     h = Hasher()
     cell = batch.sort_values("id", ignore_index=True)
-    sets = [h.shingles(t) for t in cell["words"]]
+    sets = [shingles(h, t) for t in cell["words"]]
     sigs = np.array([signature(s) for s in sets])
     copies = cell["copies"].to_numpy()
     block = cell["block"].to_numpy()
@@ -224,11 +200,43 @@ def near_groups(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float
     of each other and link to nothing else; a class without any id has class_id null; repeated rows
     are copies; an empty table gives no rows.
     """
-    rows = narrow(docs, id_col, text_col).withColumn("words", normal(F.col("text")))
-    key = F.md5("words")
-    texts = compute(rows.select("doc_id", key.alias("key"), "words"), "words",
+    rows = _rows(docs, id_col, text_col)
+    whole = _classes(rows, threshold, tolerance)
+    classes = whole.groupBy("root").agg(F.min("doc_id").alias("class_id"),
+                                        F.sum("copies").alias("class_size"))
+    told = whole.join(classes, "root").select(
+        "key", "class_id", "class_size",
+        (F.coalesce("n_links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    return (rows.select("doc_id", F.md5("words").alias("key")).join(told, "key")
+            .select("doc_id", "class_id", "n_links", "class_size"))
+
+
+def one_of_each(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE,
+                id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each group of ``near_groups``, that of the least id, with all its columns.
+
+    Null ids are last; of rows that repeat id and words any one stays.
+    """
+    whole = _classes(_rows(docs, id_col, text_col), threshold, tolerance)
+    kept = whole.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id",
+                                                    "key")).alias("x"))
+    name = lambda i, k: F.concat(F.coalesce(i.cast("string"), F.lit("null")), F.lit(":"), k)
+    named = docs.select(F.struct("*").alias("row"),
+                        name(F.col(id_col), F.md5(normal(F.col(text_col)))).alias("name"))
+    return (named.join(kept.select(name(F.col("x.doc_id"), F.col("x.key")).alias("name")), "name")
+            .dropDuplicates(["name"]).select("row.*"))
+
+
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return narrow(docs, id_col, text_col).withColumn("words", normal(F.col("text")))
+
+
+def _classes(rows: DataFrame, threshold: float, tolerance: float) -> DataFrame:
+    """(id, key, doc_id, copies, n_links, root) of every different text."""
+    texts = compute(rows.select("doc_id", F.md5("words").alias("key"), "words"), "words",
                     "bands array<long>", _banding)
-    texts = pin(texts.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"),
+    texts = pin(texts.groupBy("key").agg(F.min("doc_id").alias("doc_id"),
+                                         F.first("bands").alias("bands"),
                                          F.count("*").alias("copies"))
                 .withColumn("id", F.monotonically_increasing_id()), "join-texts")
     banded = texts.select("id", F.explode("bands").alias("band"))
@@ -238,22 +246,14 @@ def near_groups(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float
     linked = pin(_links(rows, pin(coarse, "join-coarse"), texts, threshold, tolerance), "join-links")
     fine = components(linked.select(F.col("id").alias("a"), F.col("root").alias("b")))
     counts = linked.groupBy("id").agg(F.sum("n_links").alias("n_links"))
-    whole = (texts.select("id", "key", "doc_id", "copies")
-             .join(counts, "id", "left").join(fine, "id", "left")
-             .withColumn("root", F.coalesce("root", "id")))
-    whole = pin(whole, "join-classes")
-    classes = whole.groupBy("root").agg(F.min("doc_id").alias("class_id"),
-                                        F.sum("copies").alias("class_size"))
-    told = whole.join(classes, "root").select(
-        "key", "class_id", "class_size",
-        (F.coalesce("n_links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    return (rows.select("doc_id", key.alias("key")).join(told, "key")
-            .select("doc_id", "class_id", "n_links", "class_size"))
+    return pin(texts.select("id", "key", "doc_id", "copies")
+               .join(counts, "id", "left").join(fine, "id", "left")
+               .withColumn("root", F.coalesce("root", "id")), "join-classes")
 
 
 def _banding():
     h = Hasher()
-    return lambda words: (bands(signature(h.shingles(words))),)
+    return lambda words: (bands(signature(shingles(h, words))),)
 
 
 def _links(rows: DataFrame, coarse: DataFrame, texts: DataFrame, threshold: float,

@@ -106,36 +106,51 @@ def base_counts(docs: DataFrame) -> DataFrame:
             .withColumn("n_repeat_words", _covered(_repeated_starts())))
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame | None, buckets: int = 1 << 14,
-                  threshold: float = -0.2, smoothing: float = 1.0, max_trusted: int = 1 << 16,
-                  id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, score, kept).
-
-    labels: (doc_id, quality); documents labelled 1 anywhere are the trusted target, ``max_trusted``
-    of them at most, those of smallest hashed id; the other side counts every document. Nulls and empty
-    texts have no words, fail the base rules and score 0; rows that repeat are counted and judged
-    each; without a trusted document every score is 0; an empty table gives no rows.
-    """
-    own = narrow(docs, id_col, text_col)
+def _scored(own: DataFrame, labels: DataFrame | None, buckets: int, threshold: float,
+            smoothing: float, max_trusted: int) -> DataFrame:
+    """Adds all counts, base_failed, score and kept to (doc_id, text, ...)."""
     good = None if labels is None else \
         (labels.filter("quality = 1 and doc_id is not null").select("doc_id").distinct()
          .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_trusted))
-    model = pin(log_ratios(own, good, buckets, smoothing), "quality-ratios")
+    model = pin(log_ratios(own.select("doc_id", "text"), good, buckets, smoothing), "quality-ratios")
     # a scalar subquery: the array, of fixed size, becomes a constant of the plan
     ratios = model.select("ratios").scalar()
     total = F.aggregate(ngram_buckets(buckets), F.lit(0.0),
                         lambda acc, b: acc + F.get(F.col("ratios"), b))
-    scored = (base_counts(hashed(own)).withColumn("ratios", ratios)
-              .withColumn("score", F.when(F.col("n_words") > 0,
-                                          total / (F.size("w1") + F.size("w2"))).otherwise(0.0)))
-    long = lambda c: F.col(c).cast("long")
     failed = (F.col("n_words") < MIN_WORDS) | (
-        100 * long("n_repeat_words") > MAX_REPEATED * long("n_words"))
-    return (scored.withColumn("base_failed", failed)
-            .select("doc_id", *[long(c).alias(c) for c in (
-                "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
-                "base_failed", "score",
-                (~F.col("base_failed") & (F.col("score") >= threshold)).alias("kept")))
+        100 * F.col("n_repeat_words").cast("long") > MAX_REPEATED * F.col("n_words").cast("long"))
+    return (base_counts(hashed(own)).withColumn("ratios", ratios)
+            .withColumn("score", F.when(F.col("n_words") > 0,
+                                        total / (F.size("w1") + F.size("w2"))).otherwise(0.0))
+            .withColumn("base_failed", failed)
+            .withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold)))
+
+
+def quality_rules(docs: DataFrame, labels: DataFrame | None, buckets: int = 1 << 14,
+                  threshold: float = -0.2, smoothing: float = 1.0, max_trusted: int = 1 << 16,
+                  id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, score, kept).
+
+    labels: (doc_id, quality); documents labelled 1 anywhere are the trusted target, ``max_trusted``
+    of them at most, those of smallest hashed id; the other side counts every document. Nulls and
+    empty texts have no words, fail the base rules and score 0; rows that repeat are counted and
+    judged each; without a trusted document every score is 0; an empty table gives no rows.
+    """
+    scored = _scored(narrow(docs, id_col, text_col), labels, buckets, threshold, smoothing,
+                     max_trusted)
+    counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    return scored.select("doc_id", *[F.col(c).cast("long").alias(c) for c in counts],
+                         "base_failed", "score", "kept")
+
+
+def keep_good(docs: DataFrame, labels: DataFrame | None, buckets: int = 1 << 14,
+              threshold: float = -0.2, smoothing: float = 1.0, max_trusted: int = 1 << 16,
+              id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that ``quality_rules`` keeps, with all their columns."""
+    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"),
+                      F.struct("*").alias("row"))
+    scored = _scored(own, labels, buckets, threshold, smoothing, max_trusted)
+    return scored.filter("kept").select("row.*")
 
 
 def load_labels(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,6 +16,7 @@ from panelgrid.llm.quality import load_labels, quality_rules
 from panelgrid.llm.secret_scan import scan_digests
 from panelgrid.llm.sharding import shard_by_bytes
 from panelgrid.llm.substring_dedup import dedup_substrings
+from panelgrid.llm.suffix_dedup import dedup_digests
 from panelgrid.llm.tokens import encode_digests
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,3 +78,8 @@ def op6(spark, sf_dir):
 @register("op9_layered_secrets")
 def op9(spark, sf_dir):
     return scan_digests(documents(spark, sf_dir))
+
+
+@register("op10_suffix_arrays")
+def op10(spark, sf_dir):
+    return dedup_digests(documents(spark, sf_dir))

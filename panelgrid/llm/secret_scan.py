@@ -182,6 +182,17 @@ def scan(docs: DataFrame, mask: str = "[SECRET]", id_col: str = "doc_id",
                    "text string", scanner)
 
 
+def mask_secrets(docs: DataFrame, mask: str = "[SECRET]", text_col: str = "text") -> DataFrame:
+    """All columns of ``docs``, every secret of the text masked, those of decoded layers too."""
+    def masker():
+        def one(text):
+            every = find_secrets(text)[1] if text else []
+            return masked(text, every, mask) if every else text,
+        return one
+
+    return compute(docs, text_col, f"`{text_col}` string", masker).select(*docs.columns)
+
+
 def scan_digests(docs: DataFrame) -> DataFrame:
     """The scan with the base spans as a digest and without texts."""
     return scan(docs).select("doc_id", "n_assign", "n_access", "n_hex",

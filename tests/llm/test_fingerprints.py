@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from panelgrid.llm import fingerprints as P
+from panelgrid.llm.hashing import mixed
 
 
 def direct(text):
@@ -11,7 +12,7 @@ def direct(text):
     raw, out = text.encode(), {}
     for i in range(len(raw) - P.K + 1):
         window = raw[i:i + P.K]
-        parts = [int(P._mix(np.array([int.from_bytes(window[j:j + P.S], "big")], np.uint64))[0])
+        parts = [int(mixed(np.array([int.from_bytes(window[j:j + P.S], "big")], np.uint64))[0])
                  for j in range(P.K - P.S + 1)]
         if min(parts) in (parts[0], parts[-1]):
             out[i] = window
