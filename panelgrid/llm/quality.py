@@ -150,7 +150,9 @@ def keep_good(docs: DataFrame, labels: DataFrame | None, buckets: int = 1 << 14,
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"),
                       F.struct("*").alias("row"))
     scored = _scored(own, labels, buckets, threshold, smoothing, max_trusted)
-    return scored.filter("kept").select("row.*")
+    # the row number keeps the filter above the projections; pushed below, it would repeat them all
+    numbered = scored.withColumn("at", F.monotonically_increasing_id())
+    return numbered.filter(F.col("kept") & (F.col("at") >= 0)).select("row.*")
 
 
 def load_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
