@@ -27,6 +27,7 @@ HASHES = BANDS * ROWS
 STEP = 32  # MinHashes compared between two decisions
 TOLERANCE = 1e-6
 BLOCK_BYTES = 4 << 20  # text of a block
+COLUMNS = 4096  # shingles counted at once
 _rng = np.random.default_rng(5)
 FACTORS = (_rng.integers(0, 1 << 32, HASHES, np.uint64) | np.uint64(1)).astype(np.uint32)
 ADDENDS = _rng.integers(0, 1 << 32, HASHES, np.uint64).astype(np.uint32)
@@ -128,14 +129,15 @@ def verified(i, j, left: list[np.ndarray], right: list[np.ndarray], threshold: f
     if dense < sparse:  # count common shingles of all at once, some columns at a time
         at_l, at_r = np.searchsorted(own, i), np.searchsorted(col, j)
         total = np.zeros((len(own), len(col)), np.float32)
-        for lo in range(0, len(vocabulary), 4096):
-            words = vocabulary[lo:lo + 4096]
+        for lo in range(0, len(vocabulary), COLUMNS):
+            words = vocabulary[lo:lo + COLUMNS]
             sides = []
             for ids, sets in ((own, left), (col, right)):
                 m = np.zeros((len(ids), len(words)), np.float32)
                 for row, k in enumerate(ids):
-                    a, b = np.searchsorted(sets[k], [words[0], words[-1]])
-                    m[row, np.searchsorted(words, sets[k][a:b + 1])] = 1
+                    a = np.searchsorted(sets[k], words[0])
+                    b = np.searchsorted(sets[k], words[-1], "right")
+                    m[row, np.searchsorted(words, sets[k][a:b])] = 1
                 sides.append(m)
             total += sides[0] @ sides[1].T
         common = total[at_l, at_r].astype(float)
