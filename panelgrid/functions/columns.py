@@ -54,7 +54,9 @@ def sanitize(df: DataFrame) -> DataFrame:
 # ---- coordinates -------------------------------------------------------------------------
 
 def round_coord(c: ColumnLike, decimals: int = 3) -> Column:
-    return F.round(col(c), decimals)
+    """Halves go to the even neighbour, as in NumPy."""
+    scale = F.lit(10.0 ** decimals)
+    return F.rint(col(c) * scale) / scale
 
 
 def wrap_lon(c: ColumnLike) -> Column:
@@ -80,9 +82,9 @@ def hash_key(seed: ColumnLike | int, *keys: ColumnLike) -> Column:
 
 
 def uniform(seed: ColumnLike | int, *keys: ColumnLike) -> Column:
-    """Uniform draw in (0, 1) from the first 32 bits of :func:`hash_key`."""
-    bits = F.conv(F.substring(hash_key(seed, *keys), 1, 8), 16, 10).cast("double")
-    return (bits + 0.5) / F.lit(4294967296.0)
+    """Uniform draw in (0, 1) from the first 52 bits of :func:`hash_key`."""
+    bits = F.conv(F.substring(hash_key(seed, *keys), 1, 13), 16, 10).cast("double")
+    return (bits + 0.5) / F.lit(4503599627370496.0)
 
 
 # ---- arithmetic --------------------------------------------------------------------------

@@ -37,7 +37,6 @@ SCORED_CLASS_COLUMNS = ["BSV", "CRO", "CVM", "DBF", "EBF", "ENF", "GRA", "MF", "
                         "URB", "WAT", "WET"]
 
 # Main climate codes.
-CLIMATE = {1: "tropical", 2: "dry", 3: "temperate", 4: "continental", 5: "polar"}
 
 # World area per class (km2).
 CLASS_AREA = {"ENF": 2411991, "EBF": 12052970, "DBF": 2898066, "MF": 4786627, "SH": 13841035,

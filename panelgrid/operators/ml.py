@@ -13,7 +13,7 @@ from functools import reduce
 
 from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.evaluation import RegressionEvaluator
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import Imputer, VectorAssembler
 from pyspark.ml.regression import (GBTRegressor, GeneralizedLinearRegression, LinearRegression,
                                    RandomForestRegressor)
 from pyspark.ml.tuning import CrossValidator
@@ -38,12 +38,16 @@ DEEPEST = 30
 
 
 def pipeline(regressor: Estimator, features: Sequence[str], label: str = "y") -> Pipeline:
-    """Assemble the listed features and regress. Rows with a missing feature are skipped in
-    fitting and get no prediction."""
+    """Fill, assemble and regress the listed features.
+
+    A missing feature takes the mean of the rows the pipeline is fitted on, so no row is dropped in
+    fitting and every row gets a prediction.
+    """
     regressor = regressor.copy()
     regressor.setParams(featuresCol="_features", labelCol=label, predictionCol="prediction")
-    return Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="_features",
-                                            handleInvalid="skip"), regressor])
+    filled = [f"_filled_{n}" for n in range(len(features))]
+    return Pipeline(stages=[Imputer(inputCols=list(features), outputCols=filled, strategy="mean"),
+                            VectorAssembler(inputCols=filled, outputCol="_features"), regressor])
 
 
 def feature_names(model: PipelineModel) -> list[str]:
@@ -100,10 +104,13 @@ def candidate_pool(budget: int = 12, seed: int = 26) -> dict[str, Estimator]:
 
 def training_table(df: DataFrame, features: Sequence[str], y: str, strat: str | None,
                    keys: Sequence[str] = ("site", "date")) -> DataFrame:
-    """Complete rows with a target, pinned: every fold and candidate reads them again."""
+    """Rows with a target, pinned: every fold and candidate reads them again.
+
+    Rows with a missing feature or label stay; the pipeline fills features, folds know the label.
+    """
     cols = [*keys, *features, F.col(y).cast("double").alias("y"),
             (F.col(strat) if strat else F.lit("all")).cast("string").alias("strat")]
-    return pin(sanitize(df.select(*cols)).dropna(subset=[*features, "y"]), "training")
+    return pin(sanitize(df.select(*cols)).dropna(subset=["y"]), "training")
 
 
 def _predict_fold(est: Pipeline, rows: DataFrame, fold: int, name: str) -> DataFrame:
@@ -149,12 +156,10 @@ def search_forest(train: DataFrame, features: Sequence[str], k: int = 5, seed: i
     base = RandomForestRegressor(featuresCol="_features", labelCol="y")
     grid = [{base.getParam(p): v for p, v in c.items()}
             for c in forest_candidates(len(features), seed=seed, **space)]
-    assembled = VectorAssembler(inputCols=list(features), outputCol="_features",
-                                handleInvalid="skip").transform(rows)
-    cv = CrossValidator(estimator=base, estimatorParamMaps=grid, numFolds=k, foldCol="_fold",
+    cv = CrossValidator(estimator=pipeline(base, features), estimatorParamMaps=grid, numFolds=k, foldCol="_fold",
                         evaluator=RegressionEvaluator(labelCol="y", metricName="rmse"),
                         parallelism=parallelism)
-    fitted = cv.fit(assembled.select("_features", "y", "_fold"))
+    fitted = cv.fit(rows.select(*features, "y", "_fold"))
     best = min(range(len(grid)), key=lambda n: fitted.avgMetrics[n])
     scores = train.sparkSession.createDataFrame(
         [(n, str({p.name: v for p, v in g.items()}), float(m))
@@ -228,7 +233,8 @@ def stack_importance(oof: DataFrame, names: Sequence[str]) -> DataFrame:
 def score_grid(df: DataFrame, model: PipelineModel, code: str | None = None,
                classes: Sequence[str] = (), class_column: str = "MODIS_LC",
                keys: Sequence[str] = ("lat", "lon", "time"), out: str = "v") -> DataFrame:
-    """Predict every cell; excluded classes and incomplete cells come back as NULL.
+    """Predict every cell; excluded classes come back as NULL, missing features are filled as in
+    training.
 
     Codes become classes, classes become the one-hot columns the model was trained with, and
     every input cell is kept in place, so nothing has to be joined back.
@@ -245,9 +251,6 @@ def score_grid(df: DataFrame, model: PipelineModel, code: str | None = None,
     for n in names:
         if n not in df.columns:
             df = df.withColumn(n, F.lit(0.0))
-    complete = reduce(lambda a, b: a & b, [F.col(f"`{n}`").isNotNull() for n in names])
-    # the model sees 0 where a cell is not scored; its answer there is dropped
-    ready = df.withColumn("_ok", eligible & complete).withColumns(
-        {n: F.coalesce(F.col(f"`{n}`"), F.lit(0.0)) for n in names})
-    scored = model.transform(ready)
+    scored = model.transform(df.withColumn("_ok", eligible).withColumns(
+        {n: F.col(f"`{n}`").cast("double") for n in names}))
     return scored.select(*keys, F.when(F.col("_ok"), F.col("prediction")).alias(out))

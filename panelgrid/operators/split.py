@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import random
 from collections.abc import Sequence
 
-import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,82 +11,47 @@ from panelgrid.functions.columns import hash_key, uniform
 from panelgrid.operators.grouping import pick_by_draw, weighted_positions
 from panelgrid.session import pin
 
-# The greedy assignment visits groups one after the other, so it is for site tables of this size.
-GREEDY_LIMIT = 50_000
-
 
 def label_counts(df: DataFrame, group: str, label: str) -> DataFrame:
-    """Rows per group and label; NULL labels are left out."""
-    return df.where(F.col(label).isNotNull()).groupBy(group, label).agg(
-        F.count(F.lit(1)).alias("n"))
+    """Rows per group and label; NULL is a label of its own."""
+    return df.groupBy(group, label).agg(F.count(F.lit(1)).alias("n"))
 
 
-def group_kfold(df: DataFrame, group: str, label: str, k: int = 5, seed: int = 26,
-                mode: str = "snake") -> DataFrame:
+def group_kfold(df: DataFrame, group: str, label: str, k: int = 5, seed: int = 26) -> DataFrame:
     """One fold number per group, balanced over labels.
 
-    ``snake`` (any size): groups of one dominant label are ordered by size class (powers of two,
-    largest first) and then by a seeded hash, and dealt to the folds back and forth; each label
-    starts at its own fold. ``greedy``: groups with the most uneven label counts first, each to
-    the fold that keeps label shares most even; inherently one after the other, so it is limited
-    to site tables of GREEDY_LIMIT groups.
+    Groups of one dominant label are ordered by size class (powers of two, largest first) and then
+    by a seeded hash, and dealt to the folds back and forth; each label starts at its own fold.
+    Known labels come before a missing one; groups without any known label are a stratum too.
     """
     counts = label_counts(df, group, label)
-    if mode == "greedy":
-        return _greedy(counts, group, label, k, seed)
-    if mode != "snake":
-        raise ValueError(f"unknown mode {mode!r}")
-    # the most frequent label, the smallest one on ties
-    top = (counts.groupBy(group).agg(F.min(F.struct(-F.col("n"), label)).alias("_t"),
-                                     F.sum("n").alias("_rows"))
-           .select(group, F.col(f"_t.{label}").alias("_label"), "_rows"))
+    known = F.col(label).isNotNull()
+    # the most frequent known label, the smallest one on ties
+    top = (counts.groupBy(group).agg(
+        F.min(F.struct((~known).alias("unknown"), -F.col("n"), label)).alias("_t"),
+        F.coalesce(F.sum(F.when(known, F.col("n"))), F.sum("n")).alias("_rows"))
+        .select(group, F.col(f"_t.{label}").alias("_label"), "_rows"))
     g = top.select(
-        group, "_label", F.length(F.bin("_rows")).alias("_size"),
+        group, "_label", F.coalesce(F.concat(F.lit("="), F.col("_label").cast("string")), F.lit(""))
+        .alias("_stratum"), F.length(F.bin("_rows")).alias("_size"),
         hash_key(seed, group).alias("_h")).withColumn("_hb", F.substring("_h", 1, 2))
     # at most 64 size classes x 256 hash prefixes per label are numbered in one window
-    order = Window.partitionBy("_label").orderBy(F.desc("_size"), "_hb")
-    blocks = (g.groupBy("_label", "_size", "_hb").agg(F.count(F.lit(1)).alias("_c"))
-              .select("_label", "_size", "_hb",
+    order = Window.partitionBy("_stratum").orderBy(F.desc("_size"), "_hb")
+    blocks = (g.groupBy("_stratum", "_size", "_hb").agg(F.count(F.lit(1)).alias("_c"))
+              .select("_stratum", "_size", "_hb",
                       F.coalesce(F.sum("_c").over(order.rowsBetween(Window.unboundedPreceding, -1)),
                                  F.lit(0)).alias("_before")))
-    inside = Window.partitionBy("_label", "_size", "_hb").orderBy("_h")
+    inside = Window.partitionBy("_stratum", "_size", "_hb").orderBy("_h")
     pos = F.col("_before") + F.row_number().over(inside) - 1
     lane = F.pmod(pos, F.lit(k))
     back = F.pmod(F.floor(pos / k), F.lit(2)) == 1
-    start = F.conv(F.substring(hash_key(seed, "_label"), 1, 6), 16, 10).cast("bigint")
+    name = F.coalesce(F.col("_label").cast("string"), F.lit("~"))
+    start = F.conv(F.substring(hash_key(seed, name), 1, 6), 16, 10).cast("bigint")
     fold = F.pmod(F.when(back, k - 1 - lane).otherwise(lane) + start, F.lit(k))
-    dealt = g.join(blocks, ["_label", "_size", "_hb"])
+    dealt = g.join(blocks, ["_stratum", "_size", "_hb"])
     return pin(dealt.select(group, fold.cast("int").alias("fold")), "folds")
 
 
-def _greedy(counts: DataFrame, group: str, label: str, k: int, seed: int) -> DataFrame:
-    rows = counts.orderBy(group, label).limit(GREEDY_LIMIT * 20 + 1).collect()
-    groups = sorted({r[0] for r in rows})
-    if len(rows) > GREEDY_LIMIT * 20 or len(groups) > GREEDY_LIMIT:
-        raise ValueError("too many groups for mode='greedy'; use mode='snake'")
-    labels = {v: i for i, v in enumerate(sorted({r[1] for r in rows}))}
-    where = {g: i for i, g in enumerate(groups)}
-    table = np.zeros((len(groups), len(labels)))
-    for g, lab, n in rows:
-        table[where[g], labels[lab]] = n
-    share = table / table.sum(axis=0)
-    visit = list(range(len(groups)))
-    random.Random(seed).shuffle(visit)
-    visit.sort(key=lambda i: -table[i].std())
-    held = np.zeros((k, len(labels)))
-    trial = np.eye(k)[:, :, None]
-    fold_of = {}
-    for i in visit:
-        # held + share[i] put into fold 0, 1, ... : spread over folds, averaged over labels
-        spread = (held[None] + trial * share[i]).std(axis=1).mean(axis=1)
-        f = int(spread.argmin())
-        held[f] += share[i]
-        fold_of[groups[i]] = f
-    spark = counts.sparkSession
-    kind = counts.schema[group].dataType.simpleString()
-    return spark.createDataFrame(list(fold_of.items()), f"`{group}` {kind}, fold int")
-
-
 def fold_roles(df: DataFrame, folds: DataFrame, fold: int, group: str = "site") -> DataFrame:
     """Rows with ``role`` test (the fold) or train (all others)."""
     role = F.when(F.col("fold") == fold, F.lit("test")).otherwise(F.lit("train"))

@@ -18,7 +18,7 @@ WRAPPED = "round(CASE WHEN lon >= 180 THEN lon - 360 ELSE lon END, 9)"
 
 
 @query("round_coords", sql("", f"""
-    SELECT {i('c_custkey', 'c_custkey')}, {r('round(c_acctbal / 7, 3)', 'x')} FROM customer"""))
+    SELECT {i('c_custkey', 'c_custkey')}, {r('round_even(CAST(c_acctbal AS DOUBLE) / 7 * 1000, 0) / 1000', 'x')} FROM customer"""))
 def round_coords(v):
     return v.table("customer").select("c_custkey", round_coord(F.col("c_acctbal") / 7).alias("x"))
 
@@ -260,7 +260,7 @@ def rel_sem_by_class(v):
 
 # ---- product comparison ------------------------------------------------------------------
 
-_U = "(CAST('0x' || substr(md5({k}), 1, 8) AS BIGINT) + 0.5) / 4294967296.0"
+_U = "(CAST('0x' || substr(md5({k}), 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0"
 _CELLKEY = "'{seed}|' || CAST(round(lat * 1000) AS BIGINT) || '|' || CAST(round(lon * 1000) AS BIGINT)"
 _INSIDE = f"""SELECT e.lat, e.lon FROM (SELECT DISTINCT lat, lon FROM ens) e
     JOIN veg_mask g ON e.lat = g.lat AND e.lon = g.lon

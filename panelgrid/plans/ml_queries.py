@@ -50,8 +50,8 @@ def cv_scores(v):
     "g": "SELECT site, count(*) AS n, md5('0|' || site) AS h FROM site_features GROUP BY ALL",
     "pos": """SELECT *, sum(n) OVER (ORDER BY h) - n AS s, sum(n) OVER () AS total,
               row_number() OVER (ORDER BY h) - 1 AS ordinal, count(*) OVER () AS m FROM g""",
-    "u": """SELECT rep, (CAST('0x' || substr(md5((26 + rep) || '|' || ordinal), 1, 8) AS BIGINT)
-            + 0.5) / 4294967296.0 * total AS u
+    "u": """SELECT rep, (CAST('0x' || substr(md5((26 + rep) || '|' || ordinal), 1, 13) AS BIGINT)
+            + 0.5) / 4503599627370496.0 * total AS u
             FROM pos, range(3) t(rep) WHERE ordinal < floor(0.8 * m)""",
     "bag": "SELECT DISTINCT rep, site FROM u JOIN pos ON u >= s AND u < s + n",
     "fit": """SELECT rep, regr_slope(gt, b4) AS b, regr_intercept(gt, b4) AS a
@@ -124,3 +124,45 @@ def stack_importance(v):
     pool = _small_pool()
     _, oof = ml.leaderboard(v.site_features, TREES, k=3, candidates=pool, stack=False)
     return ml.stack_importance(oof, list(pool))
+
+
+_GAPS = """SELECT site, date, gt, CASE WHEN month(date) % 4 <> 1 THEN b4 END AS b4,
+                  CASE WHEN site % 10 <> 3 THEN 'all' END AS label FROM site_features"""
+_GAP_CV = {
+    "gaps": _GAPS,
+    **_fold_ctes("SELECT site AS grp, coalesce(label, '~') AS label FROM gaps", 26, 5),
+    "rows": "SELECT g.*, fold FROM gaps g JOIN folds f ON g.site = f.site",
+    "means": """SELECT t.fold, avg(b4) AS m FROM (SELECT DISTINCT fold FROM rows) t
+                JOIN rows x ON x.fold <> t.fold GROUP BY t.fold""",
+    "fit": """SELECT t.fold, any_value(m) AS m, regr_slope(gt, coalesce(b4, m)) AS b,
+                     regr_intercept(gt, coalesce(b4, m)) AS a
+              FROM means t JOIN rows x ON x.fold <> t.fold GROUP BY t.fold""",
+}
+
+
+@query("cv_predictions_gaps", sql("site_features", f"""
+    SELECT {i('site', 'site')}, {d('date', 'date')}, {i('x.fold', 'fold')}, {r('gt', 'y')},
+           {r('a + b * coalesce(b4, m)', 'y_pred')}, 'LinearRegression' AS model
+    FROM rows x JOIN fit f ON x.fold = f.fold""", _GAP_CV))
+def cv_predictions_gaps(v):
+    """Missing features are filled with the training mean, sites without a label get a fold."""
+    gaps = v.site_features.select(
+        "site", "date", "gt", F.when(F.month("date") % 4 != 1, F.col("b4")).alias("b4"),
+        F.when(F.col("site") % 10 != 3, F.lit("all")).alias("label"))
+    return ml.cv_predictions(gaps, LinearRegression(), ["b4"], strat="label")
+
+
+@query("score_grid_gaps", sql("lines", f"""
+    SELECT {r('lat', 'lat')}, {r('lon', 'lon')}, {d('time', 'time')},
+           {r('a + b * coalesce(x, m)', 'v')}
+    FROM gaps, (SELECT any_value(m) AS m, regr_slope(y, coalesce(x, m)) AS b,
+                       regr_intercept(y, coalesce(x, m)) AS a
+                FROM gaps, (SELECT avg(x) AS m FROM gaps))""", {
+    "g": _GRID,
+    "gaps": "SELECT lat, lon, time, y, CASE WHEN month(time) <> 6 THEN x END AS x FROM g"}))
+def score_grid_gaps(v):
+    """Every cell is scored, those without the feature at its training mean."""
+    g = v.lines.groupBy("site", "date").agg(
+        (F.avg("l_quantity") / 7).alias("x"), (F.avg("l_extendedprice") / 999.91).alias("y"))
+    cells = pin(v.cells(g, "x", "y").withColumn("x", F.when(F.month("time") != 6, F.col("x"))), "cells")
+    return ml.score_grid(cells, ml.pipeline(LinearRegression(), ["x"]).fit(cells))

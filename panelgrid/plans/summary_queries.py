@@ -40,11 +40,6 @@ def group_kfold(v):
     return split.group_kfold(_labelled(v), "site", "label", k=5, seed=26)
 
 
-@query("group_kfold_greedy")
-def group_kfold_greedy(v):
-    return split.group_kfold(_labelled(v), "site", "label", k=5, seed=26, mode="greedy")
-
-
 @query("fold_roles", sql("", f"""
     SELECT CASE WHEN fold = 2 THEN 'test' ELSE 'train' END AS role, {i('count(*)', 'n')},
            {i('count(DISTINCT site)', 'sites')}
@@ -77,8 +72,8 @@ _BOOT = {
     "g": "SELECT l_suppkey AS site, count(*) AS n, md5('0|' || l_suppkey) AS h FROM lineitem GROUP BY ALL",
     "pos": """SELECT *, sum(n) OVER (ORDER BY h) - n AS s, sum(n) OVER () AS total,
               row_number() OVER (ORDER BY h) - 1 AS ordinal, count(*) OVER () AS m FROM g""",
-    "u": """SELECT rep, (CAST('0x' || substr(md5((26 + rep) || '|' || ordinal), 1, 8) AS BIGINT)
-            + 0.5) / 4294967296.0 * total AS u
+    "u": """SELECT rep, (CAST('0x' || substr(md5((26 + rep) || '|' || ordinal), 1, 13) AS BIGINT)
+            + 0.5) / 4503599627370496.0 * total AS u
             FROM pos, range(30) t(rep) WHERE ordinal < floor(0.8 * m)""",
     "bag": "SELECT DISTINCT rep, site FROM u JOIN pos ON u >= s AND u < s + n",
 }

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -32,7 +34,7 @@ def shared_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
     Only a local master may fall back to a folder on this machine: on a cluster a
-    machine-local folder would be lost with its executor.
+    machine-local folder would be lost with its executor. Such a folder goes when Python ends.
     """
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
@@ -41,6 +43,7 @@ def shared_dir(spark: SparkSession) -> str:
     if not sc.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a shared folder")
     base = tempfile.mkdtemp(prefix="panelgrid-")
+    atexit.register(shutil.rmtree, base, ignore_errors=True)
     spark.conf.set("spark.checkpoint.dir", base)
     return base
 

@@ -14,15 +14,6 @@ def _struct(*fields) -> T.StructType:
 FEATURES = list(dict.fromkeys(c for cols in VARIABLE_SETS.values() for c in cols
                               if c not in ("MODIS_LC", "year")))
 
-RAW_PANEL = _struct(("SITE_ID", _S), ("year", _I), ("month", _I), ("GPP_NT_CUT_REF", _D),
-                    ("NEE_CUT_REF", _D), ("NEE_CUT_REF_QC", _D), ("MODIS_LC", _I),
-                    *[(f, _D) for f in FEATURES])
-PANEL = _struct(("SITE_ID", _S), ("Date", T.DateType()), ("GPP_NT_CUT_REF", _D),
-                ("NEE_CUT_REF", _D), ("NEE_CUT_REF_QC", _D), ("MODIS_LC", _S), ("IGBP", _S),
-                ("LOCATION_ELEV", _D), ("koppen_main", _I), *[(f, _D) for f in FEATURES])
-SITES = _struct(("SITE_ID", _S), ("IGBP", _S), ("koppen_main", _I), ("Climate", _S),
-                ("Dataset", _S), ("LOCATION_LAT", _D), ("LOCATION_LONG", _D),
-                ("LOCATION_ELEV", _D))
 METRIC_NAMES = ["r2_overall", "r2_trend", "r2_anomalies", "r2_sites", "r2_msc", "rmse_overall",
                 "rmse_trend", "rmse_anomalies", "rmse_sites", "rmse_msc"]
 METRICS = _struct(("exp_id", _S), *[(m, _D) for m in METRIC_NAMES])
@@ -31,7 +22,5 @@ PREDICTIONS = _struct(("exp_id", _S), ("rep", _I), ("fold", _I), ("site", _S),
 FOLDS = _struct(("exp_id", _S), ("rep", _I), ("fold", _I), ("site", _S), ("role", _S))
 RUNS = _struct(("exp_id", _S), ("rep", _I), ("started", T.TimestampType()), ("seconds", _D),
                ("params", _S))
-ENSEMBLE = _struct(("lat", _D), ("lon", _D), ("time", T.DateType()), ("rep", _I), ("v", _D))
 SEARCH = _struct(("rep", _I), ("fold", _I), ("algorithm", _S), ("preprocessor", _S),
                  ("score", _D), ("status", _S))
-LEARNING_CURVE = _struct(("rep", _I), ("fold", _I), ("ts", T.TimestampType()), ("score", _D))

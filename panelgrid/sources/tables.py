@@ -2,17 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from panelgrid.functions.columns import sanitize
 
-# A result up to this many rows may go to a single file.
-SINGLE_FILE_ROWS = 1_000_000
-
 
 def read_csv(spark: SparkSession, path: str | Sequence[str], schema: StructType) -> DataFrame:
     """CSV with a header under an explicit schema; empty fields are NULL, NaN and inf too.
@@ -38,8 +34,8 @@ def read_tagged(spark: SparkSession, root: str, tags: DataFrame, schema: StructT
 
 
 def write_csv(df: DataFrame, path: str, single_file: bool = False) -> None:
-    """CSV with a header. ``single_file`` is for small results; bigger ones keep their parts."""
-    if single_file and df.limit(SINGLE_FILE_ROWS + 1).count() <= SINGLE_FILE_ROWS:
+    """CSV with a header. ``single_file`` writes through one task: ask for it on small results."""
+    if single_file:
         df = df.coalesce(1)
     df.write.mode("overwrite").option("header", True).csv(path)
 
@@ -60,7 +56,3 @@ def write_partitioned(df: DataFrame, path: str, keys: Sequence[str],
 
 def write_metrics(df: DataFrame, path: str) -> None:
     write_partitioned(df, path, ["exp_id"])
-
-
-def with_literals(df: DataFrame, values: Mapping) -> DataFrame:
-    return df.withColumns({k: F.lit(v) for k, v in values.items()})

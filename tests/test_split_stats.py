@@ -15,20 +15,18 @@ def sites(spark, n=200):
     return small.union(hot)
 
 
-@pytest.mark.parametrize("mode", ["snake", "greedy"])
-def test_every_site_in_one_fold(spark, mode):
+def test_every_site_in_one_fold(spark):
     df = sites(spark)
-    folds = split.group_kfold(df, "site", "label", 5, 3, mode)
+    folds = split.group_kfold(df, "site", "label", 5, 3)
     got = folds.toPandas()
     assert got.site.is_unique and len(got) == 200 and set(got.fold) == set(range(5))
-    again = split.group_kfold(df.repartition(11), "site", "label", 5, 3, mode)
+    again = split.group_kfold(df.repartition(11), "site", "label", 5, 3)
     assert folds.exceptAll(again).count() == 0
-    other = split.group_kfold(df, "site", "label", 5, 4, mode)
+    other = split.group_kfold(df, "site", "label", 5, 4)
     assert folds.exceptAll(other).count() > 0
     # labels are spread evenly: 50 sites each over 5 folds
     per = folds.join(df.distinct(), "site").groupBy("label", "fold").count().toPandas()
-    low, high = (9, 11) if mode == "snake" else (5, 15)
-    assert per["count"].between(low, high).mean() > 0.8
+    assert per["count"].between(9, 11).mean() > 0.8
 
 
 def test_roles_do_not_overlap(spark):
@@ -40,35 +38,11 @@ def test_roles_do_not_overlap(spark):
     assert inner.join(folds.where("fold = 1"), "site").count() == 0
 
 
-def test_greedy_takes_the_most_even_fold(spark):
-    """Reference by hand: re-evaluate the spread of every possible fold for every group."""
-    rows = [(f"g{i}", lab) for i, c in enumerate([(9, 0), (0, 8), (5, 1), (1, 5), (3, 3), (7, 2)])
-            for lab, n in zip("ab", c) for _ in range(n)]
-    df = spark.createDataFrame(rows, "site string, label string")
-    got = {r["site"]: r["fold"] for r in split.group_kfold(df, "site", "label", 2, 1, "greedy").collect()}
-    counts = {g: np.array([sum(r == (g, lab) for r in rows) for lab in "ab"], float) for g in got}
-    total = sum(counts.values())
-    order = sorted(counts)
-    import random
-    random.Random(1).shuffle(order)
-    order.sort(key=lambda g: -counts[g].std())
-    held = [np.zeros(2), np.zeros(2)]
-    for g in order:
-        cost = []
-        for f in range(2):
-            trial = [h + counts[g] if k == f else h for k, h in enumerate(held)]
-            cost.append(np.mean([np.std([t[j] / total[j] for t in trial]) for j in range(2)]))
-        f = int(np.argmin(cost))
-        assert got[g] == f
-        held[f] = held[f] + counts[g]
-
-
-def test_greedy_is_limited(spark, monkeypatch):
-    monkeypatch.setattr(split, "GREEDY_LIMIT", 10)
-    with pytest.raises(ValueError, match="snake"):
-        split.group_kfold(sites(spark), "site", "label", mode="greedy")
-    with pytest.raises(ValueError):
-        split.group_kfold(sites(spark), "site", "label", mode="other")
+def test_groups_without_a_label_get_a_fold(spark):
+    df = spark.createDataFrame([(f"s{i}", None if i % 2 else "a") for i in range(40)],
+                               "site string, label string")
+    folds = split.group_kfold(df, "site", "label").toPandas()
+    assert len(folds) == 40 and set(folds.fold) == set(range(5))
 
 
 def test_bootstrap(spark):
