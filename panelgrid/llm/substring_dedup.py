@@ -7,6 +7,8 @@ documents. Sentences that lie in a repeated run are removed, except in its first
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
+from zlib import crc32
 
 import numpy as np
 import xxhash
@@ -14,35 +16,83 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelgrid.llm.common import compute, pin
+from panelgrid.llm.hashing import BASE, INVERSE, mixed, powers, sliding_least
 
-MAX_WORDS = 10  # a longer sentence counts as several of this many words
+MAX_WORDS = 10  # longer sentences are cut at words whose hash is the least around
+REACH = 4  # words on either side that the hash is compared with
+MIN_PART = 3  # words a cut leaves on both sides
+MAX_PART = 40  # a part without such words is cut after so many
 MIN_SENTENCES = 3
 MIN_WORDS = 20  # a run has at least so many sentences and words
-BREAK = re.compile(r"(?<=[.!?])\s+|\n+")
 WORD = re.compile(r"\S+")
-BASE = np.uint64(0x9E3779B97F4A7C15)
+LINE_END = re.compile(r"\n")
+
+
+def cut_places(words: list[str], stops: list[int]) -> np.ndarray:
+    """Whether a long sentence may be cut after each word; sentences end before ``stops``.
+
+    That depends on the words of the sentence within REACH + 1 places only, so that equal sentences
+    are cut alike, and so is a passage in whatever sentence it stands.
+    """
+    value = np.array([crc32(w.encode()) for w in words], np.uint64)
+    before = np.concatenate([value[:1], value[:-1]])
+    starts = [0, *stops[:-1]]
+    before[starts] = value[starts]
+    value = mixed(value * np.uint64(BASE) + before)
+    # sentences stand REACH places apart
+    sentence = np.repeat(np.arange(1, len(stops) + 1), np.diff(stops, prepend=0))
+    own = np.arange(len(words)) + REACH * sentence
+    spread = np.full(own[-1] + REACH + 1, np.iinfo(np.uint64).max)
+    spread[own] = value
+    least = sliding_least(spread, REACH)
+    # of equal values the first counts
+    return (value < least[own - REACH]) & (value <= least[own + 1])
+
+
+def word_starts(text: str, words: list[str]) -> np.ndarray:
+    """Where each word of ``text.split()`` starts."""
+    lengths = np.array([len(w) for w in words])
+    lead = len(text) - len(text.lstrip())
+    if lengths.sum() + len(words) - 1 == len(text.strip()):  # single spaces
+        return lead + np.cumsum(lengths + 1) - lengths - 1
+    return np.array([m.start() for m in WORD.finditer(text)])
 
 
 def sentences(text: str) -> list[tuple[int, int, int, int]]:
-    """(start, end, words, hash of the words) of each sentence, in code points."""
-    out = []
-
-    def add(start, end):
-        words = text[start:end].split()
-        if 0 < len(words) <= MAX_WORDS:
-            out.append((start, end, len(words), xxhash.xxh64_intdigest(" ".join(words))))
-        elif words:
-            at = [m.span() for m in WORD.finditer(text, start, end)]
-            for i in range(0, len(at), MAX_WORDS):
-                own = words[i:i + MAX_WORDS]
-                stop = at[min(i + MAX_WORDS, len(at)) - 1][1]
-                out.append((at[i][0], stop, len(own), xxhash.xxh64_intdigest(" ".join(own))))
-
-    last = 0
-    for m in BREAK.finditer(text):
-        add(last, m.start())
-        last = m.end()
-    add(last, len(text))
+    """(start, end, words, hash of the words) of each sentence or part of one, in code points.
+
+    A sentence ends at a line break or behind one of ``.!?`` and white space.
+    """
+    words = text.split()
+    if not words:
+        return []
+    starts = word_starts(text, words)
+    stops = [i for i, w in enumerate(words, 1) if w[-1] in ".!?"]
+    if "\n" in text:  # words before each line break
+        breaks = np.searchsorted(starts, [m.start() for m in LINE_END.finditer(text)])
+        stops += breaks[breaks > 0].tolist()
+    stops = sorted({*stops, len(words)})
+    starts = starts.tolist()
+    long = any(j - i > MAX_WORDS for i, j in zip([0, *stops], stops))
+    places = (np.flatnonzero(cut_places(words, stops)) + 1).tolist() if long else []
+    out, last = [], 0
+
+    def add(stop):
+        nonlocal last
+        own = " ".join(words[last:stop])
+        out.append((starts[last], starts[stop - 1] + len(words[stop - 1]), stop - last,
+                    xxhash.xxh64_intdigest(own)))
+        last = stop
+
+    for stop in stops:
+        if stop - last > MAX_WORDS:
+            cuts = places[bisect_left(places, last + MIN_PART):bisect_right(places, stop - MIN_PART)]
+            for cut in [*cuts, stop]:
+                while cut - last > MAX_PART:
+                    add(last + MAX_PART)
+                add(cut)
+        else:
+            add(stop)
     return out
 
 
@@ -63,14 +113,11 @@ def runs(text: str | None) -> tuple[list[int], list[int], list[int]]:
         np.stack([first, stop], 1)[stop <= n],
         np.stack([begin, first + 1], 1)[begin >= 0]]), axis=0)
     with np.errstate(over="ignore"):
-        power = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, BASE)]))
+        # sums of hashes times powers of an odd base
         prefix = np.zeros(n + 1, np.uint64)
-        value = 0
-        for i, x in enumerate(found):
-            value = (value * int(BASE) + x[3]) & 0xFFFFFFFFFFFFFFFF
-            prefix[i + 1] = value
+        np.cumsum(np.array([x[3] for x in found], np.uint64) * powers(BASE, n)[:n], out=prefix[1:])
         i, j = pairs[:, 0], pairs[:, 1]
-        value = prefix[j] - prefix[i] * power[j - i]
+        value = (prefix[j] - prefix[i]) * powers(INVERSE, n)[i]
         value = (value ^ (value >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
         value ^= (j - i).astype(np.uint64)
     return value.view(np.int64).tolist(), start[i].tolist(), end[j - 1].tolist()
@@ -79,7 +126,7 @@ def runs(text: str | None) -> tuple[list[int], list[int], list[int]]:
 def merged(spans) -> list[tuple[int, int]]:
     """Maximal runs of covered characters."""
     out: list[list[int]] = []
-    for s, e in sorted(spans or []):
+    for s, e in sorted(spans):
         if out and s <= out[-1][1]:
             out[-1][1] = max(out[-1][1], e)
         else:
@@ -87,25 +134,46 @@ def merged(spans) -> list[tuple[int, int]]:
     return [(s, e) for s, e in out]
 
 
-def repeated_spans(docs: DataFrame) -> DataFrame:
-    """(doc_id, mark, spans): what to remove from each document that repeats something.
+def different_runs(text: str | None) -> tuple[list[int], list[bool]]:
+    """Hashes of a text's runs, and whether the text holds each more than once."""
+    found, times = np.unique(np.array(runs(text)[0], np.int64), return_counts=True)
+    return found.tolist(), (times > 1).tolist()
+
+
+def repeated_runs(docs: DataFrame) -> DataFrame:
+    """(doc_id, mark, gone, later): hashes of runs to remove, everywhere or but for their first place.
 
     ``docs`` has doc_id, text and mark, a hash of the text. The first occurrence of a run is that of
-    the least (doc_id, mark, start). Counting combines on the map side, so a run that most
+    the least (doc_id, mark), and there the first. Only hashes are shuffled; their places are found
+    again in the texts that repeat something. Counting combines on the map side, so a run that most
     documents share is no burden; joining back, adaptive execution splits it.
     """
-    found = pin(compute(docs, "text", "hashes array<long>, starts array<int>, ends array<int>",
-                        lambda: runs)
-                .select("doc_id", "mark", F.explode(F.arrays_zip("hashes", "starts", "ends"))
-                        .alias("x"))
-                .select("doc_id", "mark", F.col("x.hashes").alias("hash"),
-                        F.col("x.starts").alias("start"), F.col("x.ends").alias("end")), "dedup-runs")
-    place = F.struct("doc_id", "mark", "start")
-    again = (found.groupBy("hash").agg(F.count("*").alias("n"), F.min(place).alias("first"))
+    found = pin(compute(docs, "text", "hashes array<long>, own array<boolean>",
+                        lambda: different_runs)
+                .select("doc_id", "mark", F.explode(F.arrays_zip("hashes", "own")).alias("x"))
+                .select("doc_id", "mark", F.col("x.hashes").alias("hash"), F.col("x.own").alias("own")),
+                "dedup-runs")
+    place = F.struct("doc_id", "mark")
+    again = (found.groupBy("hash").agg(F.sum(F.lit(1) + F.col("own").cast("int")).alias("n"),
+                                       F.min(place).alias("first"))
              .filter("n > 1").select("hash", "first"))
-    later = found.join(again, "hash").filter(~place.eqNullSafe(F.col("first")))
-    return (later.groupBy("doc_id", "mark")
-            .agg(F.collect_set(F.struct("start", "end")).alias("spans")))
+    told = (found.join(again, "hash").withColumn("whole", ~place.eqNullSafe(F.col("first")))
+            .filter("whole or own"))
+    return told.groupBy("doc_id", "mark").agg(
+        F.collect_set(F.when(F.col("whole"), F.col("hash"))).alias("gone"),
+        F.collect_set(F.when(~F.col("whole"), F.col("hash"))).alias("later"))
+
+
+def spans_of(text: str, gone: list[int], later: list[int]) -> list[tuple[int, int]]:
+    """Maximal spans of a text that its repeated runs cover."""
+    gone, later, out = set(gone), set(later), []
+    for h, start, end in zip(*runs(text)):
+        if h in gone:
+            out.append((start, end))
+        elif h in later:  # this first one stays
+            later.remove(h)
+            gone.add(h)
+    return merged(out)
 
 
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -119,17 +187,17 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     mark = F.hash(F.col(text_col))
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"),
                       mark.alias("mark"))
-    spans = repeated_spans(own).select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"),
-                                       F.col("spans").alias("_spans"))
-    joined = docs.join(spans, docs[id_col].eqNullSafe(F.col("_id")) & (mark == F.col("_mark")),
+    told = repeated_runs(own).select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"),
+                                     F.struct("gone", "later").alias("_runs"))
+    joined = docs.join(told, docs[id_col].eqNullSafe(F.col("_id")) & (mark == F.col("_mark")),
                        "left").drop("_id", "_mark")
-    packed = joined.withColumn("_cut", F.struct(F.col(text_col).alias("text"), "_spans")) \
-        .drop(text_col, "_spans")
+    packed = joined.withColumn("_cut", F.struct(F.col(text_col).alias("text"), "_runs")) \
+        .drop(text_col, "_runs")
 
     def cutter():
         def cut(x):
             text = x["text"]
-            spans = merged((s["start"], s["end"]) for s in x["_spans"] or [])
+            spans = spans_of(text, **x["_runs"]) if x["_runs"] else []
             if not spans:
                 return text, ""
             edges = [0, *(p for s in spans for p in s), len(text)]
@@ -139,5 +207,3 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     done = compute(packed, "_cut", f"`{text_col}` string, removed_spans string", cutter)
     return done.select(*docs.columns, "removed_spans")
-
-

@@ -61,6 +61,17 @@ def test_planted_passages(table):
     assert got[3].text == ""
 
 
+def test_passage_inside_longer_sentences(table):
+    """A passage without any full stop is found, whatever stands before it in its sentence."""
+    passage = " ".join(f"p{i}" for i in range(90))
+    docs = table([f"{'x ' * i}{x} starts {passage} ends {x}{i}" for i, x in enumerate("abcdef")])
+    got = {r.doc_id: r for r in check(docs)}
+    assert passage in got[0].text
+    for i in range(1, 6):
+        left = set(passage.split()) & set(got[i].text.split())
+        assert len(left) < 50 and "starts" in got[i].text
+
+
 def test_awkward(awkward, table):
     check(awkward)
     check(awkward.unionByName(awkward))
