@@ -6,17 +6,14 @@ documents. Sentences that lie in a repeated run are removed, except in its first
 
 from __future__ import annotations
 
-import re
-from bisect import bisect_left, bisect_right
 from zlib import crc32
 
 import numpy as np
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelgrid.llm.common import compute, pin
-from panelgrid.llm.hashing import BASE, INVERSE, mixed, powers, sliding_least
+from panelgrid.llm.hashing import BASE, Hasher, mixed, sliding_least
 
 MAX_WORDS = 10  # longer sentences are cut at words whose hash is the least around
 REACH = 4  # words on either side that the hash is compared with
@@ -24,11 +21,11 @@ MIN_PART = 3  # words a cut leaves on both sides
 MAX_PART = 40  # a part without such words is cut after so many
 MIN_SENTENCES = 3
 MIN_WORDS = 20  # a run has at least so many sentences and words
-WORD = re.compile(r"\S+")
-LINE_END = re.compile(r"\n")
+LAST_SPACE = 0x3000  # the greatest code point that is white space
+SPACE = np.array([chr(c).isspace() for c in range(LAST_SPACE + 1)] + [False])
 
 
-def cut_places(words: list[str], stops: list[int]) -> np.ndarray:
+def cut_places(words: list[str], stops: np.ndarray) -> np.ndarray:
     """Whether a long sentence may be cut after each word; sentences end before ``stops``.
 
     That depends on the words of the sentence within REACH + 1 places only, so that equal sentences
@@ -36,12 +33,12 @@ def cut_places(words: list[str], stops: list[int]) -> np.ndarray:
     """
     value = np.array([crc32(w.encode()) for w in words], np.uint64)
     before = np.concatenate([value[:1], value[:-1]])
-    starts = [0, *stops[:-1]]
+    starts = np.concatenate([[0], stops[:-1]])
     before[starts] = value[starts]
     value = mixed(value * np.uint64(BASE) + before)
     # sentences stand REACH places apart
-    sentence = np.repeat(np.arange(1, len(stops) + 1), np.diff(stops, prepend=0))
-    own = np.arange(len(words)) + REACH * sentence
+    sentence = np.repeat(np.arange(1, len(stops) + 1), stops - starts)
+    own = np.arange(len(value)) + REACH * sentence
     spread = np.full(own[-1] + REACH + 1, np.iinfo(np.uint64).max)
     spread[own] = value
     least = sliding_least(spread, REACH)
@@ -49,78 +46,69 @@ def cut_places(words: list[str], stops: list[int]) -> np.ndarray:
     return (value < least[own - REACH]) & (value <= least[own + 1])
 
 
-def word_starts(text: str, words: list[str]) -> np.ndarray:
-    """Where each word of ``text.split()`` starts."""
-    lengths = np.array([len(w) for w in words])
-    lead = len(text) - len(text.lstrip())
-    if lengths.sum() + len(words) - 1 == len(text.strip()):  # single spaces
-        return lead + np.cumsum(lengths + 1) - lengths - 1
-    return np.array([m.start() for m in WORD.finditer(text)])
+def part_ends(text: str, stops: np.ndarray) -> np.ndarray:
+    """``stops`` and the places where long sentences are cut, as numbers of words before."""
+    lengths = stops - np.concatenate([[0], stops[:-1]])
+    if lengths.max() <= MAX_WORDS:
+        return stops
+    cuts = np.flatnonzero(cut_places(text.split(), stops)) + 1
+    at = np.minimum(np.searchsorted(stops, cuts), len(stops) - 1)  # the sentence of each
+    inside = ((lengths[at] > MAX_WORDS) & (cuts <= stops[at] - MIN_PART)
+              & (cuts >= stops[at] - lengths[at] + MIN_PART))
+    ends = np.union1d(stops, cuts[inside])
+    gaps = ends - np.concatenate([[0], ends[:-1]])
+    if gaps.max() <= MAX_PART:
+        return ends
+    times = -(-gaps // MAX_PART)
+    step = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + 1
+    return np.minimum(np.repeat(ends - gaps, times) + step * MAX_PART, np.repeat(ends, times))
 
 
-def sentences(text: str) -> list[tuple[int, int, int, int]]:
-    """(start, end, words, hash of the words) of each sentence or part of one, in code points.
+def parts(text: str, h: Hasher) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """start, end, words and hash of the words of each sentence or part of one, in code points.
 
     A sentence ends at a line break or behind one of ``.!?`` and white space.
     """
-    words = text.split()
-    if not words:
-        return []
-    starts = word_starts(text, words)
-    stops = [i for i, w in enumerate(words, 1) if w[-1] in ".!?"]
-    if "\n" in text:  # words before each line break
-        breaks = np.searchsorted(starts, [m.start() for m in LINE_END.finditer(text)])
-        stops += breaks[breaks > 0].tolist()
-    stops = sorted({*stops, len(words)})
-    starts = starts.tolist()
-    long = any(j - i > MAX_WORDS for i, j in zip([0, *stops], stops))
-    places = (np.flatnonzero(cut_places(words, stops)) + 1).tolist() if long else []
-    out, last = [], 0
-
-    def add(stop):
-        nonlocal last
-        own = " ".join(words[last:stop])
-        out.append((starts[last], starts[stop - 1] + len(words[stop - 1]), stop - last,
-                    xxhash.xxh64_intdigest(own)))
-        last = stop
-
-    for stop in stops:
-        if stop - last > MAX_WORDS:
-            cuts = places[bisect_left(places, last + MIN_PART):bisect_right(places, stop - MIN_PART)]
-            for cut in [*cuts, stop]:
-                while cut - last > MAX_PART:
-                    add(last + MAX_PART)
-                add(cut)
-        else:
-            add(stop)
-    return out
+    raw = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    word = np.concatenate([[False], ~SPACE[np.minimum(raw, LAST_SPACE + 1)], [False]])
+    edges = np.flatnonzero(word[1:] != word[:-1])
+    start, end = edges[::2], edges[1::2]
+    none = np.zeros(0, np.int64)
+    if not len(start):
+        return none, none, none, np.zeros(0, np.uint64)
+    value = h.stretches(raw, start, end)
+    final = raw[end - 1]
+    last = (final == ord(".")) | (final == ord("!")) | (final == ord("?"))
+    before = np.searchsorted(start, np.flatnonzero(raw == ord("\n")))  # words before line breaks
+    last[before[before > 0] - 1] = True
+    last[-1] = True
+    ends = part_ends(text, np.flatnonzero(last) + 1)
+    begins = np.concatenate([[0], ends[:-1]])
+    return start[begins], end[ends - 1], ends - begins, h.stretches(value, begins, ends)
 
 
-def runs(text: str | None) -> tuple[list[int], list[int], list[int]]:
+def sentences(text: str) -> list[tuple[int, int, int, int]]:
+    """``parts`` as a list of (start, end, words, hash)."""
+    return list(zip(*(x.tolist() for x in parts(text, Hasher()))))
+
+
+def runs(text: str | None, h: Hasher) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hash, start, end) of the shortest run from each sentence on and up to each sentence."""
-    found = sentences(text) if text else []
-    if len(found) < MIN_SENTENCES:
-        return [], [], []
-    start, end, words = np.array([x[:3] for x in found]).T
-    n = len(found)
+    start, end, words, value = parts(text or "", h)
+    n = len(start)
+    if n < MIN_SENTENCES:
+        none = np.zeros(0, np.int64)
+        return none, none, none
     total = np.concatenate([[0], np.cumsum(words)])
     first = np.arange(n)
     # forward: the least last sentence that makes both minima; backward: the greatest first one
     stop = np.maximum(np.searchsorted(total, total[:-1] + MIN_WORDS), first + MIN_SENTENCES)
     begin = np.minimum(np.searchsorted(total, total[1:] - MIN_WORDS, "right") - 1,
                        first + 1 - MIN_SENTENCES)
-    pairs = np.unique(np.concatenate([
-        np.stack([first, stop], 1)[stop <= n],
-        np.stack([begin, first + 1], 1)[begin >= 0]]), axis=0)
-    with np.errstate(over="ignore"):
-        # sums of hashes times powers of an odd base
-        prefix = np.zeros(n + 1, np.uint64)
-        np.cumsum(np.array([x[3] for x in found], np.uint64) * powers(BASE, n)[:n], out=prefix[1:])
-        i, j = pairs[:, 0], pairs[:, 1]
-        value = (prefix[j] - prefix[i]) * powers(INVERSE, n)[i]
-        value = (value ^ (value >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-        value ^= (j - i).astype(np.uint64)
-    return value.view(np.int64).tolist(), start[i].tolist(), end[j - 1].tolist()
+    pairs = np.unique(np.concatenate([(first * (n + 1) + stop)[stop <= n],
+                                      (begin * (n + 1) + first + 1)[begin >= 0]]))
+    i, j = pairs // (n + 1), pairs % (n + 1)
+    return h.stretches(value, i, j).view(np.int64), start[i], end[j - 1]
 
 
 def merged(spans) -> list[tuple[int, int]]:
@@ -134,10 +122,14 @@ def merged(spans) -> list[tuple[int, int]]:
     return [(s, e) for s, e in out]
 
 
-def different_runs(text: str | None) -> tuple[list[int], list[bool]]:
-    """Hashes of a text's runs, and whether the text holds each more than once."""
-    found, times = np.unique(np.array(runs(text)[0], np.int64), return_counts=True)
-    return found.tolist(), (times > 1).tolist()
+def different_runs():
+    """Gives the hashes of a text's runs, and whether the text holds each more than once."""
+    h = Hasher()
+
+    def different(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        found, times = np.unique(runs(text, h)[0], return_counts=True)
+        return found, times > 1
+    return different
 
 
 def repeated_runs(docs: DataFrame) -> DataFrame:
@@ -149,7 +141,7 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     documents share is no burden; joining back, adaptive execution splits it.
     """
     found = pin(compute(docs, "text", "hashes array<long>, own array<boolean>",
-                        lambda: different_runs)
+                        different_runs)
                 .select("doc_id", "mark", F.explode(F.arrays_zip("hashes", "own")).alias("x"))
                 .select("doc_id", "mark", F.col("x.hashes").alias("hash"), F.col("x.own").alias("own")),
                 "dedup-runs")
@@ -164,15 +156,15 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
         F.collect_set(F.when(~F.col("whole"), F.col("hash"))).alias("later"))
 
 
-def spans_of(text: str, gone: list[int], later: list[int]) -> list[tuple[int, int]]:
+def spans_of(text: str, gone: list[int], later: list[int], h: Hasher) -> list[tuple[int, int]]:
     """Maximal spans of a text that its repeated runs cover."""
     gone, later, out = set(gone), set(later), []
-    for h, start, end in zip(*runs(text)):
-        if h in gone:
+    for value, start, end in zip(*(x.tolist() for x in runs(text, h))):
+        if value in gone:
             out.append((start, end))
-        elif h in later:  # this first one stays
-            later.remove(h)
-            gone.add(h)
+        elif value in later:  # this first one stays
+            later.remove(value)
+            gone.add(value)
     return merged(out)
 
 
@@ -195,9 +187,11 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         .drop(text_col, "_runs")
 
     def cutter():
+        h = Hasher()
+
         def cut(x):
             text = x["text"]
-            spans = spans_of(text, **x["_runs"]) if x["_runs"] else []
+            spans = spans_of(text, **x["_runs"], h=h) if x["_runs"] else []
             if not spans:
                 return text, ""
             edges = [0, *(p for s in spans for p in s), len(text)]
