@@ -90,18 +90,16 @@ class Model:
 
 
 def training_rows(docs: DataFrame, lang: str, sample_chars: int) -> DataFrame:
-    """(lang, text) of about ``sample_chars`` per language, chosen by hashed id and text."""
+    """(lang, text) of about ``sample_chars`` per language: whole texts, chosen by hashed id and text."""
     labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()
                            & (F.length("text") > 0))
-    sizes = labelled.groupBy("lang").agg(F.sum(F.least(F.length("text"), F.lit(1 << 14)))
-                                         .alias("chars"))
+    sizes = labelled.groupBy("lang").agg(F.sum(F.length("text")).alias("chars"))
     share = [(r.lang, min(1.0, sample_chars / r.chars)) for r in sizes.collect()]
     chance = F.lit(0.0)
     for name, s in share:
         chance = F.when(F.col("lang") == name, F.lit(s)).otherwise(chance)
     draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40)) / float(1 << 40)
-    return labelled.filter(draw < chance).select("lang", F.substring("text", 1, 1 << 14)
-                                                 .alias("text"))
+    return labelled.filter(draw < chance).select("lang", "text")
 
 
 def fit(rows: DataFrame) -> Model:
@@ -129,10 +127,10 @@ def identify(docs: DataFrame, sample_chars: int = 1 << 21, id_col: str = "doc_id
              text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """(doc_id, held_out, lang_pred, score), one row per input row; nothing but text is predicted from.
 
-    Trained on about ``sample_chars`` characters per language of rows that are not held out (the
-    first 16,384 of each sampled text); languages are taken to be few. A text that is null or has
-    no letter gets ``und`` and score 0, so does every text if nothing is labelled; a null id is
-    never held out; repeated rows give a row each; an empty table gives none.
+    Trained on whole texts of rows that are not held out, about ``sample_chars`` characters per
+    language; languages are taken to be few. A text that is null or has no letter gets ``und`` and
+    score 0, so does every text if nothing is labelled; a null id is never held out; repeated rows
+    give a row each; an empty table gives none.
     """
     rows = narrow(docs, id_col, text_col)
     labelled = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"),
