@@ -72,6 +72,19 @@ def test_passage_inside_longer_sentences(table):
         assert len(left) < 50 and "starts" in got[i].text
 
 
+def test_sentences_cover_the_words():
+    """Spans are in code points, whatever the width of characters and spaces between words."""
+    long = " ".join(f"q{i}" for i in range(200))
+    for text in ("", " \n\t", "a", " one. two\n\nthree  four! five\u3000six\u00a0seven",
+                 "\n\n\u00e9\U0001f600 y? \U0001f600. z", f"x. {long}\n{long}", "x " * 300):
+        found = D.sentences(text)
+        assert [w for s, e, _, _ in found for w in text[s:e].split()] == text.split()
+        assert all(n == len(text[s:e].split()) <= D.MAX_PART for s, e, n, _ in found)
+        assert all("\n" not in text[s:e] for s, e, _, _ in found)
+    halves = [D.sentences(x) for x in (long, f"x. {long}")]
+    assert [x[2:] for x in halves[0]] == [x[2:] for x in halves[1][1:]]
+
+
 def test_awkward(awkward, table):
     check(awkward)
     check(awkward.unionByName(awkward))
