@@ -8,10 +8,10 @@ in it maps back.
 
 from __future__ import annotations
 
-import base64
 import binascii
 import re
 import zlib
+from bisect import bisect_left, bisect_right
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,8 +28,17 @@ HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 LINE = re.compile(r"[^\n]+")
 PERCENT_RUN = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 UNICODE_RUN = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2})+")
-CONTROL = re.compile(r"[\x00-\x08\x0e-\x1f\x7f]")
-BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{12,}={0,2}")
+#: Runs of the alphabet, over line breaks too; what decodes from them is found by place and phase.
+BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]{12,}|[A-Za-z0-9+/_-]+(?=[ \t]*\r?\n))"
+                    r"(?:[ \t]*\r?\n[ \t]*[A-Za-z0-9+/_-]+)*={0,2}")
+GAP = re.compile(r"\s+")
+DELIMITER = re.compile(r"[+/_-]+")
+#: What a secret or an encoded part shows at least, and bytes that are UTF-8 without control characters.
+SHOWN = re.compile(rb"[\t\n\r -~]{12,}")
+CLEAN = re.compile(rb"(?:[\t-\r -~]|[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}"
+                   rb"|[\xf0-\xf4][\x80-\xbf]{3})+")
+PACKED = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]")
+BLOCK = 1 << 14  # compressed bytes fed at once
 MAX_LAYER = 1 << 26  # bytes one compressed part may unpack to
 
 
@@ -83,20 +92,111 @@ def _from_unicode(run: str) -> str:
     return text.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
 
 
-def _unpacked(raw: bytes) -> tuple[str | None, bool]:
-    """(text of compressed or plain bytes, or None; whether it grew beyond MAX_LAYER)."""
-    if raw[:2] == b"\x1f\x8b" or raw[:1] == b"\x78":
-        box = zlib.decompressobj(47)  # zlib or gzip header
+def _member(raw: memoryview, room: int) -> tuple[bytes, int]:
+    """(what one compressed part gives, ``room`` bytes at most; its length). It may be cut or damaged."""
+    box, out, at = zlib.decompressobj(47), bytearray(), 0  # zlib or gzip header
+    while at < len(raw) and not box.eof and len(out) < room:
+        block, before = raw[at:at + BLOCK], box.copy()
         try:
-            inner = box.decompress(raw, MAX_LAYER)
-            return (None, True) if box.unconsumed_tail else (inner.decode("utf-8", "replace"), False)
+            out += box.decompress(block, room - len(out))
         except zlib.error:
-            pass  # then it is plain
-    try:
-        text = raw.decode()
-    except UnicodeDecodeError:
-        return None, False
-    return None if CONTROL.search(text) else text, False
+            for i in range(len(block)):  # what comes before the damage
+                try:
+                    out += before.decompress(block[i:i + 1], room - len(out))
+                except zlib.error:
+                    break
+                if len(out) >= room:
+                    break
+            return bytes(out), at + i
+        at += len(block) - len(box.unconsumed_tail) - len(box.unused_data)
+    return bytes(out), at
+
+
+def _unpacked(raw: bytes):
+    """(start, end, text, whether it grew beyond MAX_LAYER) of the compressed parts among bytes."""
+    at = 0
+    while m := PACKED.search(raw, at):
+        end, parts, total, view = m.start(), [], 0, memoryview(raw)
+        while not parts or PACKED.match(raw, end):  # one member after the other
+            out, n = _member(view[end:], MAX_LAYER + 1 - total)
+            parts.append(out)
+            total += len(out)
+            end += n
+            if not out or total > MAX_LAYER:
+                break
+        if total > MAX_LAYER:
+            yield m.start(), end, None, True
+        elif total:
+            inner = [b"".join(parts)]
+            seen = set(inner)
+            while inner:  # parts that are compressed again
+                one = inner.pop()
+                if SHOWN.search(one):
+                    yield m.start(), end, one.decode("utf-8", "replace"), False
+                for x in PACKED.finditer(one):
+                    out, _ = _member(memoryview(one)[x.start():], MAX_LAYER + 1 - total)
+                    total += len(out)
+                    if total > MAX_LAYER:
+                        yield m.start(), end, None, True
+                        inner.clear()
+                        break
+                    if out and out not in seen:
+                        seen.add(out)
+                        inner.append(out)
+        at = max(end, m.start() + 1) if total else m.start() + 1
+
+
+def _from_base64(layer: Layer, m: re.Match):
+    """What is encoded in a run, as ``inner_layers``.
+
+    A part may begin behind anything, so the run is decoded in its four phases. Its span goes from
+    the first to the last delimiter, line or end of the run between which its bytes are clean.
+    """
+    run = m[0].rstrip("=")
+    core = GAP.sub("", run)
+    if len(core) < 12:
+        return
+    plus = core.replace("-", "+").replace("_", "/")
+    edges = None
+    for phase in range(4):
+        n = len(core) - phase
+        raw = binascii.a2b_base64(plus[phase:len(core) - (n % 4 == 1)] + "=" * (-n % 4 if n % 4 > 1 else 0))
+        shown, packed = SHOWN.search(raw), PACKED.search(raw)
+        if not shown and not packed:
+            continue
+        if edges is None:
+            place = [i for i, c in enumerate(run) if not c.isspace()]
+            lines = [i for i in range(1, len(place)) if place[i] > place[i - 1] + 1]
+            marks = list(DELIMITER.finditer(core))
+            # every delimiter may also belong to the part
+            begins = sorted({0, *lines, *(i for x in marks for i in range(x.start() + 1, x.end() + 1))})
+            edges = sorted({*lines, *(i for x in marks for i in range(x.start(), x.end()))})
+            edges.append(len(core))
+        starts = sorted({phase, *(i for i in begins if i % 4 == phase)})
+        start_at = [(i - phase) // 4 * 3 for i in starts]
+        end_at = [max(i - phase, 0) * 3 // 4 for i in edges]
+
+        def span(first, last):
+            e = edges[last]
+            return layer.origin(m.start() + place[starts[first]],
+                                m.end() if e == len(core) else m.start() + place[e - 1] + 1)
+
+        for x in CLEAN.finditer(raw) if shown else ():
+            hits = list(SHOWN.finditer(raw, x.start(), x.end()))
+            if not hits:
+                continue
+            first = bisect_left(start_at, x.start())
+            if first == len(starts) or start_at[first] > hits[0].start():
+                first = bisect_right(start_at, hits[0].start()) - 1
+            last = bisect_right(end_at, x.end()) - 1
+            if last >= 0:  # the first of those that end with the same byte
+                last = bisect_left(end_at, end_at[last])
+            if last < 0 or end_at[last] < hits[-1].end():
+                last = min(bisect_left(end_at, hits[-1].end()), len(edges) - 1)
+            yield Layer(x[0].decode("utf-8", "replace"), span(first, last)), None
+        for a, b, text, opaque in _unpacked(raw) if packed else ():
+            own = span(bisect_right(start_at, a) - 1, min(bisect_left(end_at, b), len(edges) - 1))
+            yield (None, own) if opaque else (Layer(text, own), None)
 
 
 def inner_layers(layer: Layer):
@@ -108,19 +208,7 @@ def inner_layers(layer: Layer):
                 if run.search(line[0]):
                     yield _escaped(layer, line, run, decode), None
     for m in BASE64.finditer(text):
-        core = m[0].rstrip("=").replace("-", "+").replace("_", "/")
-        if len(core) % 4 == 1:
-            continue
-        try:
-            raw = base64.b64decode(core + "=" * (-len(core) % 4), validate=True)
-        except binascii.Error:
-            continue
-        inner, opaque = _unpacked(raw)
-        span = layer.origin(m.start(), m.end())
-        if opaque:
-            yield None, span
-        elif inner:
-            yield Layer(inner, span), None
+        yield from _from_base64(layer, m)
 
 
 def find_secrets(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:

@@ -83,3 +83,62 @@ def test_query(awkward):
     assert sorted(r.base_sha256 for r in rows) == want
     assert S.scan_digests(awkward.limit(0)).count() == 0
     assert sum(r.text is None for r in S.scan(awkward).collect()) == 2
+
+
+def wrapped(part, width=76, end="\n"):
+    return end.join(part[i:i + width] for i in range(0, len(part), width))
+
+
+PROSE = " ".join(hashlib.md5(b"%d" % i).hexdigest()[:7] for i in range(30))
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n", "\n  "])
+@pytest.mark.parametrize("width", [60, 64, 76])
+@pytest.mark.parametrize("pack", [lambda x: x, gzip.compress, zlib.compress,
+                                  lambda x: gzip.compress(gzip.compress(x))])
+def test_wrapped_base64_is_one_part(end, width, pack):
+    for at in range(0, 60, 7):
+        raw = pack(f"{PROSE[:at]} {KEY} {PROSE}".encode())
+        part = wrapped(base64.b64encode(raw).decode(), width, end)
+        text = f"Key:\n-----BEGIN KEY-----\n{part}\n-----END KEY-----\n"
+        spans = [x for x in S.find_secrets(text)[1] if x[0] == "assign"]
+        assert spans == [("assign", 25, 25 + len(part))]
+
+
+@pytest.mark.parametrize("pack", [lambda x: x, gzip.compress, zlib.compress])
+@pytest.mark.parametrize("before", ["https://host.org/files/", "/a/", "/ab/", "/abc/", "/abcd/", "a_",
+                                    "x-", "k--"])
+def test_base64_behind_delimiters(before, pack):
+    part = base64.urlsafe_b64encode(pack(f"user=me {KEY} and more".encode())).decode().rstrip("=")
+    for after in ("", "/rest", "/the/rest"):
+        _, every = S.find_secrets(f"{before}{part}{after} end")
+        found = [x for x in every if x[0] == "assign"]
+        assert found and all(s <= len(before) + 12 and e >= len(before) + len(part) - 12
+                             for _, s, e in found)
+
+
+def test_base64_behind_letters():
+    for n in range(8):
+        text = "Z" * n + base64.b64encode(f"user=me {KEY}".encode()).decode()
+        assert "assign" in [k for k, _, _ in S.find_secrets(text)[1]]
+
+
+@pytest.mark.parametrize("raw", [b"\x01" + KEY.encode(), KEY.encode() + b"\x00", b"\xff " + KEY.encode(),
+                                 "é ".encode() + KEY.encode() + b" \xe9", b"\x08\x12" + KEY.encode() + b"\x1a"])
+def test_stray_bytes_do_not_hide(raw):
+    part = base64.b64encode(raw).decode()
+    assert S.find_secrets(f"a {part} b")[1] == [("assign", 2, 2 + len(part))]
+
+
+def test_members_and_damage():
+    whole = gzip.compress(b"nothing here") + gzip.compress(b"then pass") + zlib.compress(b"word=hunter2hunter2")
+    cut = gzip.compress(f"{KEY} {PROSE}".encode())[:-6] + b"??????"
+    for raw in (whole, cut):
+        part = base64.b64encode(raw).decode()
+        (kind, start, end), *_ = S.find_secrets(f"a {part} b")[1]
+        assert (kind, start) == ("assign", 2) and end > len(part) * 0.9
+
+
+def test_lines_of_words_stay():
+    text = "\n".join(PROSE.replace(" ", "\n").split()) + "\ninternationalisation/of-words_in/paths\n"
+    assert S.find_secrets(text) == ([], [])
