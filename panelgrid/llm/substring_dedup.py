@@ -15,11 +15,10 @@ from pyspark.sql import functions as F
 from panelgrid.llm.common import compute, pin
 from panelgrid.llm.hashing import BASE, Hasher, mixed, sliding_least
 
-MAX_WORDS = 10  # longer sentences are cut at words whose hash is the least around
-REACH = 4  # words on either side that the hash is compared with
-MIN_PART = 3  # words a cut leaves on both sides
-MAX_PART = 40  # a part without such words is cut after so many
-MIN_SENTENCES = 3
+MAX_WORDS = 14  # longer sentences are cut at words whose hash is the least in a window
+WINDOW = 8  # words of a window; every window has such a word, so cuts are at most so far apart
+MAX_PART = 2 * WINDOW  # no part is longer
+MIN_SENTENCES = 2
 MIN_WORDS = 20  # a run has at least so many sentences and words
 LAST_SPACE = 0x3000  # the greatest code point that is white space
 SPACE = np.array([chr(c).isspace() for c in range(LAST_SPACE + 1)] + [False])
@@ -28,22 +27,21 @@ SPACE = np.array([chr(c).isspace() for c in range(LAST_SPACE + 1)] + [False])
 def cut_places(words: list[str], stops: np.ndarray) -> np.ndarray:
     """Whether a long sentence may be cut after each word; sentences end before ``stops``.
 
-    That depends on the words of the sentence within REACH + 1 places only, so that equal sentences
-    are cut alike, and so is a passage in whatever sentence it stands.
+    That depends on the words of the sentence within WINDOW places only, so that equal sentences
+    are cut alike, and so is a passage in whatever sentence it stands: of 50 words or more, at most
+    16 before its first and 14 behind its last common cut, so that a run of 20 words always lies
+    between. Equal values are all cut at: text of few words is cut by what repeats in it.
     """
     value = np.array([crc32(w.encode()) for w in words], np.uint64)
     before = np.concatenate([value[:1], value[:-1]])
     starts = np.concatenate([[0], stops[:-1]])
     before[starts] = value[starts]
     value = mixed(value * np.uint64(BASE) + before)
-    # sentences stand REACH places apart
-    sentence = np.repeat(np.arange(1, len(stops) + 1), stops - starts)
-    own = np.arange(len(value)) + REACH * sentence
-    spread = np.full(own[-1] + REACH + 1, np.iinfo(np.uint64).max)
-    spread[own] = value
-    least = sliding_least(spread, REACH)
-    # of equal values the first counts
-    return (value < least[own - REACH]) & (value <= least[own + 1])
+    sentence = np.repeat(np.arange(len(stops)), stops - starts)
+    least = sliding_least(value, WINDOW)
+    least[sentence[:1 - WINDOW] != sentence[WINDOW - 1:]] = 0  # windows lie in one sentence
+    none = np.zeros(WINDOW - 1, np.uint64)
+    return value == ~sliding_least(~np.concatenate([none, least, none]), WINDOW)
 
 
 def part_ends(text: str, stops: np.ndarray) -> np.ndarray:
@@ -52,16 +50,8 @@ def part_ends(text: str, stops: np.ndarray) -> np.ndarray:
     if lengths.max() <= MAX_WORDS:
         return stops
     cuts = np.flatnonzero(cut_places(text.split(), stops)) + 1
-    at = np.minimum(np.searchsorted(stops, cuts), len(stops) - 1)  # the sentence of each
-    inside = ((lengths[at] > MAX_WORDS) & (cuts <= stops[at] - MIN_PART)
-              & (cuts >= stops[at] - lengths[at] + MIN_PART))
-    ends = np.union1d(stops, cuts[inside])
-    gaps = ends - np.concatenate([[0], ends[:-1]])
-    if gaps.max() <= MAX_PART:
-        return ends
-    times = -(-gaps // MAX_PART)
-    step = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + 1
-    return np.minimum(np.repeat(ends - gaps, times) + step * MAX_PART, np.repeat(ends, times))
+    at = np.searchsorted(stops, cuts)  # the sentence of each
+    return np.union1d(stops, cuts[lengths[at] > MAX_WORDS])
 
 
 def parts(text: str, h: Hasher) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -146,10 +136,12 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
                 .select("doc_id", "mark", F.col("x.hashes").alias("hash"), F.col("x.own").alias("own")),
                 "dedup-runs")
     place = F.struct("doc_id", "mark")
-    again = (found.groupBy("hash").agg(F.sum(F.lit(1) + F.col("own").cast("int")).alias("n"),
-                                       F.min(place).alias("first"))
-             .filter("n > 1").select("hash", "first"))
-    told = (found.join(again, "hash").withColumn("whole", ~place.eqNullSafe(F.col("first")))
+    # most runs occur once: hashes alone tell which, before any place is shuffled to be compared
+    again = (found.groupBy("hash").agg(F.sum(F.lit(1) + F.col("own").cast("int")).alias("n"))
+             .filter("n > 1").select("hash"))
+    places = pin(found.join(again, "hash").select("doc_id", "mark", "hash", "own"), "dedup-again")
+    first = places.groupBy("hash").agg(F.min(place).alias("first"))
+    told = (places.join(first, "hash").withColumn("whole", ~place.eqNullSafe(F.col("first")))
             .filter("whole or own"))
     return told.groupBy("doc_id", "mark").agg(
         F.collect_set(F.when(F.col("whole"), F.col("hash"))).alias("gone"),

@@ -1,6 +1,9 @@
+import random
+
 from pyspark.sql import functions as F
 
 from panelgrid.llm import substring_dedup as D
+from panelgrid.llm.hashing import Hasher
 
 
 def every_run(found):
@@ -72,6 +75,29 @@ def test_passage_inside_longer_sentences(table):
         assert len(left) < 50 and "starts" in got[i].text
 
 
+def test_no_passage_of_50_words_is_missed():
+    """Whatever its punctuation, and whatever stands around it in its first and last sentence."""
+    rng, h = random.Random(3), Hasher()
+    around = lambda n: " ".join(str(rng.random()) for _ in range(n))
+    for variety in (1, 2, 7, 5000):
+        for stop in (0, 0.03, 0.07, 0.12):
+            for _ in range(500 if variety == 5000 else 30):
+                passage = " ".join(f"w{rng.randrange(variety)}" + "." * (rng.random() < stop)
+                                   for _ in range(rng.choice((50, 51, 55))))
+                one, two = (set(D.runs(f"{around(rng.randrange(25))} {passage} "
+                                       f"{around(rng.randrange(25))}", h)[0].tolist())
+                            for _ in range(2))
+                assert one & two
+
+
+def test_few_words_are_cut_by_content(table):
+    """The place of a stretch of one word, or of a few in turn, does not matter."""
+    for turn in ("a", "a b", "a b c", "a a b"):
+        docs = table([f"{around} {f'{turn} ' * 40}{around}" for around in ("k l", "m n o", "p q r s t")])
+        got = {r.doc_id: r for r in check(docs)}
+        assert all(len(got[i].text.split()) < 40 for i in (1, 2))
+
+
 def test_sentences_cover_the_words():
     """Spans are in code points, whatever the width of characters and spaces between words."""
     long = " ".join(f"q{i}" for i in range(200))
