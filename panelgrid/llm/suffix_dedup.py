@@ -5,8 +5,8 @@ equal anchors, so anchors that occur once are passed over, and the others say wh
 of starts belongs to: equal strings always meet in one shard. Equal stretches are counted and kept
 once. A shard sorts its suffixes by Larsson-Sadakane refinement, up to the length in question, and
 Kasai's rule gives the common prefixes of neighbours. Anchors with too many different surroundings
-for one shard are dealt out over many; what each finds locally is merged by binary search in the
-strings that several of them hold.
+for one shard are dealt out over many without suffix arrays: their strings are named by 128-bit
+hashes, and a hash aggregation and a join, not a binary search, tell which names occur twice.
 """
 
 from __future__ import annotations
@@ -262,8 +262,8 @@ def _in_shards(texts: DataFrame, length: int) -> DataFrame:
 def _across_shards(texts: DataFrame, length: int) -> DataFrame:
     """The same for keys of many surroundings, dealt out over shards by their digest.
 
-    A shard names each different string once, sorted; names that several shards hold, or that one
-    holds twice, are repeated. Each shard finds its own among them by binary search.
+    Every start is named by the 128-bit hash of its string. Names that occur twice are found by a hash
+    aggregation and joined back to the starts; nothing is sorted into a suffix array or searched here.
     """
     named = "key long, digest binary, a long, b long, start int"
     target, spans = _arrow(named), _arrow(SPANS)
