@@ -90,16 +90,20 @@ class Model:
 
 
 def training_rows(docs: DataFrame, lang: str, sample_chars: int) -> DataFrame:
-    """(lang, text) of about ``sample_chars`` per language: whole texts, chosen by hashed id and text."""
+    """(lang, text) of about ``sample_chars`` per language: whole texts, chosen by hashed id and text.
+
+    The text of the least hash is always among them, so no language of few long texts is lost.
+    """
     labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()
                            & (F.length("text") > 0))
-    sizes = labelled.groupBy("lang").agg(F.sum(F.length("text")).alias("chars"))
-    share = [(r.lang, min(1.0, sample_chars / r.chars)) for r in sizes.collect()]
-    chance = F.lit(0.0)
-    for name, s in share:
-        chance = F.when(F.col("lang") == name, F.lit(s)).otherwise(chance)
     draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40)) / float(1 << 40)
-    return labelled.filter(draw < chance).select("lang", "text")
+    sizes = labelled.groupBy("lang").agg(F.sum(F.length("text")).alias("chars"),
+                                         F.min(draw).alias("least"))
+    share = [(r.lang, min(1.0, sample_chars / r.chars), r.least) for r in sizes.collect()]
+    taken = F.lit(False)
+    for name, s, least in share:
+        taken = F.when(F.col("lang") == name, (draw < s) | (draw <= least)).otherwise(taken)
+    return labelled.filter(taken).select("lang", "text")
 
 
 def fit(rows: DataFrame) -> Model:

@@ -58,3 +58,11 @@ def test_awkward(awkward):
     none = L.identify(awkward.withColumn("lang", F.lit(None).cast("string"))).collect()
     assert {r.lang_pred for r in none} == {"und"}
     assert L.identify(awkward.limit(0)).count() == 0
+
+
+def test_no_language_is_lost(spark):
+    """Few texts, each longer than the sample, still give one per language."""
+    docs = spark.createDataFrame([(i, f"{x}{i} " * 500, x) for x in "abcdefgh" for i in range(3)],
+                                 "doc_id long, text string, lang string")
+    rows = L.training_rows(docs, "lang", 100).collect()
+    assert {r.lang for r in rows} == set("abcdefgh")
