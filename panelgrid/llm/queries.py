@@ -18,6 +18,7 @@ from panelgrid.llm.sharding import shard_by_bytes
 from panelgrid.llm.substring_dedup import dedup_substrings
 from panelgrid.llm.suffix_dedup import dedup_digests
 from panelgrid.llm.tokens import encode_digests
+from panelgrid.llm.word_runs import run_digests
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -83,3 +84,8 @@ def op9(spark, sf_dir):
 @register("op10_suffix_arrays")
 def op10(spark, sf_dir):
     return dedup_digests(documents(spark, sf_dir))
+
+
+@register("op13_word_runs")
+def op13(spark, sf_dir):
+    return run_digests(documents(spark, sf_dir))
