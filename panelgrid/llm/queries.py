@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from panelgrid.llm.common import documents
+from panelgrid.llm.exact_copies import copy_digests
 from panelgrid.llm.fingerprints import compare_with_next
 from panelgrid.llm.jaccard_join import near_groups
 from panelgrid.llm.language import identify
@@ -89,3 +90,8 @@ def op10(spark, sf_dir):
 @register("op13_word_runs")
 def op13(spark, sf_dir):
     return run_digests(documents(spark, sf_dir))
+
+
+@register("op11_polynomial_copies")
+def op11(spark, sf_dir):
+    return copy_digests(documents(spark, sf_dir))
