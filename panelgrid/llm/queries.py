@@ -19,6 +19,7 @@ from panelgrid.llm.sharding import shard_by_bytes
 from panelgrid.llm.substring_dedup import dedup_substrings
 from panelgrid.llm.suffix_dedup import dedup_digests
 from panelgrid.llm.tokens import encode_digests
+from panelgrid.llm.whitening import whitened_components
 from panelgrid.llm.word_runs import run_digests
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -95,3 +96,8 @@ def op13(spark, sf_dir):
 @register("op11_polynomial_copies")
 def op11(spark, sf_dir):
     return copy_digests(documents(spark, sf_dir))
+
+
+@register("op12_chebyshev_whitening")
+def op12(spark, sf_dir):
+    return whitened_components(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
