@@ -1,19 +1,14 @@
-"""Distribution functions for result rows (a few p-values), as Pandas UDFs.
+"""Distribution functions in plain Python.
 
-Spark SQL has no normal, chi-squared or Student distribution, so these short series run in
-NumPy on the *result* of an aggregation, never on the data path.
+The SQL twins take critical values from here and tests hold the column expressions of
+``distributions`` against them; no query calls them.
 """
 
 from __future__ import annotations
 
 import math
-import sys
 
 import numpy as np
-import pandas as pd
-from pyspark import cloudpickle
-from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 
 def normal_cdf(z):
@@ -115,33 +110,3 @@ def signed_rank_lower_tail(n: int, w: float) -> float:
     if upto < 0:
         return 0.0
     return float(counts[: upto + 1].sum() / counts.sum())
-
-
-@F.pandas_udf(DoubleType())
-def normal_cdf_udf(z: pd.Series) -> pd.Series:
-    return z.map(lambda v: None if pd.isna(v) else normal_cdf(v)).astype(float)
-
-
-@F.pandas_udf(DoubleType())
-def chi2_sf_udf(x: pd.Series, df: pd.Series) -> pd.Series:
-    return pd.Series([None if pd.isna(a) or pd.isna(b) or b <= 0 else gamma_q(b / 2, a / 2)
-                      for a, b in zip(x, df)], dtype=float)
-
-
-@F.pandas_udf(DoubleType())
-def student_two_sided_udf(t: pd.Series, df: pd.Series) -> pd.Series:
-    ok = t.notna() & (df > 0)
-    safe_df = df.where(ok, 1).astype(float)
-    # an infinite t (perfect fit) has p = 0
-    p = student_two_sided(t.where(ok, 0.0).clip(-1e150, 1e150), safe_df)
-    return pd.Series(np.where(ok, p, np.nan))
-
-
-@F.pandas_udf(DoubleType())
-def signed_rank_lower_udf(n: pd.Series, w: pd.Series) -> pd.Series:
-    return pd.Series([None if pd.isna(a) or pd.isna(b) else signed_rank_lower_tail(int(a), b)
-                      for a, b in zip(n, w)], dtype=float)
-
-
-# The functions travel with the query, so workers need no installed copy of this package.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])

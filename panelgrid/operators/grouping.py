@@ -11,7 +11,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -70,125 +69,6 @@ def known_neighbours(df: DataFrame, values: Sequence[str], order: Sequence[str],
     )
 
 
-# Up to FEW_VALUES rows are ranked as they are; beyond, a value axis gets one cut point per
-# VALUES_PER_CUT rows, at most MAX_CUTS.
-FEW_VALUES = 200_000
-VALUES_PER_CUT = 20_000
-MAX_CUTS = 8192
-
-
-def _value_cuts(rows: DataFrame, value: str) -> list[float]:
-    """Approximate quantiles: one array of at most MAX_CUTS numbers, empty for small tables."""
-    n = rows.count()
-    if n <= FEW_VALUES:
-        return []
-    wanted = min(MAX_CUTS, max(n // VALUES_PER_CUT, 1))
-    probs = ", ".join(f"{(k + 1) / (wanted + 1)!r}D" for k in range(wanted))
-    row = rows.agg(F.expr(
-        f"percentile_approx(`{value}`, array({probs}), {10 * (wanted + 1)})").alias("c")).first()
-    return sorted({float(c) for c in row["c"] or []})
-
-
-def _with_bucket(df: DataFrame, value: str, cuts: Sequence[float]) -> DataFrame:
-    """Add ``bucket``, the number of cuts at or below the value."""
-    splits = [-float("inf"), *cuts, float("inf")]
-    binned = Bucketizer(splits=splits, inputCol=value, outputCol="_b", handleInvalid="keep")
-    return binned.transform(df).withColumn("bucket", F.col("_b").cast("int")).drop("_b")
-
-
-def _known(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
-    rows = df.where(F.col(value).isNotNull())
-    for k in by:
-        rows = rows.where(F.col(k).isNotNull())
-    return rows
-
-
-def _below(over, count: str) -> Column:
-    return F.coalesce(F.sum(count).over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-
-
-def _bucket_table(located: DataFrame, by: Sequence[str], rows: Column) -> DataFrame:
-    """Rows in and below each value range; a window sees at most MAX_CUTS + 1 rows."""
-    w = Window.partitionBy(*by)
-    return (located.groupBy(*by, "bucket").agg(rows.alias("in_bucket"))
-            .select(*by, "bucket", "in_bucket", _below(w.orderBy("bucket"), "in_bucket")
-                    .alias("before"), F.sum("in_bucket").over(w).alias("total")))
-
-
-def value_positions(df: DataFrame, value: str, by: Sequence[str] = (),
-                    **counters: Column) -> DataFrame:
-    """One row per distinct value and group, with how many rows lie below it.
-
-    Columns: ``by``, ``value``, ``cnt`` (rows with that value), ``start`` (rows of the group with
-    a smaller value), ``total`` (rows of the group), ``bucket``, and the extra counters. NULL
-    values and NULL keys are left out. Values are counted first, so ties never pile up, and the
-    counts are pinned: they are read for the cuts, for the range sizes and for the ranks. Only
-    values of one range are sorted together.
-    """
-    by = list(by)
-    counted = pin(_known(df, value, by).groupBy(*by, value).agg(
-        F.count(F.lit(1)).alias("cnt"), *[c.alias(n) for n, c in counters.items()]), "values")
-    cuts = _value_cuts(counted, value)
-    if not cuts:
-        w = Window.partitionBy(*by)
-        return counted.select(*by, value, "cnt", *counters, F.lit(0).alias("bucket"),
-                              F.sum("cnt").over(w).alias("total"),
-                              _below(w.orderBy(value), "cnt").alias("start"))
-    located = _with_bucket(counted, value, cuts)
-    table = _bucket_table(located, by, F.sum("cnt"))
-    inside = Window.partitionBy(*by, "bucket").orderBy(value)
-    return located.join(table, by + ["bucket"]).select(
-        *by, value, "cnt", *counters, "bucket", "total",
-        (F.col("before") + _below(inside, "cnt")).alias("start"))
-
-
-def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float],
-                    by: Sequence[str] = ()) -> DataFrame:
-    """Exact quantiles (linear interpolation) per group: ``by``, ``n``, ``q0``, ``q1``, ...
-
-    Spark's own ``percentile`` builds the whole group in one task. Here rows are counted per value
-    range on the map side, and only the ranges that hold a wanted position are shuffled and
-    sorted. The (key, value) columns are pinned, so the input is computed once.
-    """
-    by = list(by)
-    rows = pin(_known(df, value, by).select(*by, value), "values")
-    cuts = _value_cuts(rows, value)
-
-    def pos(p):
-        return (F.col("total") - 1) * F.lit(float(p))
-
-    if cuts:
-        located = _with_bucket(rows, value, cuts)
-        edges = F.array(*[e for p in probs for e in (F.floor(pos(p)), F.ceil(pos(p)))])
-        table = _bucket_table(located, by, F.count(F.lit(1))).where(F.exists(
-            edges, lambda e: (e >= F.col("before")) & (e < F.col("before") + F.col("in_bucket"))))
-        counted = join_reduced(located, table, by + ["bucket"], "inner").groupBy(
-            *by, "bucket", "before", "total", value).agg(F.count(F.lit(1)).alias("cnt"))
-        inside = Window.partitionBy(*by, "bucket").orderBy(value)
-        placed = counted.withColumn("start", F.col("before") + _below(inside, "cnt"))
-    else:
-        counted = rows.groupBy(*by, value).agg(F.count(F.lit(1)).alias("cnt"))
-        w = Window.partitionBy(*by)
-        placed = counted.withColumns({"start": _below(w.orderBy(value), "cnt"),
-                                      "total": F.sum("cnt").over(w)})
-
-    def at(e):
-        hit = (e >= F.col("start")) & (e < F.col("start") + F.col("cnt"))
-        return F.max(F.when(hit, F.col(value)))
-
-    picked = placed.groupBy(*by, F.col("total").alias("n")).agg(
-        *[at(F.floor(pos(p))).alias(f"_lo{i}") for i, p in enumerate(probs)],
-        *[at(F.ceil(pos(p))).alias(f"_hi{i}") for i, p in enumerate(probs)],
-    )
-
-    def between(i, p):
-        h = (F.col("n") - 1) * F.lit(float(p))
-        lo, hi = F.col(f"_lo{i}"), F.col(f"_hi{i}")
-        return lo + (hi - lo) * (h - F.floor(h))
-
-    return picked.select(*by, "n", *[between(i, p).alias(f"q{i}") for i, p in enumerate(probs)])
-
-
 def weighted_positions(items: DataFrame, keys: Sequence[str], weight: str) -> DataFrame:
     """Lay items end to end on [0, total weight) in a fixed pseudo-random order.
 

@@ -11,16 +11,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelgrid.functions.cdf import normal_critical, student_critical, student_two_sided_udf
 from panelgrid.functions.columns import ratio, recode
 from panelgrid.functions.constants import CODE_TO_CLASS, REPORTED_CLASSES
+from panelgrid.functions.distributions import student_two_sided
 from panelgrid.operators.scores import sum_sq_dev
 
 CELL = ("lat", "lon")
 # Published trend maps multiply annual means of daily values by 31 days x 12 months.
 TREND_FACTOR = 372.0
-# Critical values are listed up to this many degrees of freedom and expanded in 1/dof beyond.
-LISTED_DOF = 100
 
 
 def rep_mean(df: DataFrame, value: str = "v", cell: Sequence[str] = CELL) -> DataFrame:
@@ -64,8 +62,8 @@ def map_trend(df: DataFrame, value: str = "v", cell: Sequence[str] = CELL,
               with_p: bool = False) -> DataFrame:
     """Slope per year of the annual ensemble mean where it is significant, else NULL.
 
-    Significance compares |t| with the critical value of the cell's degrees of freedom, which
-    stays inside code generation; ``with_p`` adds the p-value itself.
+    The p-value of each cell is a column expression, so the plan stays in the JVM; ``with_p`` returns it.
+    A perfect line has p = 0; two years that differ are one, too. A flat series has p = 1.
     """
     year = F.year("time").cast("double")
     annual = (rep_mean(df, value, cell).groupBy(*cell, year.alias("year"))
@@ -79,34 +77,13 @@ def map_trend(df: DataFrame, value: str = "v", cell: Sequence[str] = CELL,
     # residual sum of squares 0: a perfect line, infinitely significant unless it is flat
     t = F.when((unexplained == 0) & (F.col("sxy") != 0), F.lit(float("inf"))).otherwise(
         F.abs(F.col("all_slopes")) * F.sqrt(ratio(F.col("sxx") * dof, unexplained)))
-    critical = critical_t("dof", alpha)
-    out = fit.withColumn("dof", dof.cast("int")).withColumn("t", t)
-    significant = (F.col("t") > critical) | ((F.col("dof") == 0) & (F.col("t") == float("inf")))
-    out = out.withColumn("slope", F.when(significant, F.col("all_slopes")))
-    if with_p:
-        p = student_two_sided_udf("t", F.col("dof").cast("double"))
-        out = out.withColumn("p_value", F.when(F.col("dof") > 0, p).otherwise(
-            F.when(F.col("t") == float("inf"), F.lit(0.0)).otherwise(F.lit(1.0))))
+    p = F.when(t == float("inf"), F.lit(0.0)).otherwise(
+        F.coalesce(student_two_sided(t, dof), F.lit(1.0)))
+    out = fit.withColumn("p_value", p).withColumn("slope", F.when(
+        F.col("p_value") < alpha, F.col("all_slopes")))
     return out.select(*cell, "slope", "all_slopes", "n_years", *(["p_value"] if with_p else []))
 
 
-def critical_t(dof: str, alpha: float = 0.05) -> Column:
-    """Two-sided critical value of Student's t for a column of degrees of freedom >= 1."""
-    listed = F.expr("array(" + ", ".join(
-        f"{float(c)!r}D" for c in student_critical(range(1, LISTED_DOF + 1), alpha)) + ")")
-    z = normal_critical(alpha)
-    v = F.col(dof).cast("double")
-    # Cornish-Fisher expansion around the normal value
-    terms = [(z ** 3 + z) / 4, (5 * z ** 5 + 16 * z ** 3 + 3 * z) / 96,
-             (3 * z ** 7 + 19 * z ** 5 + 17 * z ** 3 - 15 * z) / 384,
-             (79 * z ** 9 + 776 * z ** 7 + 1482 * z ** 5 - 1920 * z ** 3 - 945 * z) / 92160]
-    tail = F.lit(z)
-    for k, c in enumerate(terms, 1):
-        tail = tail + ratio(F.lit(c), F.pow(v, F.lit(float(k))))
-    return F.when(F.col(dof) <= LISTED_DOF,
-                  F.get(listed, F.col(dof).cast("int") - 1)).otherwise(tail)
-
-
 def rel_sem(df: DataFrame, value: str = "v", cell: Sequence[str] = CELL) -> DataFrame:
     """Ensemble mean and relative standard error per cell and time."""
     err = ratio(F.stddev_pop(value), F.sqrt(F.count(value)) * F.abs(F.avg(value)))

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelgrid.functions.columns import month_index, r2_from_sums, ratio
-from panelgrid.operators.grouping import exact_quantiles
+from panelgrid.operators.radix import exact_quantiles
 from panelgrid.session import pin
 
 REP = ("rep",)
@@ -187,20 +187,35 @@ def metric_summary(df: DataFrame, by: Sequence[str], metrics: Sequence[str]) ->
     return base.join(median, g, "left")
 
 
-def bias_by_quantile(df: DataFrame, truth: str, pred: str,
-                     probs: Sequence[float] = (0, .25, .5, .75, 1)) -> DataFrame:
-    """Median of prediction minus truth in each truth quantile bin.
-
-    Bins are closed at both ends, so a truth exactly on an inner edge counts in both bins.
-    """
-    edges = pin(exact_quantiles(df, truth, probs), "edges").select(F.array(*[
+def _quantile_bins(df: DataFrame, truth: str, probs: Sequence[float]) -> DataFrame:
+    """One row: the bins between quantiles of the truth as an array (bin, lo, hi)."""
+    return pin(exact_quantiles(df, truth, probs), "edges").select(F.array(*[
         F.struct(F.lit(i + 1).alias("bin"), F.col(f"q{i}").alias("lo"),
                  F.col(f"q{i + 1}").alias("hi")) for i in range(len(probs) - 1)]).alias("b"))
-    bins = edges.select(F.explode("b").alias("b")).select("b.*")
+
+
+def _binned_bias(df: DataFrame, truth: str, pred: str, edges: DataFrame) -> DataFrame:
     # the few bins come as one scalar array, so no range join is needed
     inside = F.col(truth).between(F.col("b.lo"), F.col("b.hi"))
-    diff = df.select(truth, pred, F.explode(edges.scalar()).alias("b")).where(inside).select(
+    return df.select(truth, pred, F.explode(edges.scalar()).alias("b")).where(inside).select(
         "b.bin", (F.col(pred) - F.col(truth)).alias("diff"))
+
+
+def bias_in_bins(df: DataFrame, truth: str, pred: str,
+                 probs: Sequence[float] = (0, .25, .5, .75, 1)) -> DataFrame:
+    """(bin, diff): prediction minus truth of every row, with the truth quantile bin it lies in.
+
+    Bins are closed at both ends, so a truth exactly on an inner edge counts in both bins.
+    """
+    return _binned_bias(df, truth, pred, _quantile_bins(df, truth, probs))
+
+
+def bias_by_quantile(df: DataFrame, truth: str, pred: str,
+                     probs: Sequence[float] = (0, .25, .5, .75, 1)) -> DataFrame:
+    """Median of prediction minus truth in each truth quantile bin."""
+    edges = _quantile_bins(df, truth, probs)
+    bins = edges.select(F.explode("b").alias("b")).select("b.*")
+    diff = _binned_bias(df, truth, pred, edges)
     q = exact_quantiles(diff, "diff", [0.5], ["bin"])
     size = bins.join(diff.groupBy("bin").agg(F.count("diff").alias("n")), "bin", "left")
     return size.join(q.select("bin", F.col("q0").alias("median_bias")), "bin", "left").select(

@@ -1,6 +1,6 @@
-"""Rank and mean tests: distributed ranks and sums, one result row.
+"""Rank and mean tests: distributed ranks and sums, one result row per group.
 
-p-values are computed on that row.
+p-values are column expressions on that row.
 """
 
 from __future__ import annotations
@@ -10,10 +10,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelgrid.functions.cdf import chi2_sf_udf, normal_cdf_udf, signed_rank_lower_udf
-from panelgrid.functions.columns import ratio, recode
-from panelgrid.functions.constants import NEMENYI_Q05
-from panelgrid.operators.grouping import value_positions
+from panelgrid.functions.columns import ratio
+from panelgrid.functions.distributions import (chi2_upper, normal_lower, range_quantile,
+                                               signed_rank_lower)
+from panelgrid.operators.grouping import join_reduced
+from panelgrid.operators.radix import value_positions
 
 # Exact signed-rank probabilities are used up to this many untied differences.
 EXACT_SIGNED_RANK = 50
@@ -48,7 +49,11 @@ def mean_ranks(df: DataFrame, block: str = "block", treatment: str = "treatment"
 
 def friedman(df: DataFrame, block: str = "block", treatment: str = "treatment",
              metric: str = "metric", with_p: bool = True) -> DataFrame:
-    """Friedman chi-squared (tie-corrected) and the Nemenyi critical difference at 5 %."""
+    """Friedman chi-squared (tie-corrected) and the Nemenyi critical difference at 5 %.
+
+    Two mean ranks differ by more than the critical difference with a chance of 5 %, whatever the
+    number of treatments: it comes from the distribution of the range.
+    """
     ranked = block_ranks(complete_blocks(df, block, treatment, metric), [block], metric)
     per_treatment = ranked.groupBy(treatment).agg(F.avg("rank").alias("r"),
                                                   F.count(F.lit(1)).alias("n"))
@@ -59,35 +64,37 @@ def friedman(df: DataFrame, block: str = "block", treatment: str = "treatment",
     k, n = F.col("k"), F.col("n")
     raw = 12 * n / (k * (k + 1)) * (F.col("rr") - k * (k + 1) * (k + 1) / 4)
     correction = 1 - ratio("ties", n * k * (k * k - 1))
-    q = recode(F.col("k").cast("int"), NEMENYI_Q05)
+    q = range_quantile(0.95, "k") / F.sqrt(F.lit(2.0))
     out = s.select(F.col("k").alias("treatments"), F.col("n").alias("blocks"),
                    ratio(raw, correction).alias("chi2"),
                    (q * F.sqrt(k * (k + 1) / (6 * n))).alias("critical_difference"))
     if with_p:
-        out = out.withColumn("p_value", chi2_sf_udf("chi2", (F.col("treatments") - 1)
-                                                    .cast("double")))
+        out = out.withColumn("p_value", chi2_upper("chi2", F.col("treatments") - 1))
     return out
 
 
 def wilcoxon(df: DataFrame, x: str, y: str | None = None, alternative: str = "two-sided",
-             with_p: bool = True) -> DataFrame:
-    """Signed-rank test of x - y (or of x alone) around zero.
+             with_p: bool = True, by: Sequence[str] = ()) -> DataFrame:
+    """Signed-rank test of x - y (or of x alone) around zero, one row per group.
 
-    Zero differences are dropped. Ranks of the absolute differences come from value positions,
-    so ties cost nothing and no task sees all rows. p is exact up to EXACT_SIGNED_RANK untied
-    differences and normal beyond.
+    Zero differences are dropped; a group of zeros only has n = 0 and no p-value. Ranks of the absolute
+    differences come from value positions, so ties cost nothing and no task sees all rows of a group.
+    p is exact up to EXACT_SIGNED_RANK untied differences and normal beyond.
     """
+    by = list(by)
     diff = F.col(x) - F.col(y) if y else F.col(x)
-    d = df.select(diff.alias("d")).where(F.col("d").isNotNull())
-    pos = value_positions(d.where(F.col("d") != 0).select("d", F.abs("d").alias("a")), "a",
+    d = df.select(*by, diff.cast("double").alias("d")).where(F.col("d").isNotNull())
+    pos = value_positions(d.where(F.col("d") != 0).select(*by, "d", F.abs("d").alias("a")), "a", by,
                           plus=F.sum(F.when(F.col("d") > 0, 1).otherwise(0)))
     t = F.col("cnt")
     rank = F.col("start") + (t + 1) / 2
-    s = pos.agg(
-        F.coalesce(F.sum("cnt"), F.lit(0)).alias("n"),
-        F.coalesce(F.sum(rank * F.col("plus")), F.lit(0.0)).alias("w_plus"),
-        F.coalesce(F.sum(rank * (t - F.col("plus"))), F.lit(0.0)).alias("w_minus"),
-        F.coalesce(F.sum(F.pow(t, F.lit(3)) - t), F.lit(0.0)).alias("ties"))
+    s = pos.groupBy(*by).agg(
+        F.sum("cnt").alias("n"), F.sum(rank * F.col("plus")).alias("w_plus"),
+        F.sum(rank * (t - F.col("plus"))).alias("w_minus"),
+        F.sum(F.pow(t, F.lit(3)) - t).alias("ties"))
+    if by:
+        s = join_reduced(d.select(*by).distinct(), s, by)
+    s = s.na.fill(0, ["n", "w_plus", "w_minus", "ties"])
     n = F.col("n").cast("double")
     sd = F.sqrt((n * (n + 1) * (2 * n + 1) - F.col("ties") / 2) / 24)
     statistic = F.least("w_plus", "w_minus") if alternative == "two-sided" else F.col("w_plus")
@@ -99,31 +106,30 @@ def wilcoxon(df: DataFrame, x: str, y: str | None = None, alternative: str = "tw
         side = F.col("w_minus") if alternative == "greater" else F.col("statistic")
         z = -F.col("z") if alternative == "greater" else F.col("z")
         times = 2.0 if alternative == "two-sided" else 1.0
-        out = out.withColumn("_pe", signed_rank_lower_udf(
-            F.when(exact, F.col("n").cast("double")), side)).withColumn("_pn", normal_cdf_udf(z))
-        out = out.withColumn("p_value", F.least(F.lit(1.0), times * F.when(
-            exact, F.col("_pe")).otherwise(F.col("_pn"))))
-    return out.select("n", "w_plus", "w_minus", "statistic", "z",
+        p = times * F.when(exact, signed_rank_lower("n", side)).otherwise(normal_lower(z))
+        out = out.withColumn("p_value", F.when(p.isNotNull(), F.least(F.lit(1.0), p)))
+    return out.select(*by, "n", "w_plus", "w_minus", "statistic", "z",
                       *(["p_value"] if with_p else []))
 
 
-def ranksum(df: DataFrame, a: str, b: str, with_p: bool = True) -> DataFrame:
+def ranksum(df: DataFrame, a: str, b: str, with_p: bool = True, by: Sequence[str] = ()) -> DataFrame:
     """Rank-sum test of two columns as independent samples (ties averaged, no tie correction)."""
-    long = df.select(F.explode(F.array(
+    by = list(by)
+    long = df.select(*by, F.explode(F.array(
         F.struct(F.lit(1).alias("first"), F.col(a).cast("double").alias("v")),
         F.struct(F.lit(0).alias("first"), F.col(b).cast("double").alias("v")))).alias("s")
-    ).select("s.*")
-    pos = value_positions(long, "v", firsts=F.sum("first"))
+    ).select(*by, "s.*")
+    pos = value_positions(long, "v", by, firsts=F.sum("first"))
     rank = F.col("start") + (F.col("cnt") + 1) / 2
-    s = pos.agg(F.sum("firsts").cast("double").alias("n1"),
-                F.sum(F.col("cnt") - F.col("firsts")).cast("double").alias("n2"),
-                F.sum(rank * F.col("firsts")).alias("rank_sum"))
+    s = pos.groupBy(*by).agg(F.sum("firsts").cast("double").alias("n1"),
+                             F.sum(F.col("cnt") - F.col("firsts")).cast("double").alias("n2"),
+                             F.sum(rank * F.col("firsts")).alias("rank_sum"))
     n1, n2 = F.col("n1"), F.col("n2")
     z = ratio(F.col("rank_sum") - n1 * (n1 + n2 + 1) / 2, F.sqrt(n1 * n2 * (n1 + n2 + 1) / 12))
-    out = s.select(n1.cast("bigint").alias("n1"), n2.cast("bigint").alias("n2"), "rank_sum",
+    out = s.select(*by, n1.cast("bigint").alias("n1"), n2.cast("bigint").alias("n2"), "rank_sum",
                    z.alias("z"))
     if with_p:
-        out = out.withColumn("p_value", 2 * normal_cdf_udf(-F.abs("z")))
+        out = out.withColumn("p_value", 2 * normal_lower(-F.abs("z")))
     return out
 
 
@@ -141,7 +147,7 @@ def ztest(df: DataFrame, a: str, b: str, alternative: str = "smaller",
         tail: Column = {"smaller": F.col("z"), "larger": -F.col("z"),
                         "two-sided": -F.abs("z")}[alternative]
         times = 2 if alternative == "two-sided" else 1
-        out = out.withColumn("p_value", times * normal_cdf_udf(tail))
+        out = out.withColumn("p_value", times * normal_lower(tail))
     return out
 
 
@@ -152,5 +158,5 @@ def normality(df: DataFrame, value: str, by: Sequence[str] = (), with_p: bool =
     jb = F.col("n") / 6 * (F.pow("skewness", F.lit(2)) + F.pow("kurtosis", F.lit(2)) / 4)
     out = s.withColumn("jb", jb)
     if with_p:
-        out = out.withColumn("p_value", chi2_sf_udf("jb", F.lit(2.0)))
+        out = out.withColumn("p_value", chi2_upper("jb", F.lit(2.0)))
     return out

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelgrid.functions.columns import ratio
-from panelgrid.operators.grouping import attach_stats, exact_quantiles, join_reduced
+from panelgrid.operators.grouping import attach_stats, join_reduced
+from panelgrid.operators.radix import exact_quantiles
 
 
 def class_counts(df: DataFrame, by: Sequence[str], distinct: str | None = None) -> DataFrame:

@@ -17,8 +17,7 @@ def spark():
 
 
 @pytest.fixture
-def small_cuts(monkeypatch):
-    """Cut values into many ranges even on tiny data."""
-    from panelgrid.operators import grouping
-    monkeypatch.setattr(grouping, "FEW_VALUES", 0)
-    monkeypatch.setattr(grouping, "VALUES_PER_CUT", 7)
+def crowded(monkeypatch):
+    """Few values may be sorted together, so every level of digits is used."""
+    from panelgrid.operators import radix
+    monkeypatch.setattr(radix, "CROWDED", 2)

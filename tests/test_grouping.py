@@ -1,50 +1,10 @@
 import numpy as np
 import pandas as pd
-import pytest
 from pyspark.sql import functions as F
 
 from panelgrid.operators import grouping as G
 
 
-def hot_values(n=3000, seed=1):
-    """A third of the rows share one value, a third one group."""
-    r = np.random.default_rng(seed)
-    v = np.where(np.arange(n) % 3 == 0, 0.25, r.normal(size=n).round(2))
-    g = np.where(np.arange(n) % 3 == 1, "hot", r.choice(list("abcdef"), n))
-    return pd.DataFrame({"g": g, "v": v})
-
-
-@pytest.mark.parametrize("by", [[], ["g"]])
-def test_exact_quantiles(spark, small_cuts, by):
-    pdf = hot_values()
-    df = spark.createDataFrame(pdf).union(spark.createDataFrame([("a", None)], "g string, v double"))
-    probs = [0, .1, .25, .5, .75, .99, 1]
-    got = G.exact_quantiles(df, "v", probs, by).toPandas()
-    groups = pdf.groupby("g") if by else [("", pdf)]
-    assert len(got) == (pdf.g.nunique() if by else 1)
-    for k, part in groups:
-        row = got[got.g == k].iloc[0] if by else got.iloc[0]
-        assert row["n"] == len(part)
-        want = np.quantile(part.v, probs)
-        assert [row[f"q{i}"] for i in range(len(probs))] == pytest.approx(list(want), abs=1e-12)
-
-
-def test_positions_with_many_cuts(spark, small_cuts):
-    pdf = hot_values()
-    got = G.value_positions(spark.createDataFrame(pdf), "v", ["g"]).toPandas()
-    assert got.bucket.nunique() > 20
-    for (g, v), part in pdf.groupby(["g", "v"]):
-        row = got[(got.g == g) & (got.v == v)].iloc[0]
-        inside = pdf[pdf.g == g]
-        assert row.cnt == len(part) and row.start == (inside.v < v).sum()
-        assert row.total == len(inside)
-
-
-def test_single_value(spark):
-    df = spark.createDataFrame([(5.0,)], "v double")
-    assert G.exact_quantiles(df, "v", [0, .5, 1]).first()[1:] == (5.0, 5.0, 5.0)
-
-
 def test_known_neighbours_across_blocks(spark):
     r = np.random.default_rng(4)
     pdf = pd.DataFrame({"k": np.repeat(["x", "y"], 200), "t": np.tile(np.arange(200), 2),

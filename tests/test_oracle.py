@@ -12,8 +12,6 @@ from compare import compare, connect
 from panelgrid.plans.catalog import ORACLE, QUERIES
 
 SF_DIR = f"/root/testdata/sf{os.environ.get('TEST_SF', '0.01')}"
-# p-values are computed in Python on one result row per test
-RESULT_UDFS = {"normality_p", "friedman_p"}
 
 
 @pytest.fixture(scope="module")
@@ -31,7 +29,7 @@ def test_query(spark, con, name):
         text = plan_of(df)
         assert "CartesianProduct" not in text
         assert "BroadcastNestedLoopJoin" not in text
-        if name in ORACLE and name not in RESULT_UDFS:
+        if name in ORACLE:
             assert not re.search(r"ArrowEvalPython|BatchEvalPython|MapInPandas|FlatMapGroups", text)
 
     assert compare(spark, con, name, QUERIES[name], ORACLE.get(name), SF_DIR, inspect) is None
