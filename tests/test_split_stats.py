@@ -75,7 +75,7 @@ def test_wilcoxon_exact(spark):
     assert more == pytest.approx(np.mean(np.array(sums) >= w))
 
 
-def test_wilcoxon_ties_and_many_ranges(spark, small_cuts):
+def test_wilcoxon_ties_and_many_ranges(spark, crowded):
     r = np.random.default_rng(2)
     d = r.integers(-20, 25, 900).astype(float)
     got = stats.wilcoxon(spark.createDataFrame([(float(v),) for v in d], "d double"), "d").first()
@@ -89,7 +89,7 @@ def test_wilcoxon_ties_and_many_ranges(spark, small_cuts):
     assert got["z"] == pytest.approx((min(got["w_plus"], got["w_minus"]) - n * (n + 1) / 4) / sd)
 
 
-def test_ranksum_and_ztest(spark, small_cuts):
+def test_ranksum_and_ztest(spark, crowded):
     r = np.random.default_rng(3)
     a, b = r.normal(0.3, 1, 80).round(1), r.normal(0, 1, 80).round(1)
     df = spark.createDataFrame([(float(x), float(y)) for x, y in zip(a, b)], "a double, b double")
