@@ -80,15 +80,23 @@ class Model:
         return times @ self.cost(found, ORDER + 1)
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        """(language, its share of 2**-length over all languages); ``und`` without a letter."""
+        """(language, its share of 2**-(bits per byte) over all languages); ``und`` without a letter."""
         if not self.langs or not text or not LETTER.search(text):
             return "und", 0.0
-        lengths = self.lengths(text.encode())
+        raw = text.encode()
+        lengths = self.lengths(raw)
         best = int(lengths.argmin())  # of equal lengths the first in order of the names
-        share = 1 / np.exp2(np.maximum(lengths[best] - lengths, -1000)).sum()
+        share = 1 / np.exp2((lengths[best] - lengths) / len(raw)).sum()
         return self.langs[best], float(share)
 
 
+def predictor(tables: dict):
+    """``predict`` of the model whose attributes are given; built in the tasks from plain arrays."""
+    model = Model.__new__(Model)
+    model.__dict__.update(tables)
+    return model.predict
+
+
 def training_rows(docs: DataFrame, lang: str, sample_chars: int) -> DataFrame:
     """(lang, text) of about ``sample_chars`` per language: whole texts, chosen by hashed id and text.
 
@@ -139,7 +147,8 @@ def identify(docs: DataFrame, sample_chars: int = 1 << 21, id_col: str = "doc_id
     rows = narrow(docs, id_col, text_col)
     labelled = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"),
                            F.col(lang_col).alias("lang")).filter(~held_out())
-    model = docs.sparkSession.sparkContext.broadcast(fit(training_rows(labelled, "lang",
-                                                                       sample_chars)))
+    # names and arrays only: an executor need not be able to import this module
+    tables = docs.sparkSession.sparkContext.broadcast(
+        vars(fit(training_rows(labelled, "lang", sample_chars))))
     return compute(rows.withColumn("held_out", held_out()), "text",
-                   "lang_pred string, score double", lambda: model.value.predict)
+                   "lang_pred string, score double", lambda: predictor(tables.value))

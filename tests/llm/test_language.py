@@ -1,3 +1,4 @@
+import pickle
 import math
 from collections import Counter
 from zlib import crc32
@@ -66,3 +67,12 @@ def test_no_language_is_lost(spark):
                                  "doc_id long, text string, lang string")
     rows = L.training_rows(docs, "lang", 100).collect()
     assert {r.lang for r in rows} == set("abcdefgh")
+
+
+def test_executors_need_only_libraries(spark, table):
+    """What is broadcast holds no class of this repository."""
+    model = L.fit(spark.createDataFrame([("a", "abc abc"), ("b", "xyz")], "lang string, text string"))
+    raw = pickle.dumps(vars(model))
+    assert b"panelgrid" not in raw
+    lang, score = L.predictor(pickle.loads(raw))("abc")
+    assert lang == "a" and 0.5 < score < 1
