@@ -1,7 +1,10 @@
 import itertools
+import random
 import zlib
+from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from panelgrid.llm import common, packing, sharding
 
@@ -70,6 +73,38 @@ def test_best_bounds():
         assert cost(got) == min(map(cost, every)) and len(got) <= k
 
 
+def plain_bounds(longest, rows, buckets):
+    """Padding of the best division, by trying every beginning of every bucket."""
+    n = len(longest)
+    count = [0, *itertools.accumulate(rows)]
+    best = [0] + [longest[j] * count[j + 1] for j in range(n)]
+    for _ in range(1, min(buckets, n)):
+        best = [0] + [min(best[i] + longest[j] * (count[j + 1] - count[i]) for i in range(j + 1))
+                      for j in range(n)]
+    return best[n] - sum(a * b for a, b in zip(longest, rows))
+
+
+@pytest.mark.parametrize("n,buckets", [(1, 3), (2, 2), (40, 7), (150, 16), (333, 2)])
+def test_bounds_of_many_lengths(n, buckets):
+    rnd = random.Random(n)
+    longest = sorted(rnd.sample(range(20_000), n))
+    rows = [rnd.choice([1, 1, 2, 1000]) for _ in range(n)]
+    got = packing.best_bounds(longest, rows, buckets)
+    padding = sum(r * (min(b for b in got if b >= x) - x) for x, r in zip(longest, rows))
+    assert padding == plain_bounds(longest, rows, buckets) and len(got) <= buckets
+
+
+def test_padding_is_the_least(table):
+    """Of a whole table, with lengths far above five hundred tokens, and with a count of one's own."""
+    rnd = random.Random(5)
+    sizes = [int(600 * rnd.random() ** 3 * 5) for _ in range(120)]
+    docs = table(["w " * n for n in sizes]).withColumn("own", F.length("text"))
+    for tokens, each in ((None, 1), (F.col("own"), 2)):
+        got = packing.pack(docs, 5, tokens=tokens).collect()
+        count = sorted(Counter(each * n for n in sizes).items())
+        assert sum(r.padding for r in got) == plain_bounds([x for x, _ in count], [c for _, c in count], 5)
+
+
 def test_pack(awkward, sf_docs, table):
     for df, budget in ((awkward, 64), (sf_docs, 2048)):
         got = packing.pack(df, 4, budget).collect()
