@@ -168,22 +168,21 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     first; rows that repeat both id and text count as one document and are treated alike; an empty
     table gives no rows.
     """
-    mark = F.hash(F.col(text_col))
-    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"),
-                      mark.alias("mark"))
-    told = repeated_runs(own).select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"),
-                                     F.struct("gone", "later").alias("_runs"))
-    joined = docs.join(told, docs[id_col].eqNullSafe(F.col("_id")) & (mark == F.col("_mark")),
-                       "left").drop("_id", "_mark")
-    packed = joined.withColumn("_cut", F.struct(F.col(text_col).alias("text"), "_runs")) \
-        .drop(text_col, "_runs")
+    # other columns travel as one struct, so they cannot clash
+    others = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
+    rows = docs.select(F.struct(*(others or [F.lit(0)])).alias("row"),
+                       F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"),
+                       F.xxhash64(text_col).alias("mark"))
+    told = repeated_runs(rows.select("doc_id", "text", "mark")).select(
+        F.col("doc_id").alias("id"), F.col("mark").alias("same"), F.struct("gone", "later").alias("runs"))
+    joined = rows.join(told, rows["doc_id"].eqNullSafe(told["id"]) & (rows["mark"] == told["same"]), "left")
 
     def cutter():
         h = Hasher()
 
         def cut(x):
             text = x["text"]
-            spans = spans_of(text, **x["_runs"], h=h) if x["_runs"] else []
+            spans = spans_of(text, **x["runs"], h=h) if x["runs"] else []
             if not spans:
                 return text, ""
             edges = [0, *(p for s in spans for p in s), len(text)]
@@ -191,5 +190,8 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             return "\n".join(k for k in kept if k), ",".join(f"{s}:{e}" for s, e in spans)
         return cut
 
-    done = compute(packed, "_cut", f"`{text_col}` string, removed_spans string", cutter)
-    return done.select(*docs.columns, "removed_spans")
+    done = compute(joined.select("row", F.struct("text", "runs").alias("cut")), "cut",
+                   "text string, spans string", cutter)
+    out = [F.col("text").alias(c) if c == text_col else F.col("row").getField(c).alias(c)
+           for c in docs.columns if c != "removed_spans"]
+    return done.select(*out, F.col("spans").alias("removed_spans"))

@@ -117,3 +117,12 @@ def test_awkward(awkward, table):
     assert D.dedup_substrings(table([])).count() == 0
     odd = awkward.withColumn("hash", F.lit(1)).withColumn("start", F.lit(2)).withColumn("mark", F.lit(3))
     assert D.dedup_substrings(odd).columns == [*odd.columns, "removed_spans"]
+
+
+def test_clashing_columns(awkward):
+    want = sorted(map(str, D.dedup_substrings(awkward).collect()))
+    names = ["_id", "_mark", "_cut", "_runs", "removed_spans", "row", "cut", "runs", "spans", "id", "same", "col1"]
+    odd = D.dedup_substrings(awkward.withColumns({c: F.lit(7) for c in names}))
+    assert odd.columns == [*awkward.columns, *[c for c in names if c != "removed_spans"], "removed_spans"]
+    assert all(r[c] == 7 for r in odd.collect() for c in names if c != "removed_spans")
+    assert sorted(map(str, odd.select(*awkward.columns, "removed_spans").collect())) == want
