@@ -206,7 +206,7 @@ def _surroundings(docs: DataFrame, packed: DataFrame, length: int) -> DataFrame:
     joined = packed.join(by_doc, packed["doc_id"].eqNullSafe(F.col("_id"))
                          & (packed["mark"] == F.col("_mark"))).select("doc_id", "mark", "packed", "runs")
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    ddl = (f"key long, digest binary, text binary, doc_id {id_type}, mark int, first int, "
+    ddl = (f"key long, digest binary, text binary, doc_id {id_type}, mark long, first int, "
            "twice boolean")
     target = _arrow(ddl)
 
@@ -321,7 +321,9 @@ def repeated_spans(docs: DataFrame, packed: DataFrame, length: int) -> DataFrame
 
 def dedup_bytes(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
                 text_col: str = "text") -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept), one row per input row; kept: the bytes that stay.
+    """(doc_id, n_bytes, n_removed, n_spans, kept, removed_spans), one row per input row.
+
+    kept: the bytes that stay; removed_spans: start:end of what goes, in bytes, comma-joined.
 
     A byte goes if a string of ``length`` bytes that covers it starts anywhere else too, in another
     row or the same; rows that repeat id and text are other rows. A null text counts as empty and
@@ -329,7 +331,7 @@ def dedup_bytes(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
     rows.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = narrow(docs, id_col, text_col).select("doc_id", text.alias("text"), F.hash(text).alias("mark"))
+    rows = narrow(docs, id_col, text_col).select("doc_id", text.alias("text"), F.xxhash64(text).alias("mark"))
 
     def packer():
         box = zstandard.ZstdCompressor(level=1)
@@ -346,23 +348,28 @@ def dedup_bytes(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
 
         def cut(x):
             raw = box.decompress(x["packed"])
-            kept, at, removed, n = [], 0, 0, 0
+            gone = []  # maximal spans
             for s, e in sorted((s["start"], s["end"]) for s in x["spans"] or []):
-                if s > at or not n:
-                    kept.append(raw[at:s])
-                    n += 1
-                    at = s
-                removed += max(0, e - at)
-                at = max(at, e)
-            kept.append(raw[at:])
-            return len(raw), removed, n, b"".join(kept)
+                if gone and s <= gone[-1][1]:
+                    gone[-1][1] = max(gone[-1][1], e)
+                else:
+                    gone.append([s, e])
+            edges = [0, *(p for span in gone for p in span), len(raw)]
+            kept = b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2]))
+            return (len(raw), len(raw) - len(kept), len(gone), kept,
+                    ",".join(f"{s}:{e}" for s, e in gone))
         return cut
 
     return compute(joined.select("doc_id", F.struct("packed", "spans").alias("x")), "x",
-                   "n_bytes long, n_removed long, n_spans long, kept binary", cutter)
+                   "n_bytes long, n_removed long, n_spans long, kept binary, removed_spans string",
+                   cutter)
 
 
 def dedup_digests(docs: DataFrame) -> DataFrame:
-    """The same with a digest in place of the bytes."""
-    return dedup_bytes(docs).select("doc_id", "n_bytes", "n_removed", "n_spans",
-                                    F.sha2("kept", 256).alias("kept_sha256"))
+    """The same with a digest of the bytes that stay, and these as text.
+
+    A character of which only a part stays shows as the replacement character in ``text``.
+    """
+    return dedup_bytes(docs).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"),
+        "removed_spans", F.make_valid_utf8(F.col("kept").cast("string")).alias("text"))

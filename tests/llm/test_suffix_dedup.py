@@ -1,3 +1,4 @@
+import hashlib
 import random
 from collections import Counter
 
@@ -75,3 +76,17 @@ def test_awkward(awkward, table):
     assert S.dedup_digests(table([])).count() == 0
     odd = awkward.withColumn("key", F.lit(1)).withColumn("mark", F.lit(2)).withColumn("spans", F.lit(3))
     assert S.dedup_digests(odd).count() == awkward.count()
+
+
+def test_spans_and_text_of_the_query(sf_docs):
+    rows = {r.doc_id: r for r in S.dedup_digests(sf_docs).collect()}
+    assert any(r.n_spans > 1 for r in rows.values())
+    for d in sf_docs.collect():
+        r, raw = rows[d.doc_id], (d.text or "").encode()
+        spans = [tuple(map(int, x.split(":"))) for x in r.removed_spans.split(",") if x]
+        assert len(spans) == r.n_spans and sum(e - s for s, e in spans) == r.n_removed
+        assert all(a[1] < b[0] for a, b in zip(spans, spans[1:]))
+        edges = [0, *(p for s in spans for p in s), len(raw)]
+        kept = b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2]))
+        assert hashlib.sha256(kept).hexdigest() == r.kept_sha256
+        assert r.text.replace("\ufffd", "") == kept.decode(errors="replace").replace("\ufffd", "")
