@@ -117,7 +117,7 @@ def copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows; columns that are not named play no part, whatever their names.
     """
     text = ascii_lower(F.coalesce(F.col(text_col), F.lit("")))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.struct(F.lit(0), *carry).alias("carry"),
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.struct(*(carry or [F.lit(0)])).alias("carry"),
                        F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"),
                        F.encode(text, "UTF-8").alias("piece"))
     short = rows.filter(F.col("n_bytes") <= chunk)
@@ -139,7 +139,7 @@ def copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         parts = [_by_text(differ, short, chunks, primes, chunk, own, largest)]
         first = first.join(differ, pair, "left_anti")
     parts.append(first.join(groups, pair))
-    names = first.schema["carry"].dataType.fieldNames()[1:]
+    names = first.schema["carry"].dataType.fieldNames() if carry else []
     out = [p.select("doc_id", F.col("top.doc_id").alias("keep_id"), "group_size",
                     (F.col("_row") == F.col("top._row")).alias("kept"),
                     *[F.col("carry").getField(x).alias(x) for x in names]) for p in parts]
