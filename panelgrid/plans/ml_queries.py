@@ -166,3 +166,82 @@ def score_grid_gaps(v):
         (F.avg("l_quantity") / 7).alias("x"), (F.avg("l_extendedprice") / 999.91).alias("y"))
     cells = pin(v.cells(g, "x", "y").withColumn("x", F.when(F.month("time") != 6, F.col("x"))), "cells")
     return ml.score_grid(cells, ml.pipeline(LinearRegression(), ["x"]).fit(cells))
+
+
+# ---- tuning inside the training folds ----------------------------------------------------
+
+_NAMES = ("b4", "b5", "b6", "b7")
+
+
+def _one_feature():
+    return {n: (LinearRegression(), [n]) for n in _NAMES}
+
+
+def _tuning_ctes(k: int, inner_k: int) -> dict[str, str]:
+    """Two rounds of halving over four one-feature lines, for every outer fold."""
+    inner = {}
+    for f in range(k):
+        inner |= _fold_ctes(f"SELECT * FROM ({_ALL}) WHERE grp IN (SELECT site FROM folds WHERE fold <> {f})",
+                            26, inner_k, f"inner{f}")
+    values = " UNION ALL ".join(f"SELECT site, date, gt, '{n}' AS name, {n} AS x FROM site_features"
+                                for n in _NAMES)
+    out = {
+        **_fold_ctes(_ALL, 26, k), **inner, "vals": values,
+        "inner_rows": "SELECT v.*, f, i.fold AS part, draw FROM vals v JOIN ("
+                      + " UNION ALL ".join(f"SELECT {f} AS f, * FROM inner{f}" for f in range(k))
+                      + """) i USING (site) JOIN (SELECT DISTINCT site, (CAST('0x' || substr(md5('26|' || site),
+                        1, 13) AS BIGINT) + 0.5) / 4503599627370496.0 AS draw FROM site_features) USING (site)""",
+        "alive1": "SELECT DISTINCT f, name FROM inner_rows"}
+    for n, (share, keep) in enumerate(((0.5, 2), (1.0, 1)), 1):
+        out |= {
+            f"rows{n}": f"SELECT r.* FROM inner_rows r JOIN alive{n} USING (f, name) WHERE draw < {share}",
+            f"fits{n}": f"""SELECT t.f, t.part, x.name, regr_slope(gt, x) AS b, regr_intercept(gt, x) AS a
+                FROM (SELECT DISTINCT f, part FROM rows{n}) t JOIN rows{n} x
+                ON x.f = t.f AND x.part <> t.part GROUP BY ALL""",
+            f"scores{n}": f"""SELECT *, row_number() OVER (PARTITION BY f ORDER BY rmse, name) <= {keep} AS kept
+                FROM (SELECT f, name, {share} AS share, sqrt(avg((gt - a - b * x) ** 2)) AS rmse
+                      FROM rows{n} JOIN fits{n} USING (f, part, name) GROUP BY f, name)""",
+            f"alive{n + 1}": f"SELECT f, name FROM scores{n} WHERE kept"}
+    return out
+
+
+@query("nested_cv", sql("site_features", f"""
+    SELECT {i('v.site', 'site')}, {d('v.date', 'date')}, {i('o.fold', 'fold')}, {r('gt', 'y')},
+           {r('a + b * x', 'y_pred')}, v.name AS model
+    FROM vals v JOIN folds o ON v.site = o.site JOIN best w ON w.f = o.fold AND w.name = v.name""", {
+    **_tuning_ctes(3, 3),
+    "best": """SELECT f, v.name, regr_slope(gt, x) AS b, regr_intercept(gt, x) AS a
+               FROM alive3 JOIN vals v USING (name) JOIN folds o ON v.site = o.site AND o.fold <> f
+               GROUP BY f, v.name"""}))
+def nested_cv(v):
+    """Each outer fold is predicted by the line that won on inner folds of the other sites."""
+    return ml.nested_cv(v.site_features, _one_feature(), list(_NAMES), k=3, inner_k=3)[0]
+
+
+@query("nested_cv_scores", sql("site_features", f"""
+    SELECT {i('f', 'fold')}, {r('share', 'share')}, name AS model, {r('rmse', 'rmse')}, {i('kept', 'kept')}
+    FROM (SELECT * FROM scores1 UNION ALL SELECT * FROM scores2)""", _tuning_ctes(3, 3)))
+def nested_cv_scores(v):
+    """Every score of the tuning, and who went on."""
+    return ml.nested_cv(v.site_features, _one_feature(), list(_NAMES), k=3, inner_k=3)[1]
+
+
+@query("leaderboard_lines", sql("site_features", f"""
+    SELECT name AS model, {r('1 - sum((gt - p) ** 2) / sum((gt - m) ** 2)', 'r2')},
+           {r('sqrt(avg((gt - p) ** 2))', 'rmse')}
+    FROM (SELECT *, avg(gt) OVER (PARTITION BY name) AS m, a + b * x AS p
+          FROM rows JOIN fit USING (fold, name)) GROUP BY name""", {
+    **_fold_ctes(_ALL, 26, 5),
+    "rows": " UNION ALL ".join(f"SELECT fold, gt, '{n}' AS name, {n} AS x FROM site_features s "
+                               "JOIN folds f ON s.site = f.site" for n in _NAMES),
+    "fit": """SELECT t.fold, name, regr_slope(gt, x) AS b, regr_intercept(gt, x) AS a
+              FROM (SELECT DISTINCT fold FROM rows) t JOIN rows x ON x.fold <> t.fold GROUP BY ALL"""}))
+def leaderboard_lines(v):
+    return ml.leaderboard(v.site_features, list(_NAMES), candidates=_one_feature(), stack=False)[0]
+
+
+@query("stack_layers")
+def stack_layers(v):
+    """Two layers over two bags; a test compares such a stack with least squares done by hand."""
+    pool = {"wide": LinearRegression(), "narrow": (LinearRegression(), ["b4"])}
+    return ml.stack_layers(v.site_features, pool, list(_NAMES), layers=2, bags=2, k=2, outer_k=2)

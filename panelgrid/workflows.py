@@ -11,6 +11,7 @@ import os
 import time
 from collections.abc import Mapping, Sequence
 
+from pyspark.ml import PipelineModel
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,7 +55,8 @@ def model_table(df: DataFrame, config: ExperimentConfig, target: str,
                 classes: Sequence[str] | None = None) -> tuple[DataFrame, list[str]]:
     """Feature table of an experiment and the names of its features.
 
-    Gaps are filled within sites for the forest, which cannot take missing values.
+    For the forest, gaps are filled within sites first, as the study does; what is still missing is
+    filled by the model.
     """
     names = VARIABLE_SETS[config.variable_set]
     strat = f"target_{CLASS_COLUMN}" if CLASS_COLUMN in names else CLASS_COLUMN
@@ -78,23 +80,38 @@ def _tuned(config: ExperimentConfig, cols: Sequence[str], seed: int):
     return make
 
 
+def fit_configured(train: DataFrame, config: ExperimentConfig, cols: Sequence[str],
+                   seed: int) -> PipelineModel:
+    """The configured model, tuned and fitted on training rows alone.
+
+    ``train`` has site, strat, y and the features. Forests are searched, a leaderboard keeps its best
+    candidate by successive halving, a stack weighs all candidates; inner folds are grouped by site.
+    """
+    p = config.model_params
+    if config.model == "random_forest":
+        return ml.pipeline(_tuned(config, cols, seed)(train), cols).fit(train)
+    pool = ml.candidate_pool(p.get("candidates", 12), seed)
+    if config.model == "stacked":
+        return ml.fit_stack(train, pool, cols, p.get("layers", 1), config.n_folds_tuning,
+                            p.get("bags", 1), seed)
+    best, _ = ml.tune(train, pool, cols, config.n_folds_tuning, seed)
+    return ml.pipeline(pool[best], cols).fit(train)
+
+
 def run_cv(spark: SparkSession, df: DataFrame, config: ExperimentConfig, root: str, job: str,
            rep: int = 0, target: str = "GPP_NT_CUT_REF") -> str:
-    """Cross-validate one repetition and save predictions, folds and the run; returns its id."""
+    """Cross-validate one repetition and save predictions, folds and the run; returns its id.
+
+    Whatever the model, it is tuned inside the training sites of each fold; the sites of the fold
+    only ever get predicted.
+    """
     started, t0 = dt.datetime.now(), time.time()
     seed = config.seed(rep)
     exp_id = experiments.experiment_id(job, str(rep), now=started)
     table, cols = model_table(df, config, target)
     table = pin(table, "features")
-    if config.model == "random_forest":
-        p = ml.cv_predictions(table, _tuned(config, cols, seed), cols, target, "strat_class",
-                              config.n_folds_cv, seed)
-    else:
-        board, oof = ml.leaderboard(table, cols, target, "strat_class", config.n_folds_cv, seed,
-                                    ml.candidate_pool(config.model_params.get("candidates", 12), seed),
-                                    stack=config.model == "stacked")
-        best = board.orderBy("rmse", "model").first()["model"]
-        p = oof.where(F.col("model") == best)
+    p = ml.cv_of(table, lambda train: fit_configured(train, config, cols, seed), cols, target,
+                 "strat_class", config.n_folds_cv, seed, config.model)
     p = p.withColumns({"exp_id": F.lit(exp_id), "rep": F.lit(rep)})
     folds = p.select("exp_id", "rep", "fold", "site", F.lit("test").alias("role")).distinct()
     experiments.save_experiment(root, p, folds, table.withColumn("exp_id", F.lit(exp_id)))
@@ -104,19 +121,14 @@ def run_cv(spark: SparkSession, df: DataFrame, config: ExperimentConfig, root: s
 
 def run_bootstrap(spark: SparkSession, df: DataFrame, config: ExperimentConfig, root: str,
                   job: str, rep: int = 0, target: str = "GPP_NT_CUT_REF") -> str:
-    """Fit one bootstrap model on the sites in the bag; save it and its out-of-bag predictions."""
+    """Fit the configured model on the sites in the bag; save it and its out-of-bag predictions."""
     started, t0 = dt.datetime.now(), time.time()
     exp_id = experiments.experiment_id(job, str(rep), now=started)
     table, cols = model_table(df, config, target)
     rows = ml.training_table(table, cols, target, "strat_class")
     roles = split.group_bootstrap(rows, "site", config.bootstrap_size, 1, config.seed(rep))
     rows = pin(rows.join(roles.drop("rep"), "site"), "bootstrap")
-    train = rows.where("role = 'train'")
-    if config.model == "random_forest":
-        est = _tuned(config, cols, config.seed(rep))(train)
-    else:
-        est = RandomForestRegressor(seed=config.seed(rep))
-    model = ml.pipeline(est, cols).fit(train)
+    model = fit_configured(rows.where("role = 'train'").drop("role"), config, cols, config.seed(rep))
     ml.save_model(model, os.path.join(root, "models", exp_id))
     out = model.transform(rows.where("role = 'test'")).select(
         F.lit(exp_id).alias("exp_id"), F.lit(rep).alias("rep"), F.lit(0).alias("fold"), "site",
