@@ -40,6 +40,21 @@ def group_kfold(v):
     return split.group_kfold(_labelled(v), "site", "label", k=5, seed=26)
 
 
+@query("group_kfold_balanced", sql("", f"""
+    SELECT {i('count(DISTINCT l_suppkey)', 'groups')}, {i('count(*)', 'n')}, 5 AS folds, 1 AS smaller_spread
+    FROM lineitem"""))
+def group_kfold_balanced(v):
+    """Every group in one of five folds, and a spread of labels below that of the plain deal."""
+    rows = _labelled(v)
+    plain = split.group_kfold(rows, "site", "label", k=5, seed=26)
+    folds = split.group_kfold_balanced(rows, "site", "label", k=5, seed=26)
+    gain = split.label_spread(rows, plain, "site", "label").scalar() - split.label_spread(
+        rows, folds, "site", "label").scalar()
+    return rows.join(folds, "site").agg(
+        F.countDistinct("site").alias("groups"), F.count(F.lit(1)).alias("n"),
+        F.countDistinct("fold").alias("folds")).withColumn("smaller_spread", gain > 1e-4)
+
+
 @query("fold_roles", sql("", f"""
     SELECT CASE WHEN fold = 2 THEN 'test' ELSE 'train' END AS role, {i('count(*)', 'n')},
            {i('count(DISTINCT site)', 'sites')}

@@ -115,3 +115,39 @@ def test_friedman_ties_and_incomplete_blocks(spark):
     assert got["p_value"] == pytest.approx(np.exp(-got["chi2"] / 2))
     m = {r["treatment"]: r["mean_rank"] for r in stats.mean_ranks(df).collect()}
     assert m == dict(zip("abc", ranks.mean(axis=0)))
+
+
+def greedy_spread(counts, k):
+    """Spread when the most uneven groups are placed first, each where the spread is then least."""
+    totals = counts.sum(0)
+    held = np.zeros((k, counts.shape[1]))
+    for row in counts[np.argsort(-counts.std(1), kind="stable")]:
+        held[min(range(k), key=lambda f: ((held + np.eye(k)[f][:, None] * row) / totals).std(0).mean())] += row
+    return (held / totals).std(0).mean()
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_balanced_folds(spark, monkeypatch, seed):
+    """Labels are spread no worse than by placing group after group; small buckets do, too."""
+    r = np.random.default_rng(seed)
+    counts = r.poisson(r.gamma(0.6, 30, (60, 1)) * r.dirichlet(np.full(5, 0.3), 60))
+    counts[0] = 400, 0, 0, 0, 0
+    rows = [(f"g{i}", "abcde"[j] if j < 4 else None) for i, c in enumerate(counts) for j, n in enumerate(c)
+            for _ in range(n)]
+    df = spark.createDataFrame(rows, "g string, label string")
+    there = {f"g{i}" for i, c in enumerate(counts) if c.sum()}
+    spreads = []
+    for partners in (64, 8):
+        monkeypatch.setattr(split, "PARTNERS", partners)
+        folds = split.group_kfold_balanced(df, "g", "label", 4, seed, rounds=25 if partners > 9 else 5)
+        got = folds.collect()
+        assert sorted(x.g for x in got) == sorted(there) and {x.fold for x in got} == {0, 1, 2, 3}
+        spreads.append(split.label_spread(df, folds, "g", "label").first()[0])
+    plain = split.label_spread(df, split.group_kfold(df, "g", "label", 4, seed), "g", "label").first()[0]
+    assert spreads[0] <= greedy_spread(counts, 4) + 1e-12 and spreads[1] < plain
+
+
+def test_balanced_folds_of_few_groups(spark):
+    df = spark.createDataFrame([("a", "x"), ("b", None), (None, "x")], "g string, label string")
+    assert sorted(x.g for x in split.group_kfold_balanced(df, "g", "label", 3).collect()) == ["a", "b"]
+    assert split.group_kfold_balanced(df.limit(0), "g", "label", 3).count() == 0
