@@ -9,10 +9,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelgrid.functions.columns import round_coord, wrap_lon
-from panelgrid.operators.grouping import join_reduced
+from panelgrid.operators.grouping import join_reduced, known_neighbours
 from panelgrid.session import pin
 
 CELL = ("lat", "lon")
+# Coordinates of a band of so many degrees are sorted together.
+BAND = 1.0
 
 
 def rounded(df: DataFrame, decimals: int = 3, cell: Sequence[str] = CELL) -> DataFrame:
@@ -29,13 +31,19 @@ def grid_stride(df: DataFrame, step: int = 5, cell: Sequence[str] = CELL,
                 cells: DataFrame | None = None) -> DataFrame:
     """Every ``step``-th value of each sorted axis.
 
-    Only the axis tables (distinct coordinates, at most 360,000 at three decimals) are numbered.
-    They are taken from ``cells``, the table of grid cells, or else from the data.
+    Only the distinct coordinates of the axes are numbered, band by band: those of a band by themselves,
+    the bands by how many coordinates lie below. They are taken from ``cells``, the table of grid cells,
+    or else from the data, which are then read once more.
     """
     axes = df if cells is None else cells
+    values = pin(axes.select(*cell).distinct(), "axes") if cells is None else axes
     for c in cell:
-        nth = F.row_number().over(Window.orderBy(c)) - 1
-        keep = axes.select(c).distinct().withColumn("_i", nth).where(F.col("_i") % step == 0)
+        axis = values.select(c).distinct().withColumn("_band", F.floor(F.col(c) / BAND))
+        below = F.sum("_n").over(Window.orderBy("_band").rowsBetween(Window.unboundedPreceding, -1))
+        bands = axis.groupBy("_band").agg(F.count(F.lit(1)).alias("_n")).select(
+            "_band", F.coalesce(below, F.lit(0)).alias("_below"))
+        nth = F.col("_below") + F.row_number().over(Window.partitionBy("_band").orderBy(c)) - 1
+        keep = axis.join(bands, "_band").withColumn("_i", nth).where(F.col("_i") % step == 0)
         df = join_reduced(df, keep.select(c), [c], "left_semi")
     return df
 
@@ -45,8 +53,8 @@ def snap_axis(targets: DataFrame, sources: DataFrame, axis: str, outside: str =
     """Nearest source coordinate of each target coordinate on one axis.
 
     Both axes are merged in order and each target looks at the source before and after it, so
-    no pairs are formed. Only distinct coordinates of one axis meet in the window: a grid axis of
-    three decimals has at most 360,000. Ties go to the larger coordinate. Outside the source
+    no pairs are formed. Only coordinates of one band meet in a window, the nearest ones of other bands
+    are carried over (``known_neighbours``). Ties go to the larger coordinate. Outside the source
     range ``clamp`` takes the edge and ``null`` gives NULL. ``period`` (360 for longitudes)
     repeats the source axis on both sides.
     """
@@ -60,10 +68,8 @@ def snap_axis(targets: DataFrame, sources: DataFrame, axis: str, outside: str =
                            F.lit(0).alias("_t"))
               .unionByName(t.select("_p", F.lit(1).alias("_t")), allowMissingColumns=True)
               .groupBy("_p").agg(F.max("_s").alias("_s"), F.max("_t").alias("_t")))
-    w = Window.orderBy("_p")
-    lo = F.last("_s", True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    hi = F.first("_s", True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    n = points.select("_p", "_t", lo.alias("_lo"), hi.alias("_hi"))
+    n = known_neighbours(points, ["_s"], ["_p"], F.floor(F.col("_p") / BAND)).select(
+        "_p", "_t", F.col("prev__s").alias("_lo"), F.col("next__s").alias("_hi"))
     lo, hi = F.col("_lo"), F.col("_hi")
     nearer = F.when((F.col("_p") - lo["p"]) < (hi["p"] - F.col("_p")), lo["v"]).otherwise(hi["v"])
     one_sided = F.coalesce(lo["v"], hi["v"]) if outside == "clamp" else F.lit(None).cast("double")
@@ -80,11 +86,12 @@ def nearest_snap(targets: DataFrame, source: DataFrame, values: Sequence[str],
 
     Nearest is taken per axis, so two small axis tables replace a cell-by-cell distance join.
     ``on`` lists further equal keys such as time. ``cells`` and ``source_cells`` name the cells
-    of the two grids where they are known; otherwise both axes are read from the data.
+    of the two grids where they are known; otherwise each table is read once more for its cells.
     """
     lat, lon = cell
-    t = targets if cells is None else cells
-    s = source if source_cells is None else source_cells
+    # both axes come from one pass over each table
+    t = pin(targets.select(*cell).distinct(), "cells") if cells is None else cells
+    s = pin(source.select(*cell).distinct(), "cells") if source_cells is None else source_cells
     lat_map = snap_axis(t, s, lat, outside)
     lon_map = snap_axis(t, s, lon, outside, period=360.0 if wrap else None)
     # both small maps in one pinned table

@@ -47,13 +47,15 @@ def area_sample_with_replacement(cells: DataFrame, n: int, seed: int = 0, lat: s
 
 
 def at_locations(locations: DataFrame, product: DataFrame, value: str = "v",
-                 wrap: bool = False) -> DataFrame:
+                 wrap: bool = False, cells: DataFrame | None = None) -> DataFrame:
     """Rows of the nearest product cell at each location: loc, time, value.
 
-    The product is cut down to the wanted cells by an equi-join on its own coordinates.
+    The product is cut down to the wanted cells by an equi-join on its own coordinates. ``cells`` is the
+    table of its cells; without it they are read from the product, once for both axes.
     """
-    lat_map = snap_axis(locations, product, "lat", "clamp", "_slat")
-    lon_map = snap_axis(locations, product, "lon", "clamp", "_slon", 360.0 if wrap else None)
+    cells = pin(product.select("lat", "lon").distinct(), "cells") if cells is None else cells
+    lat_map = snap_axis(locations, cells, "lat", "clamp", "_slat")
+    lon_map = snap_axis(locations, cells, "lon", "clamp", "_slon", 360.0 if wrap else None)
     located = (locations.join(lat_map, "lat").join(lon_map, "lon")
                .select("loc", F.col("_slat").alias("lat"), F.col("_slon").alias("lon")))
     cut = join_reduced(product.select("lat", "lon", "time", value), located, ["lat", "lon"],
@@ -62,12 +64,13 @@ def at_locations(locations: DataFrame, product: DataFrame, value: str = "v",
 
 
 def compare_at_locations(locations: DataFrame, products: Mapping[str, DataFrame],
-                         value: str = "v", wrap: bool = False) -> DataFrame:
+                         value: str = "v", wrap: bool = False,
+                         cells: Mapping[str, DataFrame] | None = None) -> DataFrame:
     """All products side by side at the sampled locations, any of them possibly missing.
 
     Ensembles may be given with their repetitions; cells are selected first and averaged then,
-    in the one shuffle that lines the products up.
+    in the one shuffle that lines the products up. A product whose cells are given is read once.
     """
-    locations = pin(locations, "locations")
-    series = {n: at_locations(locations, p, value, wrap) for n, p in products.items()}
+    locations, cells = pin(locations, "locations"), cells or {}
+    series = {n: at_locations(locations, p, value, wrap, cells.get(n)) for n, p in products.items()}
     return merge_grids(series, ["loc", "time"], value)

@@ -39,9 +39,17 @@ def class_share(df: DataFrame, by: str, measures: dict[str, Column]) -> DataFram
             .where(F.col("percent").isNotNull()))
 
 
-def pivot_counts(df: DataFrame, by: Sequence[str], column: str, values: Sequence) -> DataFrame:
-    """Counts per group with one column per listed value, 0 where there is none."""
-    return df.groupBy(*by).pivot(column, list(values)).agg(F.count(F.lit(1))).na.fill(0)
+def pivot_counts(df: DataFrame, by: Sequence[str], column: str, values: Sequence,
+                 others: str | None = None) -> DataFrame:
+    """Counts per group with one column per listed value, 0 where there is none.
+
+    ``others`` names a column for rows of any other value or none, which are not counted without it.
+    """
+    listed = [F.count_if(F.col(column).eqNullSafe(F.lit(v))).alias(str(v)) for v in values]
+    if others:
+        rest = ~F.coalesce(F.col(column).isin(list(values)), F.lit(False))
+        listed.append(F.count_if(rest).alias(others))
+    return df.groupBy(*by).agg(*listed)
 
 
 def pivot_values(df: DataFrame, by: Sequence[str], column: str, values: Sequence,
@@ -231,3 +239,14 @@ def model_family(name: Column | str, parts: int = 1, sep: str = "_") -> Column:
     """The first parts of a model name, joined by blanks."""
     c = F.col(name) if isinstance(name, str) else name
     return F.array_join(F.slice(F.split(c, sep), 1, parts), " ")
+
+
+def learning_curve(df: DataFrame, score: str = "ensemble_optimization_score", time: str = "ts",
+                   by: Sequence[str] = ("rep", "fold")) -> DataFrame:
+    """Seconds since the search of a fold began, the error then, and the least error so far.
+
+    The score is a negative error. A curve has one row per candidate a single search has tried.
+    """
+    curve = time_since_start(df.where(F.col(time).isNotNull()), time, by).withColumn("error", -F.col(score))
+    w = Window.partitionBy(*by).orderBy("seconds").rangeBetween(Window.unboundedPreceding, 0)
+    return curve.select(*by, "seconds", "error", F.min("error").over(w).alias("best"))

@@ -349,6 +349,54 @@ def product_ranksum(v):
     return stats.ranksum(both, "r2_b", "r2_c", with_p=False)
 
 
+#: The same at ten thousand locations, or all cells if there are fewer, as the study takes them.
+_MANY = {**_SERIES,
+         "inside": _INSIDE.replace("(SELECT DISTINCT lat, lon FROM ens)", "grid_cells"),
+         "drawn": _DRAWN.replace("LIMIT 30", "LIMIT 10000")}
+_MANY_VIEWS = "grid_cells ens veg_mask sea_mask prod_b prod_c"
+
+
+def _merged_many(v):
+    """Products whose cells are known are read once each."""
+    shifted = v.grid_cells.select(F.round(F.col("lat") + 0.9, 3).alias("lat"),
+                                  F.round(F.col("lon") - 1.1, 3).alias("lon"))
+    inside = grid.combine_masks(v.grid_cells, v.sea_mask, v.veg_mask).where("inside")
+    return sample.compare_at_locations(
+        sample.area_sample(inside, 10_000, seed=11),
+        {"a": v.ens, "b": v.prod_b, "c": grid.wrapped(v.prod_c)},
+        cells={"a": v.grid_cells, "b": shifted, "c": v.grid_cells})
+
+
+@query("compare_at_locations_all", sql(_MANY_VIEWS, f"""
+    SELECT {i('loc', 'loc')}, {d('time', 'time')}, {r('a', 'a')}, {r('b', 'b')}, {r('c', 'c')}
+    FROM merged""", _MANY))
+def compare_at_locations_all(v):
+    return _merged_many(v)
+
+
+@query("loc_r2_all", sql(_MANY_VIEWS, f"""
+    SELECT {i('loc', 'loc')}, {r('b.r2', 'r2_b')}, {r('c.r2', 'r2_c')}
+    FROM ({_loc_r2('b')}) b JOIN ({_loc_r2('c')}) c USING (loc)""", _MANY))
+def loc_r2_all(v):
+    return scores.location_r2(_merged_many(v), ["b", "c"], "a")
+
+
+@query("product_ranksum_all", sql(_MANY_VIEWS, f"""
+    SELECT {i('n1', 'n1')}, {i('n2', 'n2')}, {r('s', 'rank_sum')},
+           {r('(s - n1 * (n1 + n2 + 1) / 2) / sqrt(n1 * n2 * (n1 + n2 + 1) / 12)', 'z')}
+    FROM (SELECT CAST(sum(f) AS DOUBLE) AS n1, CAST(sum(1 - f) AS DOUBLE) AS n2,
+                 sum(rk * f) AS s FROM ranked)""", {
+    **_MANY, "rb": _loc_r2("b"), "rc": _loc_r2("c"),
+    "pairs": """SELECT rb.r2 AS x, rc.r2 AS y FROM rb JOIN rc USING (loc)
+                WHERE rb.r2 IS NOT NULL AND rc.r2 IS NOT NULL""",
+    "vals": "SELECT x AS v, 1 AS f FROM pairs UNION ALL SELECT y, 0 FROM pairs",
+    "ranked": """SELECT f, rank() OVER (ORDER BY v) + (count(*) OVER (PARTITION BY v) - 1) / 2.0
+                 AS rk FROM vals"""}))
+def product_ranksum_all(v):
+    both = scores.location_r2(_merged_many(v), ["b", "c"], "a").dropna()
+    return stats.ranksum(both, "r2_b", "r2_c", with_p=False)
+
+
 @query("needed_columns", sql("site_features", f"""
     SELECT {i('site', 'site')}, {d('date', 'date')}, {r('b1', 'b1')}, {r('b2', 'b2')},
            {r('"BESS-PAR"', '"BESS_PAR"')}, {r('lc', '"IGBP"')} FROM site_features"""))

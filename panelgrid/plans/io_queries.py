@@ -160,6 +160,21 @@ def scan_search(v):
                                                         F.min("score").alias("best"))
 
 
+@query("learning_curve", sql("", f"""
+    SELECT {i('rep', 'rep')}, {i('fold', 'fold')}, {r('seconds', 'seconds')}, {r('error', 'error')},
+           {r('min(error) OVER (PARTITION BY rep, fold ORDER BY seconds)', 'best')}
+    FROM (SELECT *, epoch_us(ts) / 1e6 - min(epoch_us(ts) / 1e6) OVER (PARTITION BY rep, fold) AS seconds
+          FROM (SELECT user_id % 7 AS rep, event_id % 5 AS fold, ts, value / 7 AS error FROM events))"""))
+def learning_curve(v):
+    """Learning curves written per repetition and fold, read in one scan, and their best error so far."""
+    path = scratch_path(v.spark, "curves")
+    rows = v.table("events").select(
+        (F.col("user_id") % 7).cast("int").alias("rep"), (F.col("event_id") % 5).cast("int").alias("fold"),
+        F.col("ts").cast("timestamp").alias("ts"), (-F.col("value") / 7).alias("ensemble_optimization_score"))
+    tables.write_partitioned(rows, path, ["rep", "fold"])
+    return summarize.learning_curve(v.spark.read.schema(schemas.LEARNING_CURVE).parquet(path))
+
+
 @query("class_error_table", sql("ens land_cover class_map", f"""
     SELECT merged AS key, {r('stddev_pop(v) / nullif(sqrt(count(v)) * abs(avg(v)), 0)', 'value')}
     FROM ens JOIN land_cover USING (lat, lon, time) JOIN class_map USING (code)

@@ -8,6 +8,7 @@ from panelgrid.functions.constants import CLASS_AREA, NEMENYI_Q05
 from panelgrid.operators import maps, split, stats, summarize
 from panelgrid.plans.registry import d, i, query, r
 from panelgrid.plans.views import sql
+from panelgrid.session import pin
 
 # ---- folds and bootstraps ----------------------------------------------------------------
 
@@ -377,6 +378,14 @@ def pivot_counts(v):
                                   ["Success", "Timeout", "Crash"])
 
 
+@query("pivot_counts_others", sql("search", f"""
+    SELECT algorithm, {i("count(*) FILTER (status = 'Success')", '"Success"')},
+           {i("count(*) FILTER (status <> 'Success')", '"not"')} FROM search GROUP BY algorithm"""))
+def pivot_counts_others(v):
+    """Statuses that are not listed are counted, too."""
+    return summarize.pivot_counts(v.search, ["algorithm"], "status", ["Success"], others="not")
+
+
 @query("melt_predictions", sql("site_month_gaps", f"""
     SELECT {r('gt', 'gt')}, variable, {r('value', 'value')} FROM (
         SELECT gt, 'pred' AS variable, pred AS value FROM site_month_gaps
@@ -495,3 +504,40 @@ def time_since_start(v):
 def pivot_reps(v):
     return summarize.pivot_values(v.site_month_rep, ["site", "date"], "rep", list(range(1, 8)),
                                   "pred")
+
+
+# ---- all metrics of a benchmark over a subset of treatments ------------------------------
+
+_METRICS = {"mean": "avg", "least": "min", "greatest": "max", "middle": "median", "spread": "stddev_samp"}
+_THREE = ("1-URGENT", "3-MEDIUM", "5-LOW")
+_LONG = " UNION ALL ".join(
+    f"""SELECT '{name}' AS name, last_day(CAST(o_orderdate AS DATE)) AS block, o_orderpriority AS treatment,
+        {fn}(o_totalprice) / 999.91 AS metric FROM orders
+        WHERE o_orderpriority IN {_THREE} GROUP BY ALL""" for name, fn in _METRICS.items())
+
+
+@query("benchmark_tests", sql("", f"""
+    SELECT name AS metric, {i('3', 'treatments')}, {i('n', 'blocks')}, {r('x', 'chi2')},
+           {r('2.343701 * sqrt(12 / (6.0 * n))', 'critical_difference')}, {r('exp(-x / 2)', 'p_value')}
+    FROM (SELECT name, n, (12.0 * n / 12 * (rr - 12)) / (1 - coalesce(ties, 0) / (n * 24.0)) AS x FROM s)""", {
+    "long": _LONG,
+    "complete": """SELECT * FROM long WHERE metric IS NOT NULL AND (name, block) IN (
+        SELECT (name, block) FROM long WHERE metric IS NOT NULL GROUP BY name, block HAVING count(*) = 3)""",
+    "ranked": """SELECT *, rank() OVER (PARTITION BY name, block ORDER BY metric DESC)
+        + (count(*) OVER (PARTITION BY name, block, metric) - 1) / 2.0 AS rank,
+        count(*) OVER (PARTITION BY name, block, metric) AS t FROM complete""",
+    "s": """SELECT a.name, count(*) AS k, max(n) AS n, sum(mr ** 2) AS rr, max(ties) AS ties FROM (
+        SELECT name, treatment, avg(rank) AS mr, count(*) AS n FROM ranked GROUP BY ALL) a
+        JOIN (SELECT name, sum((t ** 3 - t) / t) AS ties FROM ranked GROUP BY name) b USING (name) GROUP BY a.name"""}))
+def benchmark_tests(v):
+    """Friedman's test of every metric over a subset of the treatments."""
+    from functools import reduce
+
+    from pyspark.sql import DataFrame
+    spark_fns = {"avg": F.avg, "min": F.min, "max": F.max, "median": F.median, "stddev_samp": F.stddev_samp}
+    wide = v.table("orders").where(F.col("o_orderpriority").isin(list(_THREE))).groupBy(
+        F.last_day(F.to_date("o_orderdate")).alias("block"), F.col("o_orderpriority").alias("treatment")).agg(
+        *[(spark_fns[fn]("o_totalprice") / 999.91).alias(name) for name, fn in _METRICS.items()])
+    wide = pin(wide, "metrics")
+    parts = [stats.friedman(wide, metric=name).select(F.lit(name).alias("metric"), "*") for name in _METRICS]
+    return reduce(DataFrame.unionByName, parts)

@@ -103,6 +103,12 @@ class Views:
         lat, lon = self.lat_lon("site")
         return df.select(lat.alias("lat"), lon.alias("lon"), F.col("date").alias("time"), *columns)
 
+    @cached_property
+    def grid_cells(self) -> DataFrame:
+        """The cells of the grid, one per supplier."""
+        lat, lon = self.lat_lon("s_suppkey")
+        return self.table("supplier").select(lat.alias("lat"), lon.alias("lon"))
+
     @cached_property
     def ens(self) -> DataFrame:
         v = self.lines.groupBy("site", "date", "rep").agg((F.avg("l_quantity") / 7).alias("v"))
@@ -232,6 +238,8 @@ CTES = {
         SELECT site, date, CASE WHEN l_quantity > 2 THEN l_extendedprice / 999.91 END AS flux,
                l_quantity - 5 AS value, 1 - l_discount * 3 AS qc, merged AS class
         FROM lines LEFT JOIN class_map ON l_partkey % 18 = code"""),
+    "grid_cells": ((), f"""
+        SELECT {_LAT.format(k='s_suppkey')} AS lat, {_LON.format(k='s_suppkey')} AS lon FROM supplier"""),
     "ens": (("lines",), f"""
         SELECT {_LAT.format(k='site')} AS lat, {_LON.format(k='site')} AS lon, date AS time, rep,
                avg(l_quantity) / 7 AS v FROM lines GROUP BY ALL"""),

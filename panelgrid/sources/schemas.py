@@ -24,3 +24,5 @@ RUNS = _struct(("exp_id", _S), ("rep", _I), ("started", T.TimestampType()), ("se
                ("params", _S))
 SEARCH = _struct(("rep", _I), ("fold", _I), ("algorithm", _S), ("preprocessor", _S),
                  ("score", _D), ("status", _S))
+LEARNING_CURVE = _struct(("rep", _I), ("fold", _I), ("ts", T.TimestampType()),
+                         ("ensemble_optimization_score", _D))
