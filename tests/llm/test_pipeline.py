@@ -71,3 +71,21 @@ def test_awkward_rows_pass_through(spark, awkward):
     assert C.jaccard_join(spark, docs, SF).count() == 10
     for _, f in C.STAGES:
         assert f(spark, docs.limit(0), SF).count() == 0
+
+
+def test_awkward_rows_in_the_first_and_last_stage(spark, awkward):
+    """Long enough texts that are null, tied, repeated or of repeated id among the others."""
+    good = "the quick brown fox jumps over the lazy dog and runs far away from here to see %s more of it all day"
+    docs = awkward.unionByName(spark.createDataFrame(
+        [(50, good % "some", "en", "s", 1), (50, good % "some", "en", "s", 1), (None, good % "none", "en", "s", 1),
+         (51, good % "much", "en", "s", 1)], awkward.schema))
+    names = ["row", "at", "kept", "score", "name", "bucket", "first", "copies", "n_tokens", "batch", "slot"]
+    odd = docs.withColumns({c: F.lit(1) for c in names})
+    kept = C.quality_rules(spark, odd, SF)
+    assert kept.columns == odd.columns
+    assert not [r for r in kept.collect() if base(r.text)[-1]]
+    packed = C.packing(spark, odd, SF).collect()
+    assert sorted(map(str, (r.doc_id for r in packed))) == sorted(map(str, (r.doc_id for r in docs.collect())))
+    places = [(r.bucket, r.batch, r.position) for r in packed]
+    assert len(set(places)) == len(places)
+    assert sum(r.n_tokens == 0 for r in packed) == sum(not (r.text or "").split() for r in docs.collect())
