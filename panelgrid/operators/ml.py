@@ -26,7 +26,6 @@ from panelgrid.functions.columns import ratio, recode, sanitize, uniform
 from panelgrid.functions.constants import PIXEL_CODE_TO_CLASS, UNSCORED_CLASSES
 from panelgrid.operators import split
 from panelgrid.operators.features import one_hot
-from panelgrid.operators.grouping import join_reduced
 from panelgrid.operators.scores import r2, rmse
 from panelgrid.session import pin
 
@@ -345,19 +344,24 @@ def stack_layers(df: DataFrame, candidates: Candidates, features: Sequence[str],
 
 def bootstrap_predictions(df: DataFrame, estimator: Estimator, features: Sequence[str],
                           y: str = "gt", size: float = 0.8, reps: Sequence[int] = (0,),
-                          base_seed: int = 26) -> DataFrame:
-    """Fit on the sites in the bag, predict the others, for each repetition."""
+                          base_seed: int = 26, parallelism: int = 8) -> DataFrame:
+    """Fit on the sites in the bag, predict the others, for each repetition.
+
+    The rows are stored once; each repetition joins the roles of its sites to them. Fits run side by
+    side.
+    """
     table = training_table(df, features, y, None)
-    roles = split.group_bootstrap(table, "site", size, max(reps) + 1, base_seed)
-    roles = roles.where(F.col("rep").isin(list(reps)))
-    rows = pin(join_reduced(table, roles, ["site"], "inner"), "bootstrap")
-    parts = []
-    for rep in reps:
-        mine = rows.where(F.col("rep") == rep)
+    roles = pin(split.group_bootstrap(table, "site", size, max(reps) + 1, base_seed)
+                .where(F.col("rep").isin(list(reps))), "roles")
+
+    def one(rep):
+        mine = table.join(roles.where(F.col("rep") == rep), "site")
         model = pipeline(estimator, features).fit(mine.where("role = 'train'"))
-        out = model.transform(mine.where("role = 'test'"))
-        parts.append(out.select("rep", "site", "date", "y", F.col("prediction").alias("y_pred")))
-    return reduce(DataFrame.unionByName, parts)
+        return model.transform(mine.where("role = 'test'")).select(
+            "rep", "site", "date", "y", F.col("prediction").alias("y_pred"))
+
+    with ThreadPool(parallelism) as pool:
+        return reduce(DataFrame.unionByName, pool.map(one, reps, chunksize=1))
 
 
 def leaderboard(df: DataFrame, features: Sequence[str], y: str = "gt", strat: str | None = None,

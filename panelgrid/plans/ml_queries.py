@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from panelgrid.functions.columns import recode
 from panelgrid.functions.constants import CODE_TO_CLASS, SCORED_CLASS_COLUMNS
 from panelgrid.operators import ml
-from panelgrid.plans.registry import d, i, query, r
+from panelgrid.plans.registry import ORACLE, d, i, query, r
 from panelgrid.plans.summary_queries import _fold_ctes
 from panelgrid.plans.views import sql
 from panelgrid.session import pin, scratch_path
@@ -60,6 +60,12 @@ def bootstrap_predictions(v):
     return ml.bootstrap_predictions(v.site_features, LinearRegression(), ["b4"], reps=(0, 1, 2))
 
 
+@query("bootstrap_predictions_all", ORACLE["bootstrap_predictions"].replace("range(3)", "range(30)"))
+def bootstrap_predictions_all(v):
+    """All thirty repetitions, as the study makes them."""
+    return ml.bootstrap_predictions(v.site_features, LinearRegression(), ["b4"], reps=range(30))
+
+
 _GRID = """SELECT lat, lon, time, avg(l_quantity) / 7 AS x, avg(l_extendedprice) / 999.91 AS y FROM (
     SELECT round(CAST(-47.5 + 5.0 * (site % 20) AS DOUBLE), 3) AS lat,
            round(CAST(-180.0 + 7.2 * floor(site / 20.0) AS DOUBLE), 3) AS lon, date AS time,

@@ -95,11 +95,8 @@ def resolution_total(v, every=False):
     **_TWO, "m": """SELECT site, month(date) AS month, avg(gt) AS gt, avg(coarse) AS coarse,
                     avg(fine) AS fine FROM y GROUP BY ALL"""}))
 def resolution_msc(v, every=False):
-    y = _two(v, every)
-    m = None
-    for c in ("gt", "coarse", "fine"):
-        s = panel.msc(y, c).withColumnRenamed("msc", c)
-        m = s if m is None else clean.align_outer(m, s, ["site", "month"])
+    m = _two(v, every).groupBy("site", F.month("date").alias("month")).agg(
+        *[F.avg(c).alias(c) for c in ("gt", "coarse", "fine")])
     return summarize.melt(m, ["site", "month", "gt"], ["coarse", "fine"], "resolution")
 
 
