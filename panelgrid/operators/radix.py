@@ -30,13 +30,14 @@ def double_key(c: ColumnLike) -> Column:
     x = col(c).cast("double")
     size = F.abs(x)
     # powers of two are exact, so scaling to [1, 2) loses no bit; the logarithm may be off by one
-    guess = F.least(F.greatest(F.log2(size), F.lit(-1022.0)), F.lit(1023.0))
-    e = F.floor(guess).cast("int")
-    e = F.when(_scaled(size, e) >= 2, e + 1).when(_scaled(size, e) < 1, e - 1).otherwise(e)
+    e = F.floor(F.least(F.greatest(F.log2(size), F.lit(-1022.0)), F.lit(1023.0))).cast("int")
+    part = _scaled(size, e)
+    more = F.when(part >= 2, F.lit(1)).when(part < 1, F.lit(-1)).otherwise(F.lit(0))
+    part = F.when(part >= 2, part / 2).when(part < 1, part * 2).otherwise(part)
     # below 2**-1022 doubles are evenly spaced
     tiny = (size * F.lit(2.0 ** 537) * F.lit(2.0 ** 537)).cast("long")
-    normal = F.shiftleft((e + 1023).cast("long"), 52) + (
-        (_scaled(size, e) - 1) * F.lit(2.0 ** 52)).cast("long")
+    normal = F.shiftleft((e + more + 1023).cast("long"), 52) + (
+        (part - 1) * F.lit(2.0 ** 52)).cast("long")
     bits = (F.when(size == float("inf"), F.lit(2047 << 52))
             .when(size < 2.0 ** -1022, tiny).otherwise(normal))
     return F.when(F.isnan(x) | x.isNull(), F.lit(None)).otherwise(F.when(x < 0, -bits).otherwise(bits))
@@ -113,7 +114,7 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float],
 
     def at(e):
         hit = (e >= F.col("before")) & (e < F.col("before") + F.col("cnt"))
-        return F.max(F.when(hit, key_double("_parent")))
+        return F.max(F.when(hit, F.col("_parent")))
 
     picked = located.groupBy(*by, F.col("total").alias("n")).agg(*[
         c for i, p in enumerate(probs) for c in (at(F.floor(pos(p))).alias(f"_lo{i}"),
@@ -121,7 +122,7 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float],
 
     def between(i, p):
         h = (F.col("n") - 1) * F.lit(float(p))
-        lo, hi = F.col(f"_lo{i}"), F.col(f"_hi{i}")
+        lo, hi = key_double(f"_lo{i}"), key_double(f"_hi{i}")
         return lo + (hi - lo) * (h - F.floor(h))
 
     return picked.select(*by, "n", *[between(i, p).alias(f"q{i}") for i, p in enumerate(probs)])
