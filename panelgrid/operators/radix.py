@@ -29,26 +29,19 @@ def double_key(c: ColumnLike) -> Column:
     """
     x = col(c).cast("double")
     size = F.abs(x)
-    # powers of two are exact, so scaling to [1, 2) loses no bit; the logarithm may be off by one
-    e = F.floor(F.least(F.greatest(F.log2(size), F.lit(-1022.0)), F.lit(1023.0))).cast("int")
-    part = _scaled(size, e)
-    more = F.when(part >= 2, F.lit(1)).when(part < 1, F.lit(-1)).otherwise(F.lit(0))
-    part = F.when(part >= 2, part / 2).when(part < 1, part * 2).otherwise(part)
+    # powers of two are exact, so scaling to [1, 2) loses no bit
+    e = F.floor(F.least(F.greatest(F.log2(size), F.lit(-1022.0)), F.lit(1023.0)))
+    part = size * F.pow(F.lit(2.0), -e.cast("double"))
+    # the logarithm may be off by one; then a part below 1 or from 2 on lies on the next line
+    more = F.least(part * 2 - 2, part - 1, part / 2) * F.lit(2.0 ** 52)
     # below 2**-1022 doubles are evenly spaced
     tiny = (size * F.lit(2.0 ** 537) * F.lit(2.0 ** 537)).cast("long")
-    normal = F.shiftleft((e + more + 1023).cast("long"), 52) + (
-        (part - 1) * F.lit(2.0 ** 52)).cast("long")
+    normal = F.shiftleft(e.cast("long") + 1023, 52) + more.cast("long")
     bits = (F.when(size == float("inf"), F.lit(2047 << 52))
             .when(size < 2.0 ** -1022, tiny).otherwise(normal))
     return F.when(F.isnan(x) | x.isNull(), F.lit(None)).otherwise(F.when(x < 0, -bits).otherwise(bits))
 
 
-def _scaled(size: Column, e: Column) -> Column:
-    """size / 2**e in two steps, as 2**1023 is the greatest power there is."""
-    half = F.floor(e / 2).cast("double")
-    return size * F.pow(F.lit(2.0), -half) * F.pow(F.lit(2.0), half - e)
-
-
 def key_double(c: ColumnLike) -> Column:
     """The double of a key."""
     bits = F.abs(col(c))
