@@ -61,6 +61,11 @@ def _known(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df
 
 
+def _numbers(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
+    """Rows with all keys and a value that has a place; asked of the value, so its key is built once."""
+    return _known(df, [*by, value]).where(~F.isnan(col(value).cast("double")))
+
+
 def _before(over, count: str) -> Column:
     return F.coalesce(F.sum(count).over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
 
@@ -78,8 +83,7 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float],
     and joins the few prefixes that hold a wanted position, which is a filter by broadcast.
     """
     by = list(by)
-    rows = df.select(*by, double_key(value).alias("_key"))
-    rows = pin(_known(rows, [*by, "_key"]), "keys")
+    rows = pin(_numbers(df, value, by).select(*by, double_key(value).alias("_key")), "keys")
 
     def pos(p):
         return (F.col("total") - 1) * F.lit(float(p))
@@ -131,9 +135,9 @@ def value_positions(df: DataFrame, value: str, by: Sequence[str] = (),
     bits are sorted together unless they are more than CROWDED; then the next bits divide them.
     """
     by = list(by)
-    counted = _known(df, [*by, value]).groupBy(*by, value).agg(
+    counted = _numbers(df, value, by).groupBy(*by, value).agg(
         F.count(F.lit(1)).alias("cnt"), *[c.alias(n) for n, c in counters.items()])
-    rest = pin(_known(counted.withColumn("_key", double_key(value)), ["_key"]), "values").withColumns(
+    rest = pin(counted.withColumn("_key", double_key(value)), "values").withColumns(
         {"_base": F.lit(0).cast("long"), "_parent": F.lit(0).cast("long")})
     out, total, small = [], None, F.col("_values") <= CROWDED
     for bits in _levels():
