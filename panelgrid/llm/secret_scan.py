@@ -1,7 +1,8 @@
 """Secrets in texts and in what is encoded inside them.
 
-A worklist starts with the text. Every layer is scanned; its URL escapes, Unicode escapes, base64
-and compressed parts are decoded into further layers until nothing new appears. A layer carries,
+A worklist starts with the text. Every layer is scanned; its URL escapes, Unicode escapes, base64 (of
+UTF-8, UTF-16 or compressed bytes) and compressed parts, also those whose bytes are escaped one by
+one, are decoded into further layers until nothing new appears. A layer carries,
 for each of its characters, the span of the original text it came from, so that whatever is found
 in it maps back.
 """
@@ -11,6 +12,7 @@ from __future__ import annotations
 import binascii
 import re
 import zlib
+from array import array
 from bisect import bisect_left, bisect_right
 
 from pyspark.sql import DataFrame
@@ -37,7 +39,17 @@ DELIMITER = re.compile(r"[+/_-]+")
 SHOWN = re.compile(rb"[\t\n\r -~]{12,}")
 CLEAN = re.compile(rb"(?:[\t-\r -~]|[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}"
                    rb"|[\xf0-\xf4][\x80-\xbf]{3})+")
+#: ASCII text in UTF-16, either order.
+WIDE = re.compile(rb"(?:[\t\n\r -~]\x00){12,}|(?:\x00[\t\n\r -~]){12,}")
 PACKED = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]")
+#: Escaped bytes, and how the head of a compressed part looks among them.
+PERCENT_BYTE = re.compile(r"%[0-9A-Fa-f]{2}")
+BACKSLASH_BYTE = re.compile(r"\\x[0-9A-Fa-f]{2}|\\u00[0-9A-Fa-f]{2}|\\[abfnrtv0\\'\"/]")
+PERCENT_HEAD = re.compile(r"%1f%8b%08|(?:x|%78)%(?:01|5e|9c|da)", re.IGNORECASE)
+BACKSLASH_HEAD = re.compile(r"\\(?:x|u00)1f(?:\\(?:x|u00)8b|\x8b)\\(?:x08|u0008|b)"
+                            r"|(?:x|\\(?:x|u00)78)(?:\\(?:x|u00)(?:01|5e|9c|da)|[\x9c\xda]|\^(?=.{0,8}\\[ux]))",
+                            re.IGNORECASE)
+SHORT = {"a": 7, "b": 8, "t": 9, "n": 10, "v": 11, "f": 12, "r": 13, "0": 0}
 BLOCK = 1 << 14  # compressed bytes fed at once
 MAX_LAYER = 1 << 26  # bytes one compressed part may unpack to
 
@@ -146,6 +158,69 @@ def _unpacked(raw: bytes):
         at = max(end, m.start() + 1) if total else m.start() + 1
 
 
+def _headless(core: str, at: int) -> tuple[bytes, int]:
+    """(what a deflate stream without a header gives, its end) if one is whole and begins there in base64."""
+    box, out, fed, begin, step = zlib.decompressobj(-zlib.MAX_WBITS), bytearray(), 0, at, 64
+    try:
+        while at < len(core) and not box.eof and len(out) <= MAX_LAYER:
+            part = core[at:at + step]
+            part = part[:-1] if len(part) % 4 == 1 else part
+            raw = binascii.a2b_base64(part + "=" * (-len(part) % 4))
+            out += box.decompress(raw, MAX_LAYER + 1 - len(out))
+            fed, at, step = fed + len(raw), at + step, min(4 * step, 4 * BLOCK)
+    except zlib.error:  # nearly always within the first bytes
+        return b"", 0
+    if len(out) > MAX_LAYER:
+        return bytes(out), len(core)
+    end = begin + -(-(fed - len(box.unused_data)) * 4 // 3)  # characters that hold the bytes used
+    return (bytes(out), end) if box.eof and SHOWN.search(out) else (b"", 0)
+
+
+def _from_headless(layer: Layer, m: re.Match, core: str):
+    """Streams without a header that fill whole lines of a base64 run, as ``inner_layers``."""
+    begins, ends, removed = [(0, 0)], {}, 0
+    for gap in GAP.finditer(m[0]):
+        ends[gap.start() - removed] = gap.start()
+        removed += len(gap[0])
+        begins.append((gap.end() - removed, gap.end()))
+    ends[len(core)] = len(m[0])
+    for at, place in begins:
+        out, end = _headless(core, at)
+        if out and (end in ends or end + 1 in ends):
+            own = layer.origin(m.start() + place, m.start() + ends.get(end, ends.get(end + 1)))
+            yield (None, own) if len(out) > MAX_LAYER else (Layer(out.decode("utf-8", "replace"), own), None)
+
+
+def _packed_escapes(layer: Layer, line: re.Match, unit: re.Pattern):
+    """The compressed parts among the escaped bytes of a line, as ``inner_layers``.
+
+    Escapes of bytes that are no text would be lost in a decoded layer, so they stay bytes here.
+    """
+    raw, place, at = bytearray(), array("q"), line.start()  # where the character of a byte starts
+
+    def plain(start, end):
+        try:
+            raw.extend(layer.text[start:end].encode("latin-1"))
+            place.extend(range(start, end))
+        except UnicodeEncodeError:
+            for i in range(start, end):
+                own = layer.text[i].encode("latin-1" if layer.text[i] < "\u0100" else "utf-8", "replace")
+                raw.extend(own)
+                place.extend([i] * len(own))
+
+    for x in unit.finditer(layer.text, line.start(), line.end()):
+        plain(at, x.start())
+        raw.append(int(x[0][-2:], 16) if len(x[0]) > 2 else SHORT.get(x[0][1], ord(x[0][1])))
+        place.append(x.start())
+        at = x.end()
+    plain(at, line.end())
+    place.append(line.end())
+    for a, b, text, opaque in _unpacked(bytes(raw)):
+        end = place[bisect_right(place, place[b - 1])]
+        own = layer.origin(place[a], end)
+        yield (None, own) if opaque else (Layer(text, own), None)
+
+
 def _from_base64(layer: Layer, m: re.Match):
     """What is encoded in a run, as ``inner_layers``.
 
@@ -157,12 +232,13 @@ def _from_base64(layer: Layer, m: re.Match):
     if len(core) < 12:
         return
     plus = core.replace("-", "+").replace("_", "/")
+    yield from _from_headless(layer, m, plus)
     edges = None
     for phase in range(4):
         n = len(core) - phase
         raw = binascii.a2b_base64(plus[phase:len(core) - (n % 4 == 1)] + "=" * (-n % 4 if n % 4 > 1 else 0))
-        shown, packed = SHOWN.search(raw), PACKED.search(raw)
-        if not shown and not packed:
+        shown, packed, wide = SHOWN.search(raw), PACKED.search(raw), WIDE.search(raw)
+        if not shown and not packed and not wide:
             continue
         if edges is None:
             place = [i for i, c in enumerate(run) if not c.isspace()]
@@ -194,8 +270,13 @@ def _from_base64(layer: Layer, m: re.Match):
             if last < 0 or end_at[last] < hits[-1].end():
                 last = min(bisect_left(end_at, hits[-1].end()), len(edges) - 1)
             yield Layer(x[0].decode("utf-8", "replace"), span(first, last)), None
+        def around(a, b):
+            return span(bisect_right(start_at, a) - 1, min(bisect_left(end_at, b), len(edges) - 1))
+
+        for x in WIDE.finditer(raw) if wide else ():
+            yield Layer(x[0].replace(b"\0", b"").decode(), around(*x.span())), None
         for a, b, text, opaque in _unpacked(raw) if packed else ():
-            own = span(bisect_right(start_at, a) - 1, min(bisect_left(end_at, b), len(edges) - 1))
+            own = around(a, b)
             yield (None, own) if opaque else (Layer(text, own), None)
 
 
@@ -207,6 +288,11 @@ def inner_layers(layer: Layer):
             for line in LINE.finditer(text):
                 if run.search(line[0]):
                     yield _escaped(layer, line, run, decode), None
+    for head, unit in ((PERCENT_HEAD, PERCENT_BYTE), (BACKSLASH_HEAD, BACKSLASH_BYTE)):
+        if head.search(text):
+            for line in LINE.finditer(text):
+                if head.search(line[0]):
+                    yield from _packed_escapes(layer, line, unit)
     for m in BASE64.finditer(text):
         yield from _from_base64(layer, m)
 

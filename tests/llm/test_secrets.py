@@ -1,6 +1,7 @@
 import base64
 import gzip
 import hashlib
+import json
 import re
 import zlib
 from urllib.parse import quote
@@ -46,6 +47,40 @@ def test_base_spans(sf_docs):
 KEY = "password=hunter2hunter2"
 
 
+def packed(level=9):
+    return gzip.compress(KEY.encode(), level)
+
+
+def repr_of(raw):
+    return repr(raw)[2:-1]
+
+
+@pytest.mark.parametrize("wrapped", [
+    quote(packed(), safe=""), quote(zlib.compress(KEY.encode()), safe=""),
+    "".join(f"%{b:02x}" for b in packed()), repr_of(packed()), repr_of(zlib.compress(KEY.encode())),
+    "".join(f"\\x{b:02x}" for b in packed()),
+    json.dumps(packed().decode("latin-1"))[1:-1],
+    json.dumps(packed().decode("latin-1"), ensure_ascii=False)[1:-1],
+    base64.b64encode(KEY.encode("utf-16-le")).decode(), base64.b64encode(KEY.encode("utf-16-be")).decode(),
+    base64.b64encode(zlib.compress(KEY.encode())[2:-4]).decode(),
+    quote(base64.b64encode(zlib.compress(KEY.encode())[2:-4]).decode(), safe="")])
+@pytest.mark.parametrize("before", ["", "é x ", "5 % of x^2 \\ and 日本 "])
+def test_bytes_escaped_one_by_one(wrapped, before):
+    text = f"clean\n{before}{wrapped} after\nclean"
+    base, every = S.find_secrets(text)
+    assert base == [] and {k for k, _, _ in every} == {"assign"}
+    at = text.index(wrapped)
+    for _, start, end in every:
+        assert at <= start < at + 3 and at + len(wrapped) - 9 <= end <= at + len(wrapped)
+    assert "hunter2" not in S.masked(text, every, "[SECRET]")
+
+
+def test_text_that_only_looks_packed():
+    for text in ["x^2 + \\x41 = \\u0041", "x%01x%5e%1f%8b%08 nothing", "\\x1f\\x8b\\x08", "x^\\x9c" * 2000,
+                 "internationalisation/of/paths" * 300]:
+        assert S.find_secrets(text) == ([], [])
+
+
 @pytest.mark.parametrize("wrap", [
     lambda x: quote(x, safe=""),
     lambda x: "".join(f"\\u{ord(c):04x}" for c in x),
