@@ -237,7 +237,7 @@ def _from_base64(layer: Layer, m: re.Match):
     for phase in range(4):
         n = len(core) - phase
         raw = binascii.a2b_base64(plus[phase:len(core) - (n % 4 == 1)] + "=" * (-n % 4 if n % 4 > 1 else 0))
-        shown, packed, wide = SHOWN.search(raw), PACKED.search(raw), WIDE.search(raw)
+        shown, packed, wide = SHOWN.search(raw), PACKED.search(raw), b"\0" in raw and WIDE.search(raw)
         if not shown and not packed and not wide:
             continue
         if edges is None:
@@ -288,8 +288,8 @@ def inner_layers(layer: Layer):
             for line in LINE.finditer(text):
                 if run.search(line[0]):
                     yield _escaped(layer, line, run, decode), None
-    for head, unit in ((PERCENT_HEAD, PERCENT_BYTE), (BACKSLASH_HEAD, BACKSLASH_BYTE)):
-        if head.search(text):
+    for mark, head, unit in (("%", PERCENT_HEAD, PERCENT_BYTE), ("\\", BACKSLASH_HEAD, BACKSLASH_BYTE)):
+        if mark in text and head.search(text):
             for line in LINE.finditer(text):
                 if head.search(line[0]):
                     yield from _packed_escapes(layer, line, unit)
