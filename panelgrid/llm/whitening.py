@@ -2,7 +2,7 @@
 
 The covariance matrix is never built. A block of vectors Q, a little wider than the number of
 components, is multiplied by it in passes over the rows: each task centres its rows, forms X'(XQ) and
-Spark adds up the tasks. A Chebyshev polynomial in that product, whose interval ends at the least Ritz
+Spark adds up the tasks as a tree. A Chebyshev polynomial in that product, whose interval ends at the least Ritz
 value of the block, damps what is not wanted; QR and a Rayleigh-Ritz step then turn the block towards the
 eigenvectors. This goes on until the residual of every wanted component certifies it.
 """
@@ -74,10 +74,12 @@ def blocks(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return rows.mapInArrow(cut, schema)
 
 
-def _sum_of_tasks(held: DataFrame, width: int, part, rows: int) -> np.ndarray:
-    """Adds up ``part(x)`` (rows x width) over all blocks; each task sends one such array."""
-    names = [f"c{i}" for i in range(width)]
+def _sum_of_tasks(held: DataFrame, part) -> np.ndarray:
+    """Adds up the arrays ``part(x)`` over all blocks; each task makes one, and tasks add them up as a tree.
 
+    An iteration asks for about a hundred such sums. As jobs without a shuffle or an aggregation to plan
+    they leave next to nothing in the driver but the sum.
+    """
     def run(batches):
         total = None
         for b in batches:
@@ -85,12 +87,11 @@ def _sum_of_tasks(held: DataFrame, width: int, part, rows: int) -> np.ndarray:
                 found = part(np.frombuffer(raw.as_buffer(), np.int64).reshape(n, -1))
                 total = found if total is None else total + found
         if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(rows)), *map(pa.array, total.T.copy())],
-                                             ["i", *names])
+            yield pa.RecordBatch.from_pydict({"rows": pa.array([len(total)], pa.int32()),
+                                              "sum": pa.array([total.tobytes()], pa.binary())})
 
-    sums = (held.select("n", "x").mapInArrow(run, "i long, " + ", ".join(f"{c} double" for c in names))
-            .groupBy("i").agg(*[F.sum(c).alias(c) for c in names]).orderBy("i").collect())
-    return np.array([list(r)[1:] for r in sums])
+    sums = held.select("n", "x").mapInArrow(run, "rows int, sum binary").rdd
+    return sums.map(lambda r: np.frombuffer(r["sum"]).reshape(r["rows"], -1)).treeReduce(np.add)
 
 
 def centred(x: np.ndarray, whole: np.ndarray, rest: np.ndarray) -> np.ndarray:
@@ -120,7 +121,7 @@ def fit(held: DataFrame, n: int, sums: list[int], k: int, block: int | None = No
             c = centred(x, whole, rest)
             return np.hstack([c.T @ (c @ q), (c * c).sum(0)[:, None]])
 
-        return _sum_of_tasks(held, q.shape[1] + 1, part, d) / n
+        return _sum_of_tasks(held, part) / n
 
     q = np.linalg.qr(np.random.default_rng(seed).standard_normal((d, width)))[0]
     while True:
@@ -199,7 +200,7 @@ def whiten(vectors: DataFrame, k: int = 32, id_col: str = "vec_id", vec_col: str
 
     error = 0.0
     if width:
-        found = _sum_of_tasks(held, width, moments, width + 1) / model.n
+        found = _sum_of_tasks(held, moments) / model.n
         error = float(np.abs(found[:-1] - np.outer(found[-1], found[-1]) - np.eye(width)).max())
     fixed = [model.n, model.values.tolist(), model.trace, error]
     over = np.array([s - model.n * w for s, w in zip(sums, whole.tolist())], object)

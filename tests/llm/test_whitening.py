@@ -93,3 +93,18 @@ def test_awkward_rows(spark):
     assert {len(r.whitened) for r in W.whiten(line).collect()} == {1}
     huge = spark.createDataFrame([(i, [1e30 * (i % 2), float(i)], 0) for i in range(9)], DDL)
     assert [r.deviation for r in W.whiten(huge).collect()] == [None] * 9
+
+
+def test_passes_plan_no_aggregation(sample, monkeypatch):
+    """About a hundred passes must not leave as many aggregated queries in the driver."""
+    held = W.pin(W.blocks(sample, "vec_id", "embedding").repartition(3), "t")
+    x = np.array([integers(r.embedding) for r in sample.collect()])
+
+    def refuse(*_):
+        raise AssertionError("a pass is planned as an aggregation")
+
+    for name in ("groupBy", "orderBy", "collect"):
+        monkeypatch.setattr(type(held), name, refuse)
+    model = W.fit(held, len(x), [int(s) for s in x.sum(0)], 32)
+    values, *_ = direct(x, 32)
+    assert model.passes > 1 and np.allclose(model.values, values, rtol=1e-11)
