@@ -12,7 +12,7 @@ import base64
 import hashlib
 import heapq
 from collections.abc import Iterator
-from itertools import chain
+from functools import lru_cache
 
 import pandas as pd
 import regex
@@ -24,7 +24,9 @@ from panelgrid.llm.common import compute, narrow
 CHUNK = 1 << 16  # code points a chunk advances
 OVERLAP = 1 << 10
 GUARD = 4  # a match that ends nearer to the end of a chunk may depend on what follows
-CACHED = 1 << 19  # pieces whose ids a task remembers
+CACHED = 1 << 19  # pieces whose ids a worker remembers
+SHORT = 64  # bytes up to which the pairs of a piece are kept in a list
+NO_RANK = 1 << 62
 #: White space as Unicode defines it, which is what the tokenizers' engine takes for \s.
 BLANK = "\t-\r \x85\xa0  -     　"
 
@@ -44,13 +46,32 @@ class Vocabulary:
                       for a, b in (x.split() for x in lines.splitlines() if x)}
         self.bytes = {b: a for a, b in self.ranks.items()}
         self.pattern = compiled(pattern)
-        self.known: dict[str, list[int]] = {}
+        self.known: dict[str, tuple[str, bytes]] = {}
 
     def piece(self, piece: str) -> list[int]:
         """Ids of one match of the pattern: the pair of lowest rank merges first, leftmost of ties."""
         raw = piece.encode()
         if raw in self.ranks:
             return [self.ranks[raw]]
+        return self._short(raw) if len(raw) <= SHORT else self._long(raw)
+
+    def _short(self, raw: bytes) -> list[int]:
+        """All pairs in a list: the least is looked for again after each merge."""
+        rank = self.ranks.get
+        parts = [raw[i:i + 1] for i in range(len(raw))]
+        pairs = [rank(raw[i:i + 2], NO_RANK) for i in range(len(raw) - 1)]
+        while pairs and (least := min(pairs)) < NO_RANK:
+            i = pairs.index(least)
+            parts[i] += parts.pop(i + 1)
+            del pairs[i]
+            if i < len(pairs):
+                pairs[i] = rank(parts[i] + parts[i + 1], NO_RANK)
+            if i:
+                pairs[i - 1] = rank(parts[i - 1] + parts[i], NO_RANK)
+        return [self.ranks[p] for p in parts]
+
+    def _long(self, raw: bytes) -> list[int]:
+        """The pairs in a heap."""
         ranks, n = self.ranks, len(raw)
         end = list(range(1, n + 1))  # of the part that starts here; 0 once merged away
         before = list(range(-1, n - 1))
@@ -83,18 +104,29 @@ class Vocabulary:
         return out
 
     def encode(self, pieces: list[str]) -> list[int]:
+        return [i for p in pieces for i in self.piece(p)]
+
+    def written(self, pieces: list[str]) -> tuple[str, bytes]:
+        """The ids of the pieces, joined by commas, and the bytes they decode to."""
         known = self.known
+        if len(known) >= CACHED:
+            known.clear()
         for p in set(pieces).difference(known):
-            if len(known) >= CACHED:
-                known.clear()
-                return [i for p in pieces for i in self.piece(p)]
-            known[p] = self.piece(p)
-        return list(chain.from_iterable(map(known.__getitem__, pieces)))
+            ids = self.piece(p)
+            known[p] = ",".join(map(str, ids)), self.decode(ids)
+        found = [known[p] for p in pieces]
+        return ",".join([x[0] for x in found]), b"".join([x[1] for x in found])
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes.__getitem__, ids))
 
 
+@lru_cache(maxsize=1)
+def shared(lines: bytes, pattern: str) -> Vocabulary:
+    """One for all tasks of a worker, so that they share the pieces it knows."""
+    return Vocabulary(lines, pattern)
+
+
 def boundaries(pattern, text: str, start: int = 0) -> list[int]:
     """Ends of the matches; the pattern leaves nothing between them."""
     return [m.end() for m in pattern.finditer(text, start)]
@@ -136,11 +168,11 @@ def digests(vocabulary: Vocabulary, runs: Iterator[list[str]]) -> tuple[int, str
     """(number of ids, digest of the ids, digest of the decoded bytes), run by run."""
     n, ids_sha, raw_sha = 0, hashlib.sha256(), hashlib.sha256()
     for pieces in runs:
-        ids = vocabulary.encode(pieces)
-        if ids:
-            ids_sha.update(("," * bool(n) + ",".join(map(str, ids))).encode())
-            raw_sha.update(vocabulary.decode(ids))
-            n += len(ids)
+        if pieces:
+            ids, raw = vocabulary.written(pieces)
+            ids_sha.update(("," * bool(n) + ids).encode())
+            raw_sha.update(raw)
+            n += ids.count(",") + 1
     return n, ids_sha.hexdigest(), raw_sha.hexdigest()
 
 
@@ -162,7 +194,7 @@ def encode_digests(docs: DataFrame, vocabulary_path: str, pattern: str, chunk: i
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def encoder():
-        v = Vocabulary(lines.value, pattern)
+        v = shared(lines.value, pattern)
         return lambda text: digests(v, iter([v.pattern.findall(text)]))
 
     def matcher():
@@ -170,7 +202,7 @@ def encode_digests(docs: DataFrame, vocabulary_path: str, pattern: str, chunk: i
         return lambda text: (text, boundaries(p, text))
 
     def joined(batch: pd.DataFrame) -> pd.DataFrame:
-        v = Vocabulary(lines.value, pattern)
+        v = shared(lines.value, pattern)
         batch = batch.sort_values("offset")
         chunks = zip(batch["offset"], batch["text"], batch["ends"])
         found = digests(v, stitch(v.pattern, [(int(o), t, e.tolist()) for o, t, e in chunks]))

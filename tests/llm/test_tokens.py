@@ -1,5 +1,6 @@
 import base64
 import hashlib
+import random
 
 import public_tokenizers as P
 import pytest
@@ -44,3 +45,45 @@ def test_any_chunk_size(library, table, awkward, sf_docs, chunk, overlap):
 
 def test_empty_table(library, table):
     assert tokens.encode_digests(table([]), PATH, P.PATTERN).count() == 0
+
+
+def test_known_pieces_are_not_encoded_or_decoded_again(library):
+    class Counting(tokens.Vocabulary):
+        done = 0
+
+        def piece(self, piece):
+            self.done += 1
+            return super().piece(piece)
+
+        def decode(self, ids):
+            self.done += len(ids)
+            return super().decode(ids)
+
+    with open(PATH, "rb") as f:
+        v = Counting(f.read(), P.PATTERN)
+    text = "unlikelyword 12 \u8a9e!\n" * 40
+    pieces = v.pattern.findall(text)
+    assert tokens.digests(v, iter([pieces])) == expected(library, text)
+    once = v.done
+    assert once <= 40 and tokens.digests(v, iter([pieces, pieces])) == expected(library, text * 2)
+    assert v.done == once
+
+
+def test_full_memory_of_pieces(library, monkeypatch):
+    monkeypatch.setattr(tokens, "CACHED", 3)
+    with open(PATH, "rb") as f:
+        v = tokens.Vocabulary(f.read(), P.PATTERN)
+    for text in ["one two three four", "", "two five", "one two three four"]:
+        assert tokens.digests(v, iter([v.pattern.findall(text)])) == expected(library, text)
+
+
+def test_list_and_heap_of_pairs_agree(library):
+    rnd = random.Random(5)
+    with open(PATH, "rb") as f:
+        v = tokens.Vocabulary(f.read(), P.PATTERN)
+    for size in (1, 2, 3, 9, 63, 64, 65, 300):
+        for letters in ("ab", "etaoin shr", "\u00e9\u8a9e\U0001f600x"):
+            piece = "".join(rnd.choice(letters) for _ in range(size)).replace(" ", "")
+            raw = piece.encode()
+            assert v._short(raw) == v._long(raw)
+            assert v.piece(piece) == library._encode_single_piece(raw)
