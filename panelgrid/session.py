@@ -53,12 +53,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
 
 
-def pin(df: DataFrame, name: str) -> DataFrame:
+def pin(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
     """Write a derived table to the shared folder and go on from there.
 
     Used where a result feeds several later steps: it is computed once, survives lost executors,
     and its file size lets Spark choose joins. The scratch files stay until the folder is cleaned.
     """
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -90,3 +91,55 @@ def test_spans_and_text_of_the_query(sf_docs):
         kept = b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2]))
         assert hashlib.sha256(kept).hexdigest() == r.kept_sha256
         assert r.text.replace("\ufffd", "") == kept.decode(errors="replace").replace("\ufffd", "")
+
+
+def passages(rows, words):
+    """(doc_id, n_passage_bytes, passage_spans) by counting every passage."""
+    found = []
+    for r in rows:
+        raw = (r.text or "").encode()
+        at = [m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", raw)]
+        found.append((r.doc_id, raw, at, [raw[a[0]:b[1]] for a, b in zip(at, at[words - 1:])]))
+    often = Counter(p for *_, own in found for p in own)
+    for doc_id, raw, at, own in found:
+        gone = np.zeros(len(at), bool)
+        for i, p in enumerate(own):
+            if often[p] > 1:
+                gone[i:i + words] = True
+        spans = [(at[a][0], at[b][1]) for a, b in zip(*S.stretches(gone))]
+        yield doc_id, sum(b - a for a, b in spans), ",".join(f"{a}:{b}" for a, b in spans)
+
+
+def check_passages(df, words):
+    want = sorted(map(str, passages(df.collect(), words)))
+    got = sorted(str((r.doc_id, r.n_passage_bytes, r.passage_spans))
+                 for r in S.dedup_bytes(df, words=words).collect())
+    assert got == want
+
+
+def test_passages_against_brute_force(sf_docs):
+    check_passages(sf_docs, S.WORDS)
+
+
+def test_awkward_passages(awkward, table):
+    check_passages(awkward, 5)
+    check_passages(awkward, 29)
+    rnd = random.Random(4)
+    texts = [" ".join(rnd.choice("abc") for _ in range(rnd.randrange(60))) for _ in range(40)]
+    check_passages(table(texts + ["a " * 200, "\n a\tb" * 60, "a\x0bb\x0cc\rd" * 9, None, "é\x1c 語 " * 30]), 12)
+
+
+def test_short_passages_of_51_words(table):
+    """They share less than 400 bytes, so they stay, but show in both documents and in no other."""
+    rnd = random.Random(8)
+
+    def prose(n):
+        return " ".join("".join(rnd.choices("abcdefghij", k=rnd.randrange(3, 7))) for _ in range(n))
+    plants = [prose(51) for _ in range(20)]
+    texts = [prose(90) + glue + p + glue + prose(70) for p in plants for glue in (" ", "\n", "x")]
+    rows = {r.doc_id: r for r in S.dedup_digests(table(texts + [prose(200) for _ in range(30)])).collect()}
+    assert all(r.n_removed == 0 for r in rows.values())
+    for i, t in enumerate(texts):
+        (start, end), = (tuple(map(int, s.split(":"))) for s in rows[i].passage_spans.split(","))
+        assert t[start:end] in plants[i // 3] and len(t[start:end].split()) >= 49
+    assert all(rows[i].n_passage_bytes == 0 for i in range(len(texts), len(rows)))
