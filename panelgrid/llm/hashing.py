@@ -24,13 +24,20 @@ class Hasher:
     def __init__(self):
         self.up = self.down = np.ones(1, np.uint64)
 
-    def stretches(self, raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    def sums(self, raw: np.ndarray) -> np.ndarray:
+        """What ``between`` reads, for several calls on one text."""
         if len(self.up) <= len(raw):
             self.up, self.down = powers(BASE, 2 * len(raw)), powers(INVERSE, 2 * len(raw))
         total = np.zeros(len(raw) + 1, np.uint64)
         np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * self.up[:len(raw)], out=total[1:])
+        return total
+
+    def between(self, total: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mixed((total[end] - total[start]) * self.down[start])
 
+    def stretches(self, raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return self.between(self.sums(raw), start, end)
+
 
 def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
     """Least of each ``width`` neighbours, by spans that double as long as they fit."""

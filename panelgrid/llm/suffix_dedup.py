@@ -38,16 +38,17 @@ SHARD_BYTES = 2 << 20  # text of one suffix array
 CROWDED = 3000  # different surroundings of an anchor that are dealt out over shards
 
 
-def anchored(h: Hasher, raw: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+def anchored(h: Hasher, sums: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
     """(anchor, first, last, twice) of each stretch of starts with the same anchor.
 
     twice: the anchor stands at several places of the text, so even one stretch may repeat itself.
     """
-    if len(raw) < length:
+    n = len(sums) - 1
+    if n < length:
         return (*(np.zeros(0, np.int64),) * 3, np.zeros(0, bool))
     size = min(ANCHOR, length)
-    at = np.arange(len(raw) - size + 1)
-    return _stretches_of_anchors(h.stretches(raw, at, at + size), length - size + 1, length)
+    at = np.arange(n - size + 1)
+    return _stretches_of_anchors(h.between(sums, at, at + size), length - size + 1, length)
 
 
 def word_bounds(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -57,27 +58,24 @@ def word_bounds(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edge[::2], edge[1::2]
 
 
-def anchored_words(h: Hasher, raw: np.ndarray, words: int) -> tuple[np.ndarray, ...]:
-    """The same of passages: first and last are numbers of words. No key is that of a byte anchor."""
-    starts, ends = word_bounds(raw)
+def passage_stretches(h: Hasher, sums: np.ndarray, starts: np.ndarray, ends: np.ndarray,
+                      words: int) -> tuple[np.ndarray, ...]:
+    """(anchor, hash of the stretch, first byte, passages but one, twice) of each stretch of passages.
+
+    starts, ends: bounds of the words. No key is that of a byte anchor.
+    """
     if len(starts) < words:
-        return (*(np.zeros(0, np.int64),) * 3, np.zeros(0, bool))
+        return (*(np.zeros(0, np.int64),) * 4, np.zeros(0, bool))
     size = min(WORD_ANCHOR, words)
-    hashes = ~h.stretches(raw, starts[:len(starts) - size + 1], ends[size - 1:])
-    return _stretches_of_anchors(hashes, words - size + 1, words)
-
-
-def passage_stretches(h: Hasher, raw: np.ndarray, words: int) -> tuple[np.ndarray, ...]:
-    """(anchor, hash of the stretch, first byte, passages but one, twice) of each stretch of passages."""
-    keys, first, last, twice = anchored_words(h, raw, words)
-    starts, ends = word_bounds(raw)
-    whole = h.stretches(raw, starts[first], ends[last + words - 1]) if len(keys) else keys
+    hashes = ~h.between(sums, starts[:len(starts) - size + 1], ends[size - 1:])
+    keys, first, last, twice = _stretches_of_anchors(hashes, words - size + 1, words)
+    whole = h.between(sums, starts[first], ends[last + words - 1])
     return keys, whole.view(np.int64), starts[first], last - first, twice
 
 
-def passage_names(h: Hasher, raw: np.ndarray, words: int) -> np.ndarray:
+def passage_names(h: Hasher, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray,
+                  words: int) -> np.ndarray:
     """A 64-bit hash of the passage at each word, white space included."""
-    starts, ends = word_bounds(raw)
     return h.stretches(raw, starts[:len(starts) - words + 1], ends[words - 1:])
 
 
@@ -86,7 +84,8 @@ def _stretches_of_anchors(hashes: np.ndarray, width: int, length: int) -> tuple[
     # a place is chosen if the greatest minimum of the windows around it is its own hash
     sides = np.zeros(width - 1, np.uint64)
     most = ~sliding_least(~np.concatenate([sides, least, sides]), width)
-    values, times = np.unique(hashes[hashes == most], return_counts=True)
+    chosen = np.sort(hashes[hashes == most])
+    values = chosen[1:][chosen[1:] == chosen[:-1]]
     first = np.concatenate([[0], np.flatnonzero(least[1:] != least[:-1]) + 1])
     last = np.concatenate([first[1:] - 1, [len(least) - 1]])
     long = last - first >= length  # a periodic text: any cut will do
@@ -95,7 +94,8 @@ def _stretches_of_anchors(hashes: np.ndarray, width: int, length: int) -> tuple[
                                                    zip(first[long], last[long]))]))
         last = np.concatenate([first[1:] - 1, [len(least) - 1]])
     keys = least[first]
-    return keys.view(np.int64), first, last, np.isin(keys, values[times > 1])
+    twice = np.isin(keys, values) if len(values) else np.zeros(len(keys), bool)
+    return keys.view(np.int64), first, last, twice
 
 
 def refined(words: np.ndarray, valid: np.ndarray, length: int) -> np.ndarray:
@@ -224,6 +224,9 @@ def _arrow(ddl: str) -> pa.Schema:
     return to_arrow_schema(T._parse_datatype_string(ddl))
 
 
+RUN = ["key", "whole", "first", "last", "twice", "by_word"]
+
+
 def _runs(docs: DataFrame, length: int, words: int) -> DataFrame:
     """(doc_id, mark, key, whole, first, last, twice, by_word): stretches with an anchor that occurs again.
 
@@ -234,18 +237,19 @@ def _runs(docs: DataFrame, length: int, words: int) -> DataFrame:
 
         def find(t):
             raw = np.frombuffer(t.encode(), np.uint8)
-            keys, first, last, twice = anchored(h, raw, length)
-            told = passage_stretches(h, raw, words)
-            both = zip((keys, np.zeros(len(keys), np.int64), first, last, twice), told)
-            return (*(np.concatenate(x).tolist() for x in both),
-                    [False] * len(keys) + [True] * len(told[0]))
+            sums = h.sums(raw)
+            keys, first, last, twice = anchored(h, sums, length)
+            told = passage_stretches(h, sums, *word_bounds(raw), words)
+            both = zip((keys, np.zeros(len(keys), np.int64), first, last, twice), told,
+                       (np.int64, np.int64, np.int32, np.int32, bool))
+            return (*(np.concatenate([x, y], dtype=t, casting="same_kind") for x, y, t in both),
+                    np.arange(len(keys) + len(told[0])) >= len(keys))
         return find
 
-    names = ["key", "whole", "first", "last", "twice", "by_word"]
     found = compute(docs, "text", "key array<long>, whole array<long>, first array<int>, "
                     "last array<int>, twice array<boolean>, by_word array<boolean>", finder)
-    runs = found.select("doc_id", "mark", F.explode(F.arrays_zip(*names)).alias("x")).select(
-        "doc_id", "mark", *(F.col(f"x.{c}").alias(c) for c in names))
+    runs = found.select("doc_id", "mark", F.explode(F.arrays_zip(*RUN)).alias("x")).select(
+        "doc_id", "mark", *(F.col(f"x.{c}").alias(c) for c in RUN))
     same = Window.partitionBy("key")
     return pin(runs.withColumn("n", F.count("*").over(same)).withColumn("again", F.max("twice").over(same))
                .filter("n > 1 or again").drop("n", "again"), "suffix-runs", "zstd")
@@ -266,10 +270,12 @@ def _surroundings(runs: DataFrame, packed: DataFrame, length: int, words: int) -
     or by_word with the names of their passages.
     """
     by_doc = (runs.groupBy("doc_id", "mark")
-              .agg(F.collect_set(F.struct("key", "whole", "first", "last", "twice", "by_word")).alias("runs"))
-              .select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), "runs"))
+              .agg(F.collect_set(F.struct(RUN)).alias("runs"))
+              .select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"),
+                      *(F.col(f"runs.{c}").alias(f"{c}s") for c in RUN)))
     joined = packed.join(by_doc, packed["doc_id"].eqNullSafe(F.col("_id"))
-                         & (packed["mark"] == F.col("_mark"))).select("doc_id", "mark", "packed", "runs")
+                         & (packed["mark"] == F.col("_mark"))).select(
+                             "doc_id", "mark", "packed", *(f"{c}s" for c in RUN))
     id_type = packed.schema["doc_id"].dataType.simpleString()
     ddl = (f"key long, by_word boolean, digest binary, text binary, doc_id {id_type}, mark long, "
            "first int, twice boolean")
@@ -279,22 +285,22 @@ def _surroundings(runs: DataFrame, packed: DataFrame, length: int, words: int) -
         box, h = zstandard.ZstdDecompressor(), Hasher()
         for b in batches:
             out, size = [], 0
-            for doc_id, mark, packed, runs in zip(*(b.column(c).to_pylist() for c in (
-                    "doc_id", "mark", "packed", "runs"))):
+            for doc_id, mark, packed, *runs in zip(*(b.column(c).to_pylist() for c in (
+                    "doc_id", "mark", "packed", *(f"{c}s" for c in RUN)))):
                 raw = box.decompress(packed)
-                if any(r["by_word"] for r in runs):
+                if any(runs[-1]):
                     own = np.frombuffer(raw, np.uint8)
-                    starts, named = word_bounds(own)[0], passage_names(h, own, words)
-                for r in runs:
-                    if r["by_word"]:
-                        at = int(np.searchsorted(starts, r["first"]))
-                        part = named[at:at + r["last"] + 1].tobytes()
-                        digest = r["whole"].to_bytes(8, "big", signed=True)
+                    starts, ends = word_bounds(own)
+                    named = passage_names(h, own, starts, ends, words)
+                for key, whole, first, last, twice, by_word in zip(*runs):
+                    if by_word:
+                        at = int(np.searchsorted(starts, first))
+                        part = named[at:at + last + 1].tobytes()
+                        digest = whole.to_bytes(8, "big", signed=True)
                     else:
-                        part = raw[r["first"]:r["last"] + length]
+                        part = raw[first:last + length]
                         digest = hashlib.blake2b(part, digest_size=16).digest()
-                    out.append((r["key"], r["by_word"], digest, part, doc_id, mark, r["first"],
-                                r["twice"]))
+                    out.append((key, by_word, digest, part, doc_id, mark, first, twice))
                     size += len(part)
                 if size > 1 << 22:
                     yield _emit(out, target)
@@ -428,7 +434,8 @@ def repeated_spans(docs: DataFrame, packed: DataFrame, length: int, words: int)
     where = ["key", "digest", "doc_id", "mark", "first", "by_word"]
     placed = (around.filter(~F.col("by_word")).select(where).unionByName(told.select(where))
               .join(spans, ["key", "digest"])
-              .select("doc_id", "mark", "by_word", "first", F.explode(F.arrays_zip("firsts", "lasts")).alias("x")))
+              .select("doc_id", "mark", "by_word", "first",
+                      F.explode(F.arrays_zip("firsts", "lasts")).alias("x")))
     return placed.groupBy("doc_id", "mark").agg(F.collect_set(F.struct(
         "by_word", "first", F.col("x.firsts").alias("a"), F.col("x.lasts").alias("b"))).alias("spans"))
 
@@ -478,10 +485,9 @@ def dedup_bytes(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
 
         def cut(x):
             raw = box.decompress(x["packed"])
-            spans = x["spans"] or []
-            gone = _merged([(s["first"] + s["a"], s["first"] + s["b"] + length)
-                            for s in spans if not s["by_word"]])
-            told = [(s["first"], s["a"], s["b"] + words) for s in spans if s["by_word"]]
+            spans = list(zip(x["by_word"] or [], x["first"] or [], x["a"] or [], x["b"] or []))
+            gone = _merged([(f + a, f + b + length) for w, f, a, b in spans if not w])
+            told = [(f, a, b + words) for w, f, a, b in spans if w]
             if told:
                 starts, ends = word_bounds(np.frombuffer(raw, np.uint8))
                 at = np.searchsorted(starts, [f for f, _, _ in told]).tolist()
@@ -494,7 +500,8 @@ def dedup_bytes(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
                     ",".join(f"{s}:{e}" for s, e in told))
         return cut
 
-    return compute(joined.select("doc_id", F.struct("packed", "spans").alias("x")), "x",
+    return compute(joined.select("doc_id", F.struct("packed", *(
+        F.col(f"spans.{c}").alias(c) for c in ("by_word", "first", "a", "b"))).alias("x")), "x",
                    "n_bytes long, n_removed long, n_spans long, kept binary, removed_spans string, "
                    "n_passage_bytes long, passage_spans string", cutter)
 
