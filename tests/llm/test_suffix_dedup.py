@@ -143,3 +143,10 @@ def test_short_passages_of_51_words(table):
         (start, end), = (tuple(map(int, s.split(":"))) for s in rows[i].passage_spans.split(","))
         assert t[start:end] in plants[i // 3] and len(t[start:end].split()) >= 49
     assert all(rows[i].n_passage_bytes == 0 for i in range(len(texts), len(rows)))
+
+
+def test_crowded_passages(table, monkeypatch):
+    monkeypatch.setattr(S, "CROWDED", 1)
+    rnd = random.Random(6)
+    texts = [" ".join(rnd.choice("ab") for _ in range(rnd.randrange(50))) for _ in range(30)]
+    check_passages(table(texts + texts[:3]), 9)
