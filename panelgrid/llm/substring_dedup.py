@@ -1,7 +1,7 @@
 """Substring dedup by sliding runs of sentences.
 
-Every run of several consecutive sentences is hashed; equal runs meet in one aggregation over all
-documents. Sentences that lie in a repeated run are removed, except in its first occurrence.
+Every run of several consecutive sentences is hashed; equal runs of all documents meet and are put in
+order of their documents. Sentences that lie in a repeated run are removed, except in its first occurrence.
 """
 
 from __future__ import annotations
@@ -9,10 +9,13 @@ from __future__ import annotations
 from zlib import crc32
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
-from panelgrid.llm.common import compute, pin
+from panelgrid.llm.common import compute
 from panelgrid.llm.hashing import BASE, Hasher, mixed, sliding_least
 
 MAX_WORDS = 14  # longer sentences are cut at words whose hash is the least in a window
@@ -20,6 +23,7 @@ WINDOW = 8  # words of a window; every window has such a word, so cuts are at mo
 MAX_PART = 2 * WINDOW  # no part is longer
 MIN_SENTENCES = 2
 MIN_WORDS = 20  # a run has at least so many sentences and words
+ROWS = 50_000  # runs that a task hands on at a time
 LAST_SPACE = 0x3000  # the greatest code point that is white space
 SPACE = np.array([chr(c).isspace() for c in range(LAST_SPACE + 1)] + [False])
 
@@ -112,37 +116,69 @@ def merged(spans) -> list[tuple[int, int]]:
     return [(s, e) for s, e in out]
 
 
-def different_runs():
-    """Gives the hashes of a text's runs, and whether the text holds each more than once."""
-    h = Hasher()
+def beaten(hashes: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Whether a hash has a lesser place elsewhere in the arrays."""
+    order = np.lexsort((place, hashes))
+    h, p = hashes[order], place[order]
+    fresh = np.concatenate([[True], h[1:] != h[:-1]])[:len(h)]
+    out = np.zeros(len(h), bool)
+    out[order] = p > p[np.flatnonzero(fresh)[np.cumsum(fresh) - 1]]
+    return out
 
-    def different(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        found, times = np.unique(runs(text, h)[0], return_counts=True)
-        return found, times > 1
-    return different
+
+def places(ids: list, marks: list[int]) -> np.ndarray:
+    """Numbers in order of (id, mark), null ids first; rows that repeat both share one."""
+    keys = [(False, m) if i is None else (True, i, m) for i, m in zip(ids, marks)]
+    rank = {k: n for n, k in enumerate(sorted(set(keys)))}
+    return np.array([rank[k] for k in keys], np.int64)
+
+
+def different_runs(batch: pa.RecordBatch, h: Hasher, ordered: bool) -> pa.RecordBatch:
+    """(doc_id, mark, hash, own, apart): the different runs of each text of (doc_id, text, mark).
+
+    ``own`` tells those that a text holds more than once. ``apart`` is null where no document before
+    it in this batch has the run, else the mark; if ids are not ``ordered`` as Spark orders them, null.
+    """
+    found = [np.unique(runs(t, h)[0], return_counts=True) for t in batch.column("text").to_pylist()]
+    at = np.repeat(np.arange(len(found)), [len(x) for x, _ in found])
+    none = np.zeros(0, np.int64)
+    hashes = np.concatenate([none, *(x for x, _ in found)])
+    times = np.concatenate([none, *(n for _, n in found)])
+    ids, marks = batch.column("doc_id").take(pa.array(at)), batch.column("mark").to_numpy()[at]
+    if ordered:
+        first = ~beaten(hashes, places(batch.column("doc_id").to_pylist(), batch.column("mark").to_pylist())[at])
+    else:
+        first = np.ones(len(hashes), bool)
+    return pa.RecordBatch.from_arrays(
+        [ids, pa.array(marks), pa.array(hashes), pa.array(times > 1), pa.array(marks, mask=first)],
+        ["doc_id", "mark", "hash", "own", "apart"])
 
 
 def repeated_runs(docs: DataFrame) -> DataFrame:
     """(doc_id, mark, gone, later): hashes of runs to remove, everywhere or but for their first place.
 
     ``docs`` has doc_id, text and mark, a hash of the text. The first occurrence of a run is that of
-    the least (doc_id, mark), and there the first. Only hashes are shuffled; their places are found
-    again in the texts that repeat something. Counting combines on the map side, so a run that most
-    documents share is no burden; joining back, adaptive execution splits it.
+    the least (doc_id, mark), and there the first. Only hashes are shuffled, once; their places are
+    found again in the texts that repeat something. Of the documents of a batch only the first with a
+    run can be the first of all, so only that one meets those of other batches; the others are dealt
+    by their marks too, and a run that most documents share is no burden.
     """
-    found = pin(compute(docs, "text", "hashes array<long>, own array<boolean>",
-                        different_runs)
-                .select("doc_id", "mark", F.explode(F.arrays_zip("hashes", "own")).alias("x"))
-                .select("doc_id", "mark", F.col("x.hashes").alias("hash"), F.col("x.own").alias("own")),
-                "dedup-runs")
-    place = F.struct("doc_id", "mark")
-    # most runs occur once: hashes alone tell which, before any place is shuffled to be compared
-    again = (found.groupBy("hash").agg(F.sum(F.lit(1) + F.col("own").cast("int")).alias("n"))
-             .filter("n > 1").select("hash"))
-    places = pin(found.join(again, "hash").select("doc_id", "mark", "hash", "own"), "dedup-again")
-    first = places.groupBy("hash").agg(F.min(place).alias("first"))
-    told = (places.join(first, "hash").withColumn("whole", ~place.eqNullSafe(F.col("first")))
-            .filter("whole or own"))
+    id_type = docs.schema["doc_id"].dataType
+    ordered = isinstance(id_type, T.IntegralType) or id_type == T.StringType()
+
+    def run(batches):
+        h = Hasher()
+        for b in batches:
+            found = different_runs(b, h, ordered)
+            for i in range(0, len(found), ROWS):
+                yield found.slice(i, ROWS)
+
+    schema = T.StructType([T.StructField("doc_id", id_type), T.StructField("mark", T.LongType()),
+                           T.StructField("hash", T.LongType()), T.StructField("own", T.BooleanType()),
+                           T.StructField("apart", T.LongType())])
+    found = docs.select("doc_id", "text", "mark").mapInArrow(run, schema)
+    before = F.rank().over(Window.partitionBy("hash", "apart").orderBy("doc_id", "mark")) > 1
+    told = found.withColumn("whole", F.col("apart").isNotNull() | before).filter("whole or own")
     return told.groupBy("doc_id", "mark").agg(
         F.collect_set(F.when(F.col("whole"), F.col("hash"))).alias("gone"),
         F.collect_set(F.when(~F.col("whole"), F.col("hash"))).alias("later"))

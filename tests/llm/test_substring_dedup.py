@@ -1,5 +1,7 @@
+import os
 import random
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from panelgrid.llm import substring_dedup as D
@@ -126,3 +128,41 @@ def test_clashing_columns(awkward):
     assert odd.columns == [*awkward.columns, *[c for c in names if c != "removed_spans"], "removed_spans"]
     assert all(r[c] == 7 for r in odd.collect() for c in names if c != "removed_spans")
     assert sorted(map(str, odd.select(*awkward.columns, "removed_spans").collect())) == want
+
+
+def test_hashes_of_runs_are_stored_once(spark, sf_docs):
+    """One shuffle holds them, and no table of them is written beside it."""
+    shared = spark.conf.get("spark.checkpoint.dir").removeprefix("file:")
+    there = set(os.listdir(shared)) if os.path.isdir(shared) else set()
+    done = D.dedup_substrings(sf_docs)
+    assert done._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(hash") == 1
+    done.count()
+    assert (set(os.listdir(shared)) if os.path.isdir(shared) else set()) == there
+
+
+def test_a_run_that_all_documents_share_meets_once_a_batch():
+    texts = [f"Own words of {i} here. {PASSAGE}" for i in range(40)] + [None]
+    ids, marks = [*range(40, 0, -1), None], [i % 7 for i in range(41)]
+    batch = pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.string()),
+                                        pa.array(marks, pa.int64())], ["doc_id", "text", "mark"])
+    found = D.different_runs(batch, Hasher(), True).to_pylist()
+    shared = set(D.runs(PASSAGE, Hasher())[0].tolist())
+    meet = [r for r in found if r["apart"] is None and r["hash"] in shared]
+    assert len(meet) == len(shared) and {r["doc_id"] for r in meet} == {1}
+    assert sum(r["hash"] in shared for r in found) == 40 * len(shared)
+    assert all(r["apart"] in (None, r["mark"]) for r in found)
+    plain = D.different_runs(batch, Hasher(), False).to_pylist()
+    assert plain == [r | {"apart": None} for r in found]
+
+
+def test_ids_of_any_kind_in_any_batches(table):
+    """The first place does not depend on how rows are dealt, nor on the type of the ids."""
+    texts = [f"Own words of {i} here. {PASSAGE} And {PASSAGE if i % 3 else i} ends." for i in range(24)]
+    docs = table([(i if i != 13 else None, t) for i, t in enumerate(texts)] * 2)  # null goes first
+    for kind in ("long", "string", "decimal(20,2)", "date"):
+        ids = F.expr("date_add(date'2020-01-01', int(doc_id))") if kind == "date" else F.col("doc_id").cast(kind)
+        typed = docs.withColumn("doc_id", ids)
+        for n in (1, 5):
+            got = check(typed.orderBy(F.rand(n)).repartition(n))
+            firsts = {r.original for r in got if PASSAGE in r.text}
+            assert len(firsts) == 1
