@@ -163,8 +163,10 @@ def merge_grids(v):
     FROM (SELECT lat, lon, time, avg(v) AS v FROM ens GROUP BY ALL) a
     JOIN (SELECT lat, {WRAPPED} AS lon, time, v AS c FROM prod_c) USING (lat, lon, time)"""))
 def merge_exact(v):
-    c = grid.wrapped(v.prod_c).withColumnRenamed("v", "c")
-    return grid.merge_exact(maps.rep_mean(v.ens), c, ["lat", "lon", "time"])
+    """Both grids on [-180, 180), where 180 and -180 are one meridian: values that meet in a cell once its
+    longitude is wrapped are averaged, on either side."""
+    left, right = (maps.rep_mean(grid.wrapped(g)) for g in (v.ens, v.prod_c))
+    return grid.merge_exact(left, right.withColumnRenamed("v", "c"), ["lat", "lon", "time"])
 
 
 @query("rep_mean", sql("ens", f"""

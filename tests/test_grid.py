@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from panelgrid.functions.cdf import student_two_sided
 from panelgrid.operators import grid, maps, sample
+from panelgrid.plans.catalog import QUERIES
 
 
 def axis(spark, vals):
@@ -73,6 +74,23 @@ def test_merge_exact(spark):
         grid.merge_exact(a, b.where("lon > 0"), ["lat", "lon"]).collect()
 
 
+def test_merge_exact_past_the_date_line(spark, tmp_path):
+    """Suppliers from 1,000 on lie beyond 180 degrees; 7 and 21,007 share a cell, 1,000 is at -180."""
+    day = dt.datetime(2001, 1, 5)
+    rows = [(s, rep, q, tax, "A", day) for s, rep, q, tax in [
+        (7, 1, 7.0, 0.0), (7, 2, 21.0, 0.0), (21_007, 1, 35.0, 0.6), (1_000, 1, 14.0, 0.5), (499, 1, 28.0, 0.25)]]
+    lines = spark.createDataFrame(rows, "l_suppkey long, l_linenumber int, l_quantity double, l_tax double, "
+                                  "l_returnflag string, l_shipdate timestamp")
+    lines.select("*", F.lit(1).alias("l_partkey"), F.lit(1.0).alias("l_extendedprice"),
+                 F.lit(0.0).alias("l_discount"), F.lit("F").alias("l_linestatus")
+                 ).write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = {(r["lat"], r["lon"]): (r["time"], r["v"], r["c"])
+           for r in QUERIES["merge_exact"](spark, str(tmp_path)).collect()}
+    # every value of a cell counts alike: (1 + 3 + 5) / 3 of the ensemble and (2 + 8) / 2 of the product
+    assert got == {(-12.5, -180.0): ("2001-01-31", 3.0, 5.0), (-47.5, -180.0): ("2001-01-31", 2.0, 3.0),
+                   (47.5, -7.2): ("2001-01-31", 4.0, 5.0)}
+
+
 def test_merge_grids_keeps_cells_of_any_grid(spark):
     t = F.lit(dt.date(2001, 1, 31))
     a = cells(spark, [(0.0, 0.0, 1.0), (0.0, 0.0, 3.0)]).withColumn("time", t)
